@@ -15,7 +15,7 @@ _C = "[A-Za-z0-9µμ°²±×′″$%+]"
 _RUN = f"{_C}+(?:·{_C}+)*"
 IDENTIFIER = (
     f"{_RUN}(?:[-:/_.+]{_RUN})+"
-    f"|(?={_C}*\\+)(?!\\+*(?!{_C})){_RUN}"
+    f"|(?=[A-Za-z0-9µμ°²±×′″$%+·]*\\+){_RUN}"
     f"|(?=[0-9µμ°²±×′″$%+·]*[A-Za-z])(?=[A-Za-zµμ°²±×′″$%+·]*[0-9]){_RUN}"
 )
 
@@ -109,9 +109,13 @@ def _cjk_terms(run: Column, domain_terms: Column) -> Column:
     )
 
 
-def terms(text: Column, domain_terms: Column | None = None) -> Column:
-    """Index terms of a text: words, and for CJK runs domain terms or bigrams."""
-    pieces = F.regexp_extract_all(fold_accents(text), F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), 0)
+def terms(text: Column, domain_terms: Column | None = None, fold: bool = True) -> Column:
+    """Terms of a text: words, and for CJK runs domain terms or bigrams.
+
+    ``fold`` drops accents as the terms index does; substring search keeps them.
+    """
+    folded = fold_accents(text) if fold else F.lower(text)
+    pieces = F.regexp_extract_all(folded, F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), 0)
     known = F.array().cast("array<string>") if domain_terms is None else domain_terms
     split = F.flatten(
         F.transform(
