@@ -41,11 +41,15 @@ class TermIndex:
 
 @dataclass
 class GramIndex:
-    """``grams(gram, chunk_id)``, ``texts(chunk_id, heading, body)``, ``lengths``."""
+    """``grams(gram, chunk_id)``, ``texts(chunk_id, heading, body)``, ``lengths``.
+
+    ``stored`` says that the tables are read back rather than derived on the fly.
+    """
 
     grams: DataFrame
     texts: DataFrame
     lengths: DataFrame
+    stored: bool = False
 
 
 # --- building -----------------------------------------------------------------------
@@ -212,13 +216,6 @@ def phrase_hits(phrases: DataFrame, index: TermIndex, salts: int = SALTS) -> Dat
     return single.unionByName(longer)
 
 
-def occurrences(text: Column, phrase: Column, overlaps: Column) -> Column:
-    """How often a phrase occurs, overlapping occurrences included."""
-    apart = (F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.length(phrase)
-    each = F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), phrase, F.lit(r"\E)")))
-    return F.when(overlaps, each).otherwise(apart.cast("int"))
-
-
 def _can_overlap(phrase: Column) -> Column:
     """True when some proper prefix of the phrase is also its suffix."""
     return F.exists(
@@ -226,47 +223,90 @@ def _can_overlap(phrase: Column) -> Column:
     )
 
 
-def substring_hits(phrases: DataFrame, index: GramIndex, salts: int = SALTS) -> DataFrame:
-    """Exact substring matches of distinct phrases: ``phrase, chunk_id, tf``.
+def occurrences(text: Column, phrase: Column, overlaps: Column) -> Column:
+    """How often a phrase occurs, overlapping occurrences included."""
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, phrase, F.lit("")))
+    each = F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), phrase, F.lit(r"\E)")))
+    return bind(
+        removed,
+        lambda r: F.when(overlaps & (r > 0), each).otherwise((r / F.octet_length(phrase)).cast("int")),
+    )
 
-    Each phrase is looked up by its rarest trigram only; the candidates of a
-    chunk are then checked against its text where that text lies.
-    """
-    distinct = phrases.select("phrase").distinct()
-    phrase_grams = distinct.select(
+
+def anchors_of(phrases: DataFrame, postings: DataFrame) -> DataFrame:
+    """Each distinct phrase with its rarest trigram: ``phrase, gram``."""
+    grams = phrases.select("phrase").distinct().select(
         "phrase", F.explode(F.array_distinct(grams_of(F.col("phrase")))).alias("gram")
     )
-    wanted = phrase_grams.select("gram").distinct()
-    postings = index.grams.join(wanted, "gram", "left_semi")
     frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = (
-        phrase_grams.join(frequency, "gram", "left")
+    return (
+        grams.join(frequency, "gram", "left")
         .groupBy("phrase")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("a"))
         .select("phrase", F.col("a.gram").alias("gram"))
     )
+
+
+def _wanted_postings(phrases: DataFrame, index: GramIndex) -> DataFrame:
+    wanted = phrases.select(F.explode(grams_of(F.col("phrase"))).alias("gram")).distinct()
+    return index.grams.join(wanted, "gram", "left_semi")
+
+
+def substring_hits(phrases: DataFrame, index: GramIndex, salts: int = SALTS) -> DataFrame:
+    """Exact substring matches of distinct phrases: ``phrase, chunk_id, tf``.
+
+    Each phrase is looked up by its rarest trigram only; the candidates of a
+    chunk are then counted in its text where that text lies.
+    """
+    postings = _wanted_postings(phrases, index)
+    anchors = anchors_of(phrases, postings).withColumn("overlaps", _can_overlap(F.col("phrase")))
     candidates = (
         salted_terms(postings, "chunk_id", salts)
         .join(repeated_for_salts(anchors, salts), ["gram", "_salt"])
         .groupBy("chunk_id")
-        .agg(F.collect_list("phrase").alias("phrases"))
+        .agg(F.collect_list(F.struct("phrase", "overlaps")).alias("asked"))
     )
-    checked = index.texts.join(candidates, "chunk_id").select(
-        "chunk_id", "heading", "body", F.explode(
-            F.filter(
-                "phrases", lambda p: F.contains(F.col("body"), p) | F.contains(F.col("heading"), p)
-            )
-        ).alias("phrase"),
+    heading, body = F.col("heading"), F.col("body")
+    counted = F.transform(
+        "asked",
+        lambda a: F.struct(
+            a["phrase"].alias("phrase"),
+            (
+                occurrences(heading, a["phrase"], a["overlaps"]) + occurrences(body, a["phrase"], a["overlaps"])
+            ).alias("tf"),
+        ),
     )
-    overlaps = _can_overlap(F.col("phrase"))
-    return checked.select(
-        "phrase",
+    return (
+        index.texts.join(candidates, "chunk_id")
+        .select("chunk_id", F.explode(F.filter(counted, lambda x: x["tf"] > 0)).alias("x"))
+        .select("x.phrase", "chunk_id", "x.tf")
+    )
+
+
+def scanned_substring_hits(phrases: DataFrame, index: GramIndex, window: int = 32) -> DataFrame:
+    """The same matches as ``substring_hits`` in one pass over the texts.
+
+    Without a stored index every position yields a short window, which meets
+    the phrases on its first trigram and counts where it starts with one.  Only
+    counts are shuffled.  Phrases longer than the window go through the index.
+    """
+    distinct = phrases.select("phrase").distinct()
+    starts = F.lit(f"(?s)(?=(.{{{GRAM},{window}}}))")
+    windows = index.texts.select(
         "chunk_id",
-        (
-            occurrences(F.col("heading"), F.col("phrase"), overlaps)
-            + occurrences(F.col("body"), F.col("phrase"), overlaps)
-        ).alias("tf"),
+        F.explode(
+            F.concat(F.regexp_extract_all("heading", starts, 1), F.regexp_extract_all("body", starts, 1))
+        ).alias("w"),
+    ).withColumn("gram", F.left("w", F.lit(GRAM)))
+    short = distinct.where(F.length("phrase") <= window).withColumn("gram", F.left("phrase", F.lit(GRAM)))
+    scanned = (
+        windows.join(short, "gram")
+        .where(F.startswith("w", "phrase"))
+        .groupBy("phrase", "chunk_id")
+        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
+    long = distinct.where(F.length("phrase") > window)
+    return scanned.unionByName(substring_hits(long, index))
 
 
 # --- scoring ------------------------------------------------------------------------
@@ -314,7 +354,7 @@ def search_terms(phrases: DataFrame, index: TermIndex, k: int = 50) -> DataFrame
 
 
 def search_substrings(phrases: DataFrame, index: GramIndex, k: int = 30) -> DataFrame:
-    hits = substring_hits(phrases, index)
+    hits = substring_hits(phrases, index) if index.stored else scanned_substring_hits(phrases, index)
     return ranked_by_score(bm25(phrases, hits, index.lengths), k)
 
 
@@ -350,17 +390,8 @@ def substring_truth(
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("query"))
     long = q.where(F.length("query") >= GRAM).withColumn("phrase", F.lower("query"))
-    phrase_grams = long.select("phrase").distinct().select(
-        "phrase", F.explode(F.array_distinct(grams_of(F.col("phrase")))).alias("gram")
-    )
-    postings = index.grams.join(phrase_grams.select("gram").distinct(), "gram", "left_semi")
-    frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = (
-        phrase_grams.join(frequency, "gram", "left")
-        .groupBy("phrase")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("a"))
-        .select("phrase", F.col("a.gram").alias("gram"))
-    )
+    postings = _wanted_postings(long, index)
+    anchors = anchors_of(long, postings)
     candidates = (
         salted_terms(postings, "chunk_id", SALTS)
         .join(repeated_for_salts(long.join(anchors, "phrase").select("query_id", "query", "gram"), SALTS), ["gram", "_salt"])
