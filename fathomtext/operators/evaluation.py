@@ -247,9 +247,9 @@ def distinct_document_metrics(results: DataFrame, targets: DataFrame, documents:
     a document is relevant when its id contains a target.  The ideal ranking
     comes from the number of relevant documents in the catalog.
     """
-    ids = documents.select(F.col("id").alias("document_id")).distinct()
-    wanted = targets.select("query_id", F.explode("targets").alias("target"))
-    relevant = ids.join(wanted, F.contains(F.col("document_id"), F.col("target"))).select("query_id", "document_id").distinct()
+    ids = documents.select(F.col("id").alias("chunk_id"), F.col("id").alias("plain_text")).distinct()
+    wanted = targets.select("query_id", F.col("targets").alias("keywords"))
+    relevant = keyword_truth(wanted, ids).withColumnRenamed("chunk_id", "document_id")
     return document_metrics(results, relevant, targets.select("query_id"))
 
 
