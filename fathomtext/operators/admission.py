@@ -170,7 +170,7 @@ def stratified_sample(rows: DataFrame, stratum: str, id_col: str, sizes: dict[st
     else:
         wanted = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col(stratum)]
         limit = max(sizes.values())
-    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     picked = top_rows(rows.withColumn("_draw", draw), [stratum], [F.asc("_draw"), F.asc(id_col)], limit, "draw_rank")
     return picked.where(F.col("draw_rank") <= wanted).drop("_draw")
 

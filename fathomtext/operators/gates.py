@@ -174,6 +174,12 @@ def stale_gate(tasks: DataFrame, evidence: DataFrame, chunks: DataFrame, second:
     return j.select(*_row("stale", passed, F.concat(F.lit("changed since: "), F.col("bad_chunk"))))
 
 
+def _place() -> Column:
+    """Order of the rows inside a step."""
+    names = F.array(*[F.lit(n) for n in ("citation_invalid", "citation_coverage", "unsupported_claim")])
+    return F.array_position(names, F.col("name"))
+
+
 def in_order(gates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gate rows that were reached, and one report per task.
 
@@ -186,8 +192,8 @@ def in_order(gates: DataFrame) -> tuple[DataFrame, DataFrame]:
     reached = gates.join(stop, "task_id").where(F.col("stop").isNull() | (F.col("step") <= F.col("stop"))).drop("stop")
     reports = reached.groupBy("task_id").agg(
         F.min("passed").alias("passed"),
-        F.min_by("name", F.when(~F.col("passed"), F.struct("step", F.col("name")))).alias("first_failure"),
-        F.min_by("failure", F.when(~F.col("passed"), F.struct("step", F.col("name")))).alias("reason"),
+        F.min_by("name", F.when(~F.col("passed"), F.struct("step", _place()))).alias("first_failure"),
+        F.min_by("failure", F.when(~F.col("passed"), F.struct("step", _place()))).alias("reason"),
         F.coalesce(F.max(~F.col("passed") & (F.col("name") == "stale")), F.lit(False)).alias("stale"),
         F.count(F.lit(1)).alias("gates_run"),
     )
