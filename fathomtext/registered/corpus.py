@@ -1 +1,292 @@
-QUERIES = {}
+"""Registered queries: change detection, admission, structure, chunks, catalog."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from fathomtext.functions.text import plain_text
+from fathomtext.operators import admission, catalog, changes, chunking, dense, reconcile, structure
+from fathomtext.registered import inputs
+
+
+def archive(spark, sf_dir) -> DataFrame:
+    """Documents as files of an archive: path, report code, hash, content."""
+    d = inputs.table(spark, sf_dir, "documents")
+    folder = (
+        F.when(F.col("source") == "src0", "02_主题研究报告")
+        .when(F.col("source") == "src1", "01_综合主报告")
+        .when(F.col("source") == "src2", "版本存档")
+        .otherwise(F.col("source"))
+    )
+    word = (
+        F.when((F.col("lang") == "fr") & (F.col("n_chars") < 600), "01_")
+        .when(F.col("n_chars") < 300, "开题报告_")
+        .when(F.col("n_chars") < 700, "note_")
+        .otherwise("最终报告_")
+    )
+    name = F.concat(word, F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return d.select(
+        F.concat(F.lit("kb/"), folder, F.lit("/"), name).alias("path"),
+        F.when(F.col("n_chars") > 2000, F.concat(F.upper("lang"), F.lit("1"))).alias("report_code"),
+        F.sha2("text", 256).alias("sha256"),
+        F.encode("text", "UTF-8").alias("content"),
+        F.octet_length("text").cast("long").alias("size"),
+        "lang", "source", "n_chars", "doc_id",
+    )
+
+
+def _admitted(spark, sf_dir) -> DataFrame:
+    return (
+        archive(spark, sf_dir)
+        .where(admission.exclusion_reason(F.col("path")).isNull())
+        .withColumn("default_id", admission.default_doc_id(F.col("path"), F.col("report_code")))
+    )
+
+
+def _known(spark, sf_dir) -> DataFrame:
+    """One earlier document per id, taken from the files labelled good."""
+    labels = inputs.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return (
+        _admitted(spark, sf_dir).join(labels, "doc_id", "left_semi")
+        .groupBy(F.col("default_id").alias("id"))
+        .agg(F.min(F.struct("path", "sha256")).alias("m"))
+        .select("id", F.col("m.sha256").alias("sha256"), F.concat(F.lit("old/"), F.col("m.path")).alias("source_path"))
+    )
+
+
+def exact_duplicates(spark, sf_dir) -> DataFrame:
+    return admission.duplicate_groups(archive(spark, sf_dir)).select("sha256", "n", F.array_join("paths", "|").alias("paths"))
+
+
+def canonical_assignment(spark, sf_dir) -> DataFrame:
+    files = archive(spark, sf_dir).select("path", F.col("lang").alias("default_id"), "sha256")
+    return admission.assign_ids(files)[0]
+
+
+def canonical_duplicates(spark, sf_dir) -> DataFrame:
+    files = archive(spark, sf_dir).select("path", F.col("lang").alias("default_id"), "sha256")
+    return admission.assign_ids(files)[1]
+
+
+def index_plan_assignments(spark, sf_dir) -> DataFrame:
+    return admission.index_plan(archive(spark, sf_dir), _known(spark, sf_dir))[0]
+
+
+def index_plan_exclusions(spark, sf_dir) -> DataFrame:
+    return admission.index_plan(archive(spark, sf_dir), _known(spark, sf_dir))[1]
+
+
+def exclusion_summary(spark, sf_dir) -> DataFrame:
+    return admission.exclusion_summary(admission.index_plan(archive(spark, sf_dir))[1])
+
+
+def stratified_sample(spark, sf_dir) -> DataFrame:
+    files = archive(spark, sf_dir).withColumn("reason", admission.exclusion_reason(F.col("path"))).where("reason IS NOT NULL")
+    sizes = {"EXCLUDED_DIR": 40, "EXCLUDED_NON_FINAL": 20, "EXCLUDED_PROCESS": 20}
+    return admission.stratified_sample(files.select("reason", "path"), "reason", "path", sizes, 20260830)
+
+
+def corpus_profile(spark, sf_dir) -> DataFrame:
+    return admission.corpus_profile(archive(spark, sf_dir).select("path", "content", "size", F.concat_ws("-", "lang", "source").alias("doc_id")))
+
+
+def files_per_directory(spark, sf_dir) -> DataFrame:
+    return admission.files_per_directory(archive(spark, sf_dir), "kb")
+
+
+def scan_diff(spark, sf_dir) -> DataFrame:
+    return changes.scan_diff(*inputs.versions(spark, sf_dir)).select("path", "status", "renamed_from", "document_id")
+
+
+def scan_counts(spark, sf_dir) -> DataFrame:
+    return changes.status_counts(changes.scan_diff(*inputs.versions(spark, sf_dir)))
+
+
+def files_to_hash(spark, sf_dir) -> DataFrame:
+    return changes.needs_hash(*inputs.versions(spark, sf_dir)).select("path", "size")
+
+
+def line_explode(spark, sf_dir) -> DataFrame:
+    return structure.line_table(inputs.table(spark, sf_dir, "documents"), "doc_id")
+
+
+def heading_tree(spark, sf_dir) -> DataFrame:
+    s = structure.sections_table(structure.parse_documents(inputs.marked_documents(spark, sf_dir)))
+    return s.select(
+        "document_id", "id", "parent_section_id", "level", "heading", "heading_path", "section_type", "ordinal",
+        "start_line", "end_line",
+    )
+
+
+def page_sections(spark, sf_dir) -> DataFrame:
+    parsed = structure.parse_documents(inputs.page_markdown(spark, sf_dir))
+    s = structure.sections_table(parsed)
+    return s.select("document_id", "ordinal", "level", "heading", "section_type", "start_line", "end_line")
+
+
+def page_blocks(spark, sf_dir) -> DataFrame:
+    parsed = structure.parse_documents(inputs.page_markdown(spark, sf_dir))
+    return structure.blocks_table(parsed).select("document_id", "block_type", "start_line", "end_line", F.md5("text").alias("digest"))
+
+
+def evidence_levels(spark, sf_dir) -> DataFrame:
+    d = inputs.table(spark, sf_dir, "documents")
+    mark = lambda c: F.concat(F.lit(" [L"), c.cast("string"), F.lit("]"))
+    text = F.concat("text", mark(F.col("n_chars") % 7), mark(F.col("doc_id") % 5 + 1), mark(F.col("n_chars") % 3 + 1))
+    levels = structure.evidence_levels(text)
+    return d.select("doc_id", F.array_join(levels, ",").alias("levels"), F.array_min(levels).alias("lowest"))
+
+
+def prose_packing(spark, sf_dir) -> DataFrame:
+    chunks = chunking.chunk_table(structure.parse_documents(inputs.paragraph_documents(spark, sf_dir)))
+    return chunks.select(
+        "id", "ordinal", "content_type", "start_line", "end_line", "oversized",
+        F.length("raw_markdown").alias("n_chars"), "content_hash",
+    )
+
+
+def plain_texts(spark, sf_dir) -> DataFrame:
+    docs = inputs.marked_documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "text")
+    pages = inputs.page_markdown(spark, sf_dir).select(F.lit("page").alias("kind"), F.col("document_id").alias("id"), "text")
+    p = docs.unionByName(pages).withColumn("p", plain_text(F.col("text")))
+    return p.select("kind", "id", F.length("p").alias("n_chars"), F.md5("p").alias("digest"))
+
+
+def _as_chunks(spark, sf_dir) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select(
+        "lang", "source", F.col("text").alias("plain_text"), (F.col("n_chars") > 2200).alias("oversized")
+    )
+
+
+def chunk_stats_by_language(spark, sf_dir) -> DataFrame:
+    return chunking.chunk_stats(_as_chunks(spark, sf_dir), ["lang"])
+
+
+def chunk_stats_overall(spark, sf_dir) -> DataFrame:
+    return chunking.chunk_stats(_as_chunks(spark, sf_dir))
+
+
+def _line_sections(spark, sf_dir) -> DataFrame:
+    return structure.sections_table(structure.parse_documents(inputs.marked_documents(spark, sf_dir)))
+
+
+def chunk_gates(spark, sf_dir) -> DataFrame:
+    """Gates on cuts of five lines that ignore the sections."""
+    lines = structure.line_table(inputs.table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("doc_id", "document_id")
+    cuts = lines.groupBy("document_id", F.floor((F.col("line_no") - 1) / 5).alias("cut")).agg(
+        F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
+        F.max(F.length("line")).alias("longest"),
+    )
+    chunks = cuts.select(
+        "document_id", F.lit("top1").alias("section_id"),
+        F.concat_ws(":", F.col("document_id").cast("string"), F.when(F.col("cut") > 3, 3).otherwise(F.col("cut")).cast("string")).alias("id"),
+        "start_line", "end_line", F.when(F.col("longest") < 90, "").otherwise("x").alias("plain_text"),
+    )
+    sections = _line_sections(spark, sf_dir)
+    blocks = sections.where("level > 1").select(
+        "document_id", F.when(F.col("level") == 2, "table").otherwise("formula").alias("block_type"), "start_line", "end_line"
+    )
+    sizes = lines.groupBy("document_id").agg(F.max("line_no").alias("n")).select(
+        "document_id", F.when(F.col("n") > 20, F.col("n") - 1).otherwise(F.col("n")).alias("n_lines")
+    )
+    return chunking.chunk_gates(chunks, sections.select("document_id", "section_id", "start_line"), blocks, sizes)
+
+
+def real_chunk_gates(spark, sf_dir) -> DataFrame:
+    """The gates on the chunker's own output: all counts are zero."""
+    parsed = structure.parse_documents(inputs.marked_documents(spark, sf_dir)).withColumn("document_id", F.col("document_id").cast("string"))
+    return chunking.chunk_gates(
+        chunking.chunk_table(parsed), structure.sections_table(parsed), structure.blocks_table(parsed),
+        parsed.select("document_id", "n_lines"),
+    )
+
+
+def _line_rows(spark, sf_dir) -> DataFrame:
+    return structure.line_table(inputs.table(spark, sf_dir, "documents"), "doc_id").select(
+        F.col("doc_id").alias("document_id"), F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("id"), "line"
+    )
+
+
+def _stores(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """Lines as chunks; which lines reached the indexes depends on the line."""
+    rows = _line_rows(spark, sf_dir)
+    labels = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    words = rows.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    grams = rows.where(F.length("line") >= 10)
+    points = rows.join(labels, "document_id", "left_semi").withColumn("point_id", dense.point_id(F.col("id")))
+    return docs, rows, words, grams, points
+
+
+def index_counts(spark, sf_dir) -> DataFrame:
+    return reconcile.document_counts(*_stores(spark, sf_dir))
+
+
+def index_totals(spark, sf_dir) -> DataFrame:
+    return reconcile.totals(*_stores(spark, sf_dir)[1:])
+
+
+def orphan_points(spark, sf_dir) -> DataFrame:
+    docs, rows, _, grams, points = _stores(spark, sf_dir)
+    known = inputs.table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("id"))
+    return reconcile.orphan_points(points, known, grams)
+
+
+def documents_to_embed(spark, sf_dir) -> DataFrame:
+    docs, rows, _, _, points = _stores(spark, sf_dir)
+    return reconcile.documents_to_embed(docs, rows, points)
+
+
+def catalog_generation(spark, sf_dir) -> DataFrame:
+    d = inputs.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("0."), F.length("source").cast("string")).alias("parser_version"),
+        F.col("source").alias("chunker_version"), F.col("lang").alias("schema_version"),
+    )
+    return reconcile.catalog_generation(d)
+
+
+def document_detail(spark, sf_dir) -> DataFrame:
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    return reconcile.document_detail(docs, _line_sections(spark, sf_dir), _line_rows(spark, sf_dir))
+
+
+def catalog_upsert(spark, sf_dir) -> DataFrame:
+    """All documents upserted over the labelled ones, first-written dates kept."""
+    d = inputs.table(spark, sf_dir, "documents")
+    new = d.select(F.col("doc_id").alias("id"), F.md5("text").alias("sha256"), F.lit("2026-02-02").alias("created_at"))
+    labels = inputs.table(spark, sf_dir, "labels")
+    old = labels.select(
+        F.when(F.col("toxic") == 1, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("id"),
+        F.lit("before").alias("sha256"), F.lit("2026-01-01").alias("created_at"),
+    )
+    return catalog.upsert(old, new)
+
+
+def children_replaced(spark, sf_dir) -> DataFrame:
+    """Lines of the labelled documents replaced by their first lines."""
+    old = _line_rows(spark, sf_dir).select("document_id", "id", F.length("line").alias("n"))
+    labels = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    first = inputs.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":1")).alias("id"),
+        F.length(F.substring_index("text", "\n", 1)).alias("n"),
+    ).join(labels, "document_id", "left_semi")
+    return catalog.replace_children(old, first, labels)
+
+
+def facet_values(spark, sf_dir) -> DataFrame:
+    from fathomtext.plans.search import facet_values as facets
+
+    return facets(inputs.document_rows(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        exact_duplicates, canonical_assignment, canonical_duplicates, index_plan_assignments, index_plan_exclusions,
+        exclusion_summary, stratified_sample, corpus_profile, files_per_directory, scan_diff, scan_counts, files_to_hash,
+        line_explode, heading_tree, page_sections, page_blocks, evidence_levels, prose_packing, plain_texts,
+        chunk_stats_by_language, chunk_stats_overall, chunk_gates, real_chunk_gates, index_counts, index_totals,
+        orphan_points, documents_to_embed, catalog_generation, document_detail, catalog_upsert, children_replaced,
+        facet_values,
+    )
+}

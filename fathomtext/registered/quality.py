@@ -1 +1,157 @@
-QUERIES = {}
+"""Registered queries: retrieval metrics, roll-ups, gates, failure causes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from fathomtext.operators import evaluation, lexical
+from fathomtext.registered import inputs
+
+ARMS = ["terms", "trigram", "lexical"]
+
+
+def _as_arm(name: str, hits: DataFrame, item: str = "chunk_id") -> DataFrame:
+    return hits.where(F.col("rank") <= 10).select(
+        F.lit(name).alias("arm"), "query_id", "rank", F.col(item).alias("chunk_id"), F.col(item).cast("string").alias("section_id")
+    )
+
+
+def arm_results(spark, sf_dir) -> DataFrame:
+    """First ten of the terms, trigram and fused lists."""
+    terms, grams = inputs.terms_list(spark, sf_dir, 50), inputs.grams_list(spark, sf_dir, 30)
+    lists = terms.select("query_id", F.lit("terms").alias("source"), F.col("chunk_id").alias("item_id"), "rank").unionByName(
+        grams.select("query_id", F.lit("trigram").alias("source"), F.col("chunk_id").alias("item_id"), "rank")
+    )
+    from fathomtext.operators import fusion
+
+    fused = fusion.fused_top(fusion.without_boost(fusion.rrf(lists)), 10, "rank")
+    return _as_arm("terms", terms).unionByName(_as_arm("trigram", grams)).unionByName(_as_arm("lexical", fused, "item_id"))
+
+
+def _metrics(spark, sf_dir) -> DataFrame:
+    measured = evaluation.query_metrics(arm_results(spark, sf_dir), inputs.judgments(spark, sf_dir))
+    return evaluation.complete_metrics(measured, inputs.queries(spark, sf_dir), ARMS)
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    q = inputs.queries(spark, sf_dir)
+    return q.withColumn("type", F.when(F.length("query") < 250, "exact").otherwise("semantic"))
+
+
+def retrieval_metrics(spark, sf_dir) -> DataFrame:
+    return _metrics(spark, sf_dir).select("arm", "query_id", *evaluation.MEASURES, "ndcg_true")
+
+
+def metrics_by_arm(spark, sf_dir) -> DataFrame:
+    return evaluation.arm_summary(_metrics(spark, sf_dir))
+
+
+def metrics_by_type(spark, sf_dir) -> DataFrame:
+    return evaluation.type_summary(_metrics(spark, sf_dir), _typed(spark, sf_dir))
+
+
+def quality_gates(spark, sf_dir) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    return evaluation.quality_gates(
+        evaluation.arm_summary(m), evaluation.type_summary(m, _typed(spark, sf_dir)), names=tuple(ARMS), type_arm="lexical"
+    )
+
+
+def best_arm(spark, sf_dir) -> DataFrame:
+    return evaluation.best_arm(evaluation.arm_summary(_metrics(spark, sf_dir)), tuple(ARMS))
+
+
+def ab_compare(spark, sf_dir) -> DataFrame:
+    return evaluation.compare_arms(_metrics(spark, sf_dir), "terms", "lexical")
+
+
+def no_regression(spark, sf_dir) -> DataFrame:
+    return evaluation.no_regression(evaluation.arm_summary(_metrics(spark, sf_dir)), "terms", "lexical")
+
+
+def failure_buckets(spark, sf_dir) -> DataFrame:
+    """Causes over labels: each document is a query, its outcomes its attributes."""
+    d = inputs.table(spark, sf_dir, "documents").join(inputs.table(spark, sf_dir, "labels"), "doc_id")
+    hit = {
+        "dense": F.col("quality"), "lexical": F.col("toxic"),
+        "hybrid": (F.col("n_chars") > 1000).cast("int"), "hybrid_boost": (F.col("n_chars") > 1500).cast("int"),
+        "hybrid_rerank": (F.col("n_chars") > 3000).cast("int"),
+    }
+    rows = d.select(
+        F.col("doc_id").alias("query_id"),
+        F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), h.alias("hit5")) for a, h in hit.items()])).alias("x"),
+    ).select("query_id", "x.*")
+    reach = d.select(
+        F.col("doc_id").alias("query_id"), (F.col("lang") != "es").alias("any_hit"), (F.col("lang") == "en").alias("top10_hit")
+    )
+    return evaluation.failure_buckets(rows, reach)
+
+
+def source_reach(spark, sf_dir) -> DataFrame:
+    lists = inputs.terms_list(spark, sf_dir, 50).select("query_id", F.lit("terms").alias("source"), "rank", F.col("chunk_id").cast("string").alias("section_id"))
+    return evaluation.source_reach(lists, inputs.judgments(spark, sf_dir))
+
+
+def latency_percentiles(spark, sf_dir) -> DataFrame:
+    return evaluation.latency_percentiles(inputs.table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+def resolved_judgments(spark, sf_dir) -> DataFrame:
+    """Every page judged by the first word of its own title."""
+    from fathomtext.operators import structure
+
+    parsed = structure.parse_documents(inputs.page_markdown(spark, sf_dir))
+    sections = structure.sections_table(parsed)
+    judged = sections.select(
+        F.col("document_id").alias("query_id"), "document_id",
+        F.lower(F.substring_index("heading", " ", 1)).alias("heading_contains"), F.lit(3).alias("grade"),
+    )
+    return evaluation.resolve_judgments(judged, sections)
+
+
+def distinct_document_ndcg(spark, sf_dir) -> DataFrame:
+    """Results are passages of sources; a source is relevant when it holds the passage."""
+    owner = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"))
+    results = inputs.terms_list(spark, sf_dir, 10).join(owner, "chunk_id").select("query_id", "rank", "document_id")
+    relevant = inputs.truth(spark, sf_dir).join(owner, "chunk_id").select("query_id", "document_id").distinct()
+    m = evaluation.document_metrics(results, relevant, inputs.queries(spark, sf_dir))
+    return m.select("query_id", "hit1", "hit3", "hit5", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
+
+
+def _keywords(spark, sf_dir) -> DataFrame:
+    """The three longest words of each passage as its keywords."""
+    w = F.array_distinct(F.regexp_extract_all("query", F.lit(r"[\p{L}]+"), 0))
+    longest = F.slice(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1, 3)
+    return inputs.queries(spark, sf_dir).select("query_id", F.transform(longest, lambda s: s["w"]).alias("keywords"))
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("plain_text"))
+
+
+def keyword_truth(spark, sf_dir) -> DataFrame:
+    return evaluation.keyword_truth(_keywords(spark, sf_dir), _texts(spark, sf_dir))
+
+
+def keyword_metrics(spark, sf_dir) -> DataFrame:
+    results = arm_results(spark, sf_dir).select("arm", "query_id", "rank", "chunk_id")
+    m = evaluation.truth_metrics(results, evaluation.keyword_truth(_keywords(spark, sf_dir), _texts(spark, sf_dir)))
+    return m.select("arm", "query_id", "hit5", F.round("mrr", 6).alias("mrr"))
+
+
+def truth_with_fallback(spark, sf_dir) -> DataFrame:
+    r = arm_results(spark, sf_dir).where(F.col("rank") <= 5)
+    pick = lambda arm: r.where(F.col("arm") == arm).select("query_id", "chunk_id", "rank")
+    return evaluation.with_fallback(pick("terms"), pick("trigram"), inputs.truth(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        retrieval_metrics, metrics_by_arm, metrics_by_type, quality_gates, best_arm, ab_compare, no_regression,
+        failure_buckets, source_reach, latency_percentiles, resolved_judgments, distinct_document_ndcg, keyword_truth,
+        keyword_metrics, truth_with_fallback,
+    )
+}
+
+__all__ = ["QUERIES", "lexical"]

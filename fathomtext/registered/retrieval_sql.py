@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from fathomtext.functions.text import ACCENTED, UNACCENTED
 
 FOLD = f"translate(lower({{}}), '{ACCENTED}', '{UNACCENTED}')"
@@ -39,7 +41,7 @@ for _name in ("hits", "lens", "stats", "scored", "ranked", "df"):
     GRAM_TAIL = GRAM_TAIL.replace(f", {_name} AS", f", g{_name} AS").replace(f"FROM {_name}", f"FROM g{_name}")
 GRAM_TAIL = (
     GRAM_TAIL.replace("JOIN hits h", "JOIN ghits h").replace("JOIN df USING", "JOIN gdf USING")
-    .replace("JOIN lens l", "JOIN glens l").replace("chunk_id, stats", "chunk_id, gstats").replace("FROM q ", "FROM gq ")
+    .replace("JOIN lens l", "JOIN glens l").replace("chunk_id, stats", "chunk_id, gstats").replace("FROM q JOIN", "FROM gq q JOIN")
 )
 
 GRAMS = f"""
@@ -47,10 +49,10 @@ GRAMS = f"""
     SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS phrase FROM benchmark)
     WHERE length(phrase) >= 3 GROUP BY ALL)
 , gp AS (SELECT DISTINCT phrase,
-    len([i for i in range(1, length(phrase)) if left(phrase, i) = right(phrase, i)]) > 0 AS overlaps FROM gq)
+    [phrase || substr(phrase, i + 1) for i in range(1, length(phrase)) if left(phrase, i) = right(phrase, i)] AS twice FROM gq)
 , gd AS (SELECT doc_id AS chunk_id, lower(text) AS body FROM documents)
 , ghits AS (SELECT phrase, chunk_id,
-    CASE WHEN overlaps
+    CASE WHEN len([o for o in twice if contains(body, o)]) > 0
       THEN len([i for i in range(1, length(body) - length(phrase) + 2) if substr(body, i, length(phrase)) = phrase])
       ELSE (length(body) - length(replace(body, phrase, ''))) // length(phrase) END AS tf
   FROM gd, gp WHERE contains(body, phrase))
@@ -118,11 +120,30 @@ EMBED = """
 EMBED_TEXT = EMBED.format(doc_words=words("text"), query_words=words("text"))
 EMBED_TITLE = EMBED.format(doc_words=words("split_part(text, chr(10), 1)"), query_words=words("text"))
 for _n in ("ew", "eb", "en2", "en", "ev", "qw", "qb", "qn2", "qn", "qv", "edot", "ecos"):
-    import re as _re
-
-    EMBED_TITLE = _re.sub(rf"\b{_n}\b", f"s{_n}", EMBED_TITLE)
+    EMBED_TITLE = re.sub(rf"\b{_n}\b", f"s{_n}", EMBED_TITLE)
+
+CHUNK_KEY = "lang || ':' || doc_id || ':0001' AS chunk_id"
+HYBRID = (TERMS + "," + GRAMS).replace("doc_id AS chunk_id", CHUNK_KEY) + "," + EMBED_TEXT + "," + EMBED_TITLE + """
+, dl AS (SELECT query_id, lang || ':' || doc_id || ':0001' AS chunk_id,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang || ':' || doc_id || ':0001') AS rank FROM ecos QUALIFY rank <= 50)
+, sl AS (SELECT query_id, lang || ':' || doc_id || ':0001' AS chunk_id,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang || ':' || doc_id) AS rank FROM secos QUALIFY rank <= 8)
+, al AS (SELECT query_id, chunk_id, 0 AS src, rank FROM dl
+  UNION ALL SELECT query_id, chunk_id, 1, rank FROM ranked WHERE rank <= 50
+  UNION ALL SELECT query_id, chunk_id, 2, rank FROM granked WHERE rank <= 30)
+, pv AS (SELECT query_id, chunk_id, max(CASE WHEN src = 0 THEN rank END) AS d, max(CASE WHEN src = 1 THEN rank END) AS t,
+    max(CASE WHEN src = 2 THEN rank END) AS g, min(src) AS fs FROM al GROUP BY ALL)
+, rr AS (SELECT *, 0.0::DOUBLE + coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(0.9::DOUBLE / (60 + t), 0)
+    + coalesce(0.7::DOUBLE / (60 + g), 0) AS rrf FROM pv)
+, bo AS (SELECT rr.*, CASE WHEN sl.chunk_id IS NULL THEN 1.0 ELSE 1.08 END::DOUBLE AS boost
+  FROM rr LEFT JOIN sl ON sl.query_id = rr.query_id AND sl.chunk_id = rr.chunk_id)
+, fi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf * boost DESC, fs, coalesce(d, t, g), chunk_id) AS rank FROM bo)
+SELECT query_id, rank, chunk_id, d AS dense_rank, t AS terms_rank, g AS trigram_rank, round(rrf, 6) AS rrf,
+  boost AS section_boost, round(rrf * boost, 6) AS final FROM fi WHERE rank <= 10
+"""
 
 SQL = {
+    "hybrid_search": HYBRID,
     "bm25_terms_topk": TERMS + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
     "substring_truth": "SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM documents d, benchmark b WHERE contains(d.text, b.text)",
     "trigram_bm25_topk": "WITH" + GRAMS
