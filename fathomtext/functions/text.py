@@ -98,6 +98,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold_accents(text), F.lit(WORD), 0)
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(fold_accents(text), F.lit(WORD))
+
+
 def _cjk_terms(run: Column, domain_terms: Column) -> Column:
     """Domain terms found in a run of CJK characters, else its bigrams."""
     bigrams = F.when(F.length(run) <= 2, F.array(run)).otherwise(

@@ -18,6 +18,7 @@ from fathomtext.functions.text import (
     identifiers,
     terms,
     with_normal_text,
+    word_count,
     words,
 )
 from fathomtext.operators.fusion import rrf
@@ -33,7 +34,11 @@ SALTS = 8
 
 @dataclass
 class TermIndex:
-    """``postings(term, chunk_id, tf, positions)`` and ``lengths(chunk_id, dl)``."""
+    """``postings(term, chunk_id, positions)`` and ``lengths(chunk_id, dl)``.
+
+    The frequency of a term is the number of its positions.  Frequencies and
+    phrases read the same column, so one shuffle of the postings serves both.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -82,9 +87,10 @@ def term_index(
     if only_terms is not None:
         occurrences = occurrences.join(only_terms, "term", "left_semi")
     postings = occurrences.groupBy("term", "chunk_id").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")
+        F.array_sort(F.collect_list("pos")).alias("positions")
     )
-    lengths = rows.select("chunk_id", *extra, (F.size("_tokens") - 1).alias("dl"))
+    dl = word_count(F.coalesce(F.col(heading_col), F.lit(""))) + word_count(F.col(text_col))
+    lengths = chunks.select(F.col(id_col).alias("chunk_id"), *extra, dl.alias("dl"))
     return TermIndex(postings, lengths)
 
 
@@ -204,7 +210,7 @@ def phrase_hits(phrases: DataFrame, index: TermIndex, salts: int = SALTS) -> Dat
         .join(repeated_for_salts(wanted, salts), ["term", "_salt"])
         .drop("_salt")
     )
-    single = matched.where(F.col("n") == 1).select("phrase", "chunk_id", "tf")
+    single = matched.where(F.col("n") == 1).select("phrase", "chunk_id", F.size("positions").cast("bigint").alias("tf"))
     starts = (
         matched.where(F.col("n") > 1)
         .select("phrase", "chunk_id", "n", F.explode("positions").alias("pos"), "off")
@@ -320,7 +326,8 @@ def bm25(weighted: DataFrame, hits: DataFrame, lengths: DataFrame, salts: int =
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n = totals.select("n").scalar()
     avgdl = totals.select("avgdl").scalar()
-    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    # Counting over ``tf`` keeps its column, so this reuses the shuffle of the hits.
+    frequency = hits.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weighted.join(frequency, "phrase").select(
         "query_id",

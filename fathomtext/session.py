@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot key is split even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The rule repeats the exploded expression in a filter below the explode; here
+    # that expression is a whole tokenization or parse.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
