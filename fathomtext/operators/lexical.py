@@ -81,12 +81,12 @@ def term_index(
         ),
     )
     rows = chunks.select(F.col(id_col).alias("chunk_id"), *extra, tokens.alias("_tokens"))
-    occurrences = rows.select("chunk_id", F.posexplode("_tokens").alias("pos", "term")).where(
+    occurrences = rows.select("chunk_id", *extra, F.posexplode("_tokens").alias("pos", "term")).where(
         F.col("term").isNotNull()
     )
     if only_terms is not None:
         occurrences = occurrences.join(only_terms, "term", "left_semi")
-    postings = occurrences.groupBy("term", "chunk_id").agg(
+    postings = occurrences.groupBy("term", "chunk_id", *extra).agg(
         F.array_sort(F.collect_list("pos")).alias("positions")
     )
     dl = word_count(F.coalesce(F.col(heading_col), F.lit(""))) + word_count(F.col(text_col))
@@ -115,6 +115,7 @@ def gram_index(
     )
     grams = texts.select(
         "chunk_id",
+        *extra,
         F.explode(F.array_distinct(F.concat(grams_of(F.col("heading")), grams_of(F.col("body"))))).alias("gram"),
     )
     count = lambda c: F.greatest(F.length(c) - (GRAM - 1), F.lit(0))
