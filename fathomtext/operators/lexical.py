@@ -30,6 +30,7 @@ IDF_FLOOR = 1e-6
 
 GRAM = 3
 SALTS = 8
+MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass
@@ -319,10 +320,15 @@ def scanned_substring_hits(phrases: DataFrame, index: GramIndex, window: int = 3
 # --- scoring ------------------------------------------------------------------------
 
 
-def bm25(weighted: DataFrame, hits: DataFrame, lengths: DataFrame, salts: int = SALTS) -> DataFrame:
+def bm25(
+    weighted: DataFrame, hits: DataFrame, lengths: DataFrame, salts: int = SALTS, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """Scores ``query_id, chunk_id, score``; larger is better.
 
     ``weighted(query_id, phrase, weight)`` meets ``hits(phrase, chunk_id, tf)``.
+    The size of the query batch is checked: a small one is broadcast to hits
+    laid out by chunk, which are then summed without a further shuffle; a large
+    one meets the hits on salted phrases.
     """
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n = totals.select("n").scalar()
@@ -330,23 +336,23 @@ def bm25(weighted: DataFrame, hits: DataFrame, lengths: DataFrame, salts: int =
     # Counting over ``tf`` keeps its column, so this reuses the shuffle of the hits.
     frequency = hits.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weighted.join(frequency, "phrase").select(
-        "query_id",
-        "phrase",
-        (F.col("weight") * F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))).alias("w"),
-    )
-    saturated = hits.join(lengths.select("chunk_id", "dl"), "chunk_id").select(
-        "phrase",
-        "chunk_id",
-        (
-            F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-        ).alias("part"),
+    inverse = frequency.select("phrase", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    saturated = (
+        hits.repartition("chunk_id")
+        .join(lengths.select("chunk_id", "dl"), "chunk_id")
+        .select("phrase", "chunk_id", part.alias("part"))
     )
-    return (
-        salted_terms(saturated, "chunk_id", salts)
-        .join(repeated_for_salts(weights, salts), ["phrase", "_salt"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+    if weighted.count() <= max_broadcast_rows:
+        # There are at most as many frequencies as weights.
+        matched = saturated.join(F.broadcast(inverse), "phrase").join(F.broadcast(weighted), "phrase")
+    else:
+        weights = weighted.join(inverse, "phrase")
+        matched = salted_terms(saturated, "chunk_id", salts).join(
+            repeated_for_salts(weights, salts), ["phrase", "_salt"]
+        )
+    return matched.groupBy("query_id", "chunk_id").agg(
+        F.sum(F.col("weight") * F.col("idf") * F.col("part")).alias("score")
     )
 
 

@@ -51,6 +51,9 @@ def test_terms_bm25_with_phrases(spark):
         (r.query_id, r.chunk_id): r.score
         for r in lexical.bm25(phrases, lexical.phrase_hits(phrases, index), index.lengths).collect()
     }
+    salted = lexical.bm25(phrases, lexical.phrase_hits(phrases, index), index.lengths, max_broadcast_rows=0)
+    again = {(r.query_id, r.chunk_id): r.score for r in salted.collect()}
+    assert set(again) == set(got) and all(abs(again[k] - got[k]) < 1e-9 for k in got)
     docs = {}
     for r in chunks.collect():
         docs[r.id] = ["head", "line", None] + re.findall(r"\w+", r.lexical_text.lower())
