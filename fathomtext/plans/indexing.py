@@ -84,6 +84,8 @@ def reconcile_files(
     Only paths whose size or mtime changed are read.  Returns the states.
     ``rebuild`` starts from an empty catalog.
     """
+    if version == snapshots.current_version(spark, store):
+        raise ValueError(f"{version} is already published")
     known = None if rebuild else snapshots.current_version(spark, store)
     read = lambda name: snapshots.read_table(spark, store, name, known)
     if known:

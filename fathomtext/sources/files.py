@@ -46,11 +46,25 @@ def list_named_directories(
 
 
 def read_contents(spark: SparkSession, roots: list[str], paths: DataFrame) -> DataFrame:
-    """Content, hash and decoded text of the given paths.
+    """Content, hash and decoded text of the given ``paths(path, size, mtime_ms)``.
 
-    Bytes that are not UTF-8 become rows with ``error`` and no text.
+    The source prunes files by time and length before it opens them, so the
+    range of the wanted files is handed to it first: what has not changed since
+    the last run is not read.  Bytes that are not UTF-8 become rows with
+    ``error`` and no text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    span = paths.agg(
+        F.min("mtime_ms").alias("t0"), F.max("mtime_ms").alias("t1"), F.min("size").alias("n0"), F.max("size").alias("n1")
+    ).first()
+    if span["t0"] is None:
+        files = files.where(F.lit(False))
+    else:
+        files = files.where(
+            (F.col("modificationTime") >= F.timestamp_millis(F.lit(span["t0"])))
+            & (F.col("modificationTime") < F.timestamp_millis(F.lit(span["t1"] + 1)))
+            & F.col("length").between(span["n0"], span["n1"])
+        )
     chosen = files.join(paths.select("path"), "path", "left_semi")
     text = F.col("content").cast("string")
     ok = F.is_valid_utf8(text)

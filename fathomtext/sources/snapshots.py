@@ -18,6 +18,8 @@ def with_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
 
 def publish(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> None:
     """Write the tables of a snapshot and switch the pointer to it."""
+    if version == current_version(spark, root):
+        raise ValueError(f"{version} is already published")
     for name, df in tables.items():
         key = "id" if name == "documents" else "document_id" if "document_id" in df.columns else df.columns[0]
         with_bucket(df, key, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
