@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomtext.functions.exprs import append, bind, clip, empty_array, lstrip_blanks, null_as, strip
-from fathomtext.functions.stats import nearest_rank
+from fathomtext.functions.stats import nearest_rank, top_rows
 from fathomtext.functions.text import lexical_text, plain_text
 from fathomtext.operators.structure import BLOCK, evidence_levels
 
@@ -439,3 +439,21 @@ def chunk_gates(chunks: DataFrame, sections: DataFrame, blocks: DataFrame, docum
 
 def oversized_count(chunks: DataFrame, hard_max: int = ChunkLimits.hard_max) -> DataFrame:
     return chunks.where(F.length("plain_text") > hard_max).agg(F.count(F.lit(1)).alias("oversized_chunks"))
+
+
+def chunk_samples(chunks: DataFrame, n: int = 3) -> DataFrame:
+    """First chunks of each content type, for review."""
+    return top_rows(chunks, ["content_type"], [F.asc("document_id"), F.asc("ordinal")], n, "sample_rank")
+
+
+def recheck(stored: DataFrame, parsed: DataFrame, columns: tuple[str, ...] = ("id", "start_line", "end_line", "content_hash")) -> DataFrame:
+    """Chunks that a fresh run over ``parsed`` gives differently than stored.
+
+    ``side`` tells whether a row is only in the store or only in the new run.
+    """
+    documents = parsed.select(F.col("document_id").cast("string").alias("document_id"))
+    old = stored.join(documents, "document_id", "left_semi").select(*columns)
+    new = chunk_table(parsed).select(*columns)
+    return old.exceptAll(new).withColumn("side", F.lit("stored")).unionByName(
+        new.exceptAll(old).withColumn("side", F.lit("fresh"))
+    )

@@ -122,6 +122,13 @@ def complete_metrics(metrics: DataFrame, queries: DataFrame, arm_names: list[str
     return wanted.join(metrics, ["arm", "query_id"], "left").na.fill(0)
 
 
+def first_queries(queries: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` labelled queries, for a short online run."""
+    if not 1 <= n <= 50:
+        raise ValueError("n must lie between 1 and 50")
+    return queries.orderBy("query_id").limit(n)
+
+
 MEASURES = ("hit1", "hit3", "hit5", "recall5", "recall10", "mrr", "ndcg")
 
 

@@ -279,6 +279,14 @@ def facet_values(spark, sf_dir) -> DataFrame:
     return facets(inputs.document_rows(spark, sf_dir))
 
 
+def chunk_samples(spark, sf_dir) -> DataFrame:
+    """First three documents of each language."""
+    d = inputs.table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("content_type"), F.col("doc_id").alias("document_id"), F.lit(1).alias("ordinal"), F.md5("text").alias("digest")
+    )
+    return chunking.chunk_samples(d).select("content_type", "document_id", "digest", "sample_rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -287,6 +295,6 @@ QUERIES = {
         line_explode, heading_tree, page_sections, page_blocks, evidence_levels, prose_packing, plain_texts,
         chunk_stats_by_language, chunk_stats_overall, chunk_gates, real_chunk_gates, index_counts, index_totals,
         orphan_points, documents_to_embed, catalog_generation, document_detail, catalog_upsert, children_replaced,
-        facet_values,
+        facet_values, chunk_samples,
     )
 }

@@ -243,5 +243,7 @@ UNION ALL SELECT -doc_id - 1, 'before', '2026-01-01' FROM labels WHERE toxic = 1
     "children_replaced": LINES + """
 SELECT doc_id AS document_id, doc_id || ':' || n AS id, length(line)::BIGINT AS n FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, doc_id || ':1', length(split_part(text, chr(10), 1)) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "chunk_samples": """SELECT lang AS content_type, doc_id AS document_id, md5(text) AS digest,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS sample_rank FROM documents QUALIFY sample_rank <= 3""",
     "facet_values": "SELECT DISTINCT source AS domain FROM documents WHERE source <> ''",
 }

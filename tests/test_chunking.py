@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fathomtext.functions.text import plain_text
-from fathomtext.operators.chunking import chunk_gates, chunk_stats, chunk_table
+from fathomtext.operators.chunking import chunk_gates, chunk_stats, chunk_table, recheck
 from fathomtext.operators.structure import blocks_table, parse_documents, sections_table
 
 FORMULA = "# T\n\n## 1.1 S\n\nshort reason.\n\n$$\na\n$$\n\nafter one\n\n$$\nb\n$$\n\n$$\nc\n$$\n\nafter two\n\n| a | b |\n|---|---|\n| **1** | `2` |\n"
@@ -39,6 +39,8 @@ def test_chunks(spark):
 
     gates = chunk_gates(chunks, sections_table(parsed), blocks_table(parsed), parsed)
     assert [r.gate_passed for r in gates.collect()] == [True] * 5
+    changed = chunks.withColumn("end_line", F.when(F.col("id") == "f:ch1-1:0001", 99).otherwise(F.col("end_line")))
+    assert {(r.id, r.side) for r in recheck(changed, parsed).collect()} == {("f:ch1-1:0001", "stored"), ("f:ch1-1:0001", "fresh")}
     stats = chunk_stats(chunks).first()
     assert stats.chunk_count == chunks.count() and stats.max == 2200
     chunks.unpersist()
