@@ -155,7 +155,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def _labelled(df: DataFrame, comps: DataFrame, name: str = "id", out: str = "comp") -> DataFrame:
     """Adds the component so far; a class without a link is its own."""
-    c = comps.withColumnsRenamed({"node": name, "component": out})
+    c = comps.select(F.col("node").alias(name), F.col("component").alias(out))
     return df.join(c, name, "left").withColumn(out, F.coalesce(out, F.col(name)))
 
 
@@ -165,7 +165,7 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
         F.col("cu").alias("u"), F.col("cv").alias("v")
     )
     onward = components(ends)
-    known = _labelled(comps, onward.withColumnRenamed("component", "c2"), "component", "c2").select(
+    known = _labelled(comps, onward, "component", "c2").select(
         "node", F.col("c2").alias("component")
     )
     return written(known.unionByName(onward.join(comps.select("node"), "node", "left_anti")))
@@ -194,9 +194,10 @@ def _rest(members: DataFrame, signatures: DataFrame, comps: DataFrame, threshold
     )
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    here = m.join(mixed, "bucket").join(signatures.select("id", "signature"), "id")
+    here = written(m.join(mixed, "bucket").join(signatures.select("id", "signature"), "id"))
+    again = here.select(*[F.col(c).alias(c) for c in here.columns])
     odd = here.where(F.col("comp") != F.col("main")).withColumn("x", block("odd_blocks", 1)).withColumn("y", spread("all_blocks"))
-    every = here.withColumn("y", block("all_blocks", 2)).withColumn("x", spread("odd_blocks"))
+    every = again.withColumn("y", block("all_blocks", 2)).withColumn("x", spread("odd_blocks"))
     cols = ["bucket", "x", "y", "id", "comp", "signature"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

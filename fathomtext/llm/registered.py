@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fathomtext.llm import bpe, mixing, quality_rules, topk
+from fathomtext.llm import bpe, classifier, mixing, near_dup, passages, quality_rules, substrings, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op2_mixing": mixing.op2_mixing,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_quality_classifier": classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_minhash_near_dup": near_dup.op7_minhash_near_dup,
+    "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
+    "op10_shared_passages": passages.op10_shared_passages,
 }
 
 SQL = {"op1_exact_topk": topk.SQL}
