@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fathomtext.llm import bpe, classifier, mixing, near_dup, passages, quality_rules, substrings, topk
+import corpus_pipeline
+from fathomtext.llm import bpe, classifier, language_id, language_model, mixing, near_dup, passages, quality_rules, substrings, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,9 +11,14 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_quality_classifier": classifier.op4_quality_classifier,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_language_id": language_id.op6_language_id,
     "op7_minhash_near_dup": near_dup.op7_minhash_near_dup,
+    "op8_backoff_automaton": language_model.op8_backoff_automaton,
     "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
     "op10_shared_passages": passages.op10_shared_passages,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {"op1_exact_topk": topk.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
