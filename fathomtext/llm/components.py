@@ -24,7 +24,9 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         out = out.unionByName(low.select("u", F.col("m").alias("v")))
     else:
         out = around.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    # Repeated edges do no harm inside a round; the small star ends it.
+    out = out.where(F.col("u") != F.col("v"))
+    return out.distinct() if small else out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

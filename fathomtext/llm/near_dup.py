@@ -7,7 +7,7 @@ Texts with equal shingle sets form a class at once.  In each band bucket the cla
 first compared with one pivot (a star), not with each other; linked classes become one
 component.  Only classes that still lie in different components of a bucket are compared
 further, block by block, so no link between different texts is lost and a large group
-of copies costs about one comparison per band and member.
+of copies that one pivot links costs about one comparison per band and member.
 """
 
 from __future__ import annotations
@@ -128,26 +128,30 @@ def _agreeing(pairs: DataFrame, signatures: DataFrame, threshold: float) -> Data
     return both.select("u", "v", "su", "sv").mapInArrow(compare, "u long, v long, agree long")
 
 
-def _shingle_set(text: str, k: int) -> set:
-    ws = words(lower_ascii(text))
-    return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+def _full_set(text: str | None, k: int, hashed: WordHashes) -> np.ndarray:
+    """The whole shingle set of a text as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(hashed(words(lower_ascii(text))), k)) if text else np.zeros(0, np.uint64)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the similarity; counted on the words themselves."""
+    """Pairs (u, v) whose full sets reach the similarity."""
     first = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
     both = first.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
 
     def check(batches):
+        hashed = WordHashes()
+        last, x = None, None
         for batch in batches:
-            us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-            keep, last, x = [], None, set()
-            for u, v, tu, tv in zip(us, vs, batch.column("tu"), batch.column("tv")):
+            keep = []
+            for v, tu, tv in zip(batch.column("v").to_pylist(), batch.column("tu"), batch.column("tv")):
                 if last != v:
-                    last, x = v, _shingle_set(tv.as_py(), k)
-                y = _shingle_set(tu.as_py(), k)
-                shared = len(x & y)
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                    last, x = v, _full_set(tv.as_py(), k, hashed)
+                keep.append(_linked(x, _full_set(tu.as_py(), k, hashed), percent))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
@@ -171,57 +175,79 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.unionByName(onward.join(comps.select("node"), "node", "left_anti")))
 
 
-def _rest(members: DataFrame, signatures: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
-    """All agreeing pairs of a bucket whose classes lie in different components.
+def _rest(members: DataFrame, signatures: DataFrame, texts: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between classes that share a bucket but lie in different components.
 
-    The largest component of a bucket need not be compared with itself: each class of
-    the others meets every member, in blocks of both.  A pair that shares several
-    buckets is taken in the first one.
+    Components that meet in a bucket form a family.  The largest one of a family need not
+    be compared with itself: each class of the others meets every member, in blocks
+    of both.  Inside a block a pair is counted in full if it shares a band, its
+    signatures agree as a pair at the threshold would, and no link has joined its
+    components yet, so only links leave it, not pairs.
     """
-    least = _least_agreement(threshold)
+    least = _least_agreement(percent / 100)
     m = written(_labelled(members, comps))
-    sizes = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-        .where(F.col("comps") > 1)
+    mixed = m.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    met = written(m.join(mixed.select("bucket", "low"), "bucket").select("id", "comp", "low").distinct())
+    families = written(components(met.select(F.col("comp").alias("u"), F.col("low").alias("v"))))
+    inside = written(met.select("id", "comp").distinct().join(families.withColumnsRenamed({"node": "comp", "component": "family"}), "comp"))
+    sizes = inside.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    plan = (
+        sizes.groupBy("family")
+        .agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
         .select(
-            "bucket",
+            "family",
             F.col("top.comp").alias("main"),
             F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("odd_blocks"),
             F.ceil(F.col("all") / BLOCK).cast("int").alias("all_blocks"),
         )
     )
+
+    def full_sets(batches):
+        hashed = WordHashes()
+        for batch in batches:
+            sets = [_full_set(t, k, hashed).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "full"])
+
+    wanted = texts.join(inside.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", "text")
+    here = written(
+        inside.join(plan, "family")
+        .join(signatures.select("id", "signature"), "id")
+        .join(wanted.mapInArrow(full_sets, "id long, full binary"), "id")
+    )
+    again = here.select(*[F.col(c).alias(c) for c in here.columns])
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    here = written(m.join(mixed, "bucket").join(signatures.select("id", "signature"), "id"))
-    again = here.select(*[F.col(c).alias(c) for c in here.columns])
     odd = here.where(F.col("comp") != F.col("main")).withColumn("x", block("odd_blocks", 1)).withColumn("y", spread("all_blocks"))
     every = again.withColumn("y", block("all_blocks", 2)).withColumn("x", spread("odd_blocks"))
-    cols = ["bucket", "x", "y", "id", "comp", "signature"]
+    cols = ["family", "x", "y", "id", "comp", "signature", "full"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out_u, out_v = [], []
+        out = []
         if len(left) and len(right):
-            band = int(left["bucket"].iloc[0]) & 31
-            a, b = (np.frombuffer(b"".join(s["signature"]), np.uint32).reshape(len(s), -1) for s in (left, right))
+            a, b = (np.frombuffer(b"".join(f["signature"]), np.uint32).reshape(len(f), -1) for f in (left, right))
             lc, rc = left["comp"].to_numpy(), right["comp"].to_numpy()
-            li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+            sets = [[np.frombuffer(x, np.uint64) for x in f["full"]] for f in (left, right)]
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
             for i in range(len(a)):
                 same = b == a[i]
-                hit = np.flatnonzero((rc != lc[i]) & (same.sum(axis=1) >= least))
-                if len(hit):
-                    first = same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-                    hit = hit[first]
-                    out_u.append(np.maximum(ri[hit], li[i]))
-                    out_v.append(np.minimum(ri[hit], li[i]))
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"u": np.concatenate([none, *out_u]), "v": np.concatenate([none, *out_v])})
-
-    keys = ["bucket", "x", "y"]
-    return (
-        odd.select(cols).groupBy(keys).cogroup(every.select(cols).groupBy(keys)).applyInPandas(compare, "u long, v long").distinct()
-    )
+                agree = same.sum(axis=1)
+                hit = np.flatnonzero((rc != lc[i]) & (agree >= least))
+                hit = hit[same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).any(axis=1)]
+                for j in hit[np.argsort(-agree[hit], kind="stable")]:
+                    p, q = root(lc[i]), root(rc[j])
+                    if p != q and _linked(sets[0][i], sets[1][j], percent):
+                        parent[p] = q
+                        out.append((left["id"].iat[i], right["id"].iat[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    keys = ["family", "x", "y"]
+    return odd.select(cols).groupBy(keys).cogroup(every.select(cols).groupBy(keys)).applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -263,13 +289,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # The likeliest pivot of each class first; the others only where components differ.
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v"))
-    links = _confirmed(best, texts, k, percent)
-    comps = written(components(links))
-    apart = _labelled(_labelled(candidates.select("u", "v"), comps, "u", "cu"), comps, "v", "cv")
-    again = apart.where(F.col("cu") != F.col("cv")).select("u", "v").join(best, ["u", "v"], "left_anti")
-    comps = _merge(comps, written(_confirmed(again, texts, k, percent)))
-    rest = _rest(members, signatures, comps, threshold)
-    comps = _merge(comps, written(_confirmed(rest, texts, k, percent)))
+    comps = written(components(_confirmed(best, texts, k, percent)))
+    comps = _merge(comps, written(_rest(members, signatures, texts, comps, k, percent)))
 
     # Rows that repeat an id tie the classes of their texts together.
     twice = membership.join(membership.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id")
