@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = 100_000, limit: int = 1000) -> DataFrame:
-    """The most frequent keys, at most ``limit`` of them.
+#: Rows of one key that a task should meet at most.
+ROWS_PER_TASK = 200_000
 
-    A key outside the list holds less than one ``limit``-th of the rows, so the
-    list is small by construction whatever the data.
+
+def hot_keys(df: DataFrame, keys: list[str], rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows`` rows and ``_salts``, the tasks to spread each over.
+
+    There is at most one such key for every ``rows`` rows of the table, so the list of a
+    table of 10^11 rows has at most 500,000 entries of a key and a number.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= min_rows).orderBy(F.desc("_n"), *keys).limit(limit).select(*keys)
+    return counts.where(F.col("_n") > rows).select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
 
 
 def lookup_join(
@@ -21,32 +25,24 @@ def lookup_join(
     keys: list[str],
     spread_by: str,
     how: str = "inner",
-    salts: int = 64,
-    min_rows: int = 100_000,
+    rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join a large table to one row (or few rows) per key.
 
-    Rows of hot keys are spread over ``salts`` partitions by a hash of
-    ``spread_by``; only the lookup rows of those keys are repeated.
+    Rows of a hot key are spread by a hash of ``spread_by`` over as many salts as its number of
+    rows asks for; only the lookup rows of those keys are repeated.
     """
-    hot = hot_keys(df, keys, min_rows).withColumn("_hot", F.lit(True))
+    hot = hot_keys(df, keys, rows)
+    salts = F.coalesce("_salts", F.lit(1))
     left = (
         df.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+        .drop("_salts")
     )
     right = (
         lookup.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 

@@ -68,16 +68,19 @@ def fold_spaces(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def with_normal_text(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """NFKC plus white-space folding.
+def normal_form(c: Column) -> Column:
+    """NFKC of a text.
 
-    Spark has no NFKC, so rows with characters beyond Latin-1 letters go
-    through a vectorized Python function; all other rows stay in the JVM.
+    Spark has no NFKC.  Texts with characters beyond Latin-1 letters go through a
+    vectorized Python function, which sees null in the place of all others.
     """
-    foldable = F.col(text_col).rlike(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
-    plain = df.where(~F.coalesce(foldable, F.lit(False))).withColumn(out_col, fold_spaces(F.col(text_col)))
-    wide = df.where(foldable).withColumn(out_col, fold_spaces(_nfkc(F.col(text_col))))
-    return plain.unionByName(wide)
+    foldable = c.rlike(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+    return F.coalesce(_nfkc(F.when(foldable, c)), c)
+
+
+def with_normal_text(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """NFKC plus white-space folding."""
+    return df.withColumn(out_col, fold_spaces(normal_form(F.col(text_col))))
 
 
 def fold_accents(c: Column) -> Column:

@@ -175,12 +175,10 @@ def stratified_sample(rows: DataFrame, stratum: str, id_col: str, sizes: dict[st
     return picked.where(F.col("draw_rank") <= wanted).drop("_draw")
 
 
-def duplicate_groups(files: DataFrame, hash_col: str = "sha256", path_col: str = "path", examples: int = 4) -> DataFrame:
-    """Groups of identical content, largest first, with a few example paths."""
+def duplicate_groups(files: DataFrame, hash_col: str = "sha256", path_col: str = "path") -> DataFrame:
+    """Every file of a group of identical content with the size of its group, as a row each."""
     groups = files.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    few = top_rows(files.select(hash_col, path_col), [hash_col], [F.asc(path_col)], examples, "at")
-    shown = few.groupBy(hash_col).agg(F.array_sort(F.collect_list(path_col)).alias("paths"))
-    return groups.join(shown, hash_col).orderBy(F.desc("n"), F.asc(hash_col))
+    return lookup_join(files.select(hash_col, path_col), groups, [hash_col], path_col)
 
 
 def corpus_profile(files: DataFrame) -> DataFrame:

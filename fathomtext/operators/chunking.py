@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomtext.functions.exprs import append, bind, clip, empty_array, lstrip_blanks, null_as, strip
 from fathomtext.functions.stats import nearest_rank, top_rows
-from fathomtext.functions.text import lexical_text, plain_text
+from fathomtext.functions.text import lexical_text, normal_form, plain_text
 from fathomtext.operators.structure import BLOCK, evidence_levels
 
 CHUNKER_VERSION = "1"
@@ -304,7 +304,7 @@ def chunk_table(
         F.col("c.piece.end_line").alias("end_line"),
         F.col("c.piece.oversized").alias("oversized"),
         F.sha2(raw, 256).alias("content_hash"),
-    ).withColumn("evidence_level", F.array_min("evidence_levels"))
+    ).withColumn("evidence_level", F.array_min("evidence_levels")).withColumn("normal", normal_form(F.col("plain_text")))
     return shaped.select(
         F.format_string("%s:%s:%04d", "document_id", "section_id", "ordinal").alias("id"),
         "document_id",
@@ -318,7 +318,7 @@ def chunk_table(
             F.col("title"), F.col("domain"), F.col("heading_path"), F.col("content_type"),
             F.col("evidence_level"), F.col("plain_text"),
         ).alias("embedding_text"),
-        lexical_text(F.col("plain_text"), domain_terms).alias("lexical_text"),
+        lexical_text(F.col("normal"), domain_terms).alias("lexical_text"),
         "evidence_level",
         F.when(F.size("evidence_levels") > 0, F.col("evidence_levels")).alias("evidence_levels"),
         "start_line",

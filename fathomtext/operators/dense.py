@@ -18,6 +18,7 @@ from fathomtext.operators.fusion import SearchFilters
 
 DEFAULT_DIM = 128
 QUERY_BLOCK_BYTES = 64 << 20
+TILE_ROWS, TILE_QUERIES = 2048, 1024
 
 
 # --- ids ------------------------------------------------------------------------------
@@ -54,12 +55,14 @@ def l2_normalized(v: Column) -> Column:
 def _counts_to_unit(dim: int):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(buckets: pd.Series) -> pd.Series:
-        def one(b) -> np.ndarray:
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            norm = np.sqrt(v @ v)
-            return (v / norm if norm else v).astype(np.float32)
-
-        return buckets.map(one)
+        lengths = buckets.map(lambda b: 0 if b is None else len(b)).to_numpy(np.int64)
+        out = np.zeros(len(buckets) * dim)
+        if lengths.sum():
+            cells = np.concatenate([b for b in buckets if b is not None and len(b)]).astype(np.int64)
+            cells += np.repeat(np.arange(len(buckets)) * dim, lengths)
+            out = np.bincount(cells, minlength=len(out)).astype(np.float64)
+        unit = _unit_rows(out.reshape(len(buckets), dim)).astype(np.float32)
+        return pd.Series(list(unit), index=buckets.index)
 
     return run
 
@@ -125,13 +128,16 @@ def cosine_topk(
 ) -> DataFrame:
     """Exact cosine top ``k`` per query: ``query_id, id_col, score, rank``.
 
-    The vectors stay where they lie: each task multiplies its Arrow batches
-    with a block of queries and keeps ``k`` rows per query.  Only a block whose
+    The vectors stay where they lie: each task multiplies tiles of its Arrow batches
+    with tiles of a block of queries and keeps ``k`` rows per query.  Only a block whose
     size is bounded by ``block_bytes`` is sent to the executors; a larger query
-    batch makes several passes over the vectors.
+    batch makes several passes over the vectors.  Null vectors and vectors of another
+    length than the queries' have no score; null or shorter queries have no hits.
     """
     spark = vectors.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v")).where(
+        F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    )
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     id_type = vectors.schema[id_col].dataType
     qid_type = q.schema["query_id"].dataType
@@ -144,7 +150,12 @@ def cosine_topk(
     )
     if not size["n"]:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    blocks = max(1, math.ceil(size["n"] * size["d"] * 8 / block_bytes))
+    q = q.where(F.size("v") == size["d"])
+    vectors = vectors.where(
+        (F.size(vector_col) == size["d"]) & ~F.exists(vector_col, lambda x: x.isNull())
+    )
+    # A block bounds both the queries' numbers and the hits kept for them.
+    blocks = max(1, math.ceil(size["n"] * max(size["d"], 4 * k) * 8 / block_bytes))
     parts = []
     for b in range(blocks):
         mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -176,19 +187,26 @@ def _one_pass(vectors, shared, k, id_col, vector_col, decimals, schema) -> DataF
             if batch.num_rows == 0:
                 continue
             id_arrow = batch.column(0).type
-            ids = np.asarray(batch.column(0).to_pandas())
+            every = np.asarray(batch.column(0).to_pandas())
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(_unit_rows(flat.reshape(batch.num_rows, -1)) @ matrix.T, decimals)
-            fresh = []
-            for j in range(matrix.shape[0]):
-                s = scores[:, j]
-                i = ids
-                if best is not None:
-                    s = np.concatenate([best[j][0], s])
-                    i = np.concatenate([best[j][1], ids])
-                top = _best_of(s, i, k)
-                fresh.append((s[top], i[top]))
-            best = fresh
+            rows = _unit_rows(flat.reshape(batch.num_rows, -1))
+            none = (np.empty(0), every[:0])
+            best = best or [none] * len(qids)
+            # Tiles keep the product of vectors and queries at 2 million scores.
+            for r in range(0, len(rows), TILE_ROWS):
+                ids = every[r : r + TILE_ROWS]
+                for c in range(0, len(qids), TILE_QUERIES):
+                    scores = np.round(matrix[c : c + TILE_QUERIES] @ rows[r : r + TILE_ROWS].T, decimals)
+                    if scores.shape[1] > k:
+                        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    else:
+                        cut = np.full(len(scores), -np.inf)
+                    for j, (line, least) in enumerate(zip(scores, cut), start=c):
+                        near = np.flatnonzero(line >= least)
+                        s = np.concatenate([best[j][0], line[near]])
+                        i = np.concatenate([best[j][1], ids[near]])
+                        top = _best_of(s, i, k)
+                        best[j] = (s[top], i[top])
         if best is None:
             return
         counts = [len(s) for s, _ in best]

@@ -121,13 +121,16 @@ def task_id_gate(tasks: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def prompt_gate(tasks: DataFrame, run_meta: DataFrame, files: DataFrame, prompt: str = "AGENT_INSTRUCTION.md", manifest_name: str = "manifest.json") -> DataFrame:
-    """The hashes the worker saw equal those of the prompt and the manifest."""
+    """The hashes the worker saw equal those of the prompt and the manifest.
+
+    ``run_meta`` carries ``pack_id``, the pack it lies in.
+    """
     pick = lambda n: F.max(F.when(F.col("name") == n, F.col("sha256")))
     hashes = files.where(F.col("name").isin(prompt, manifest_name)).groupBy("task_id").agg(
         pick(prompt).alias("prompt_hash"), pick(manifest_name).alias("manifest_hash")
     )
     j = tasks.select("task_id").join(
-        run_meta.select("task_id", "prompt_sha256", "task_manifest_sha256"), "task_id", "left"
+        run_meta.select(F.col("pack_id").alias("task_id"), "prompt_sha256", "task_manifest_sha256"), "task_id", "left"
     ).join(hashes, "task_id", "left")
     same = (F.lower("prompt_sha256") == F.col("prompt_hash")) & (
         F.lower("task_manifest_sha256") == F.col("manifest_hash")

@@ -70,9 +70,12 @@ def labelled_excerpts(resolved: DataFrame, max_evidence: int = MAX_EVIDENCE, cha
 def pack_evidence(resolved: DataFrame, chars: int = EXCERPT_CHARS, max_evidence: int = MAX_EVIDENCE) -> DataFrame:
     """Rows of an evidence pack, numbered EV001, EV002, …
 
-    Packs are admitted only up to ``max_evidence`` rows, which bounds the rank.
+    A task with more than ``max_evidence`` references is refused whole, so a pack holds every
+    reference of its task or has no rows; the limit also bounds the rank.
     """
-    first = top_rows(resolved, ["task_id"], [F.asc("position"), F.asc("chunk_id")], max_evidence, "at")
+    counts = resolved.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
+    admitted = resolved.join(counts.where(F.col("n") <= max_evidence).select("task_id"), "task_id", "left_semi")
+    first = top_rows(admitted, ["task_id"], [F.asc("position"), F.asc("chunk_id")], max_evidence, "at")
     heading = F.coalesce(F.nullif("c_heading_path", F.lit("")), F.lit(""))
     return first.select(
         "task_id",

@@ -28,9 +28,11 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 
+# Fixed value: what counts as a listed term without Chinese characters.
+ASCII_TERM = r"^[A-Za-z0-9µμ°²±×$%][-:/_.+×·A-Za-z0-9µμ°²±×$%]*$"
+
 GRAM = 3
 SALTS = 8
-MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass
@@ -47,15 +49,11 @@ class TermIndex:
 
 @dataclass
 class GramIndex:
-    """``grams(gram, chunk_id)``, ``texts(chunk_id, heading, body)``, ``lengths``.
-
-    ``stored`` says that the tables are read back rather than derived on the fly.
-    """
+    """``grams(gram, chunk_id)``, ``texts(chunk_id, heading, body)``, ``lengths``."""
 
     grams: DataFrame
     texts: DataFrame
     lengths: DataFrame
-    stored: bool = False
 
 
 # --- building -----------------------------------------------------------------------
@@ -129,7 +127,7 @@ def domain_terms(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(strip(F.col("value")).alias("term"))
     return (
         lines.where((F.col("term") != "") & ~F.startswith("term", F.lit("#")))
-        .select("term", F.col("term").rlike(r"^[A-Za-z0-9µμ°²±×$%][-:/_.+×·A-Za-z0-9µμ°²±×$%]*$").alias("is_ascii"))
+        .select("term", F.col("term").rlike(ASCII_TERM).alias("is_ascii"))
         .distinct()
     )
 
@@ -263,72 +261,34 @@ def _wanted_postings(phrases: DataFrame, index: GramIndex) -> DataFrame:
 def substring_hits(phrases: DataFrame, index: GramIndex, salts: int = SALTS) -> DataFrame:
     """Exact substring matches of distinct phrases: ``phrase, chunk_id, tf``.
 
-    Each phrase is looked up by its rarest trigram only; the candidates of a
-    chunk are then counted in its text where that text lies.
+    Each phrase is looked up by its rarest trigram only; a candidate, one row
+    whatever the number of phrases, is then counted in the text of its chunk.
     """
     postings = _wanted_postings(phrases, index)
     anchors = anchors_of(phrases, postings).withColumn("overlaps", _can_overlap(F.col("phrase")))
     candidates = (
         salted_terms(postings, "chunk_id", salts)
         .join(repeated_for_salts(anchors, salts), ["gram", "_salt"])
-        .groupBy("chunk_id")
-        .agg(F.collect_list(F.struct("phrase", "overlaps")).alias("asked"))
-    )
-    heading, body = F.col("heading"), F.col("body")
-    counted = F.transform(
-        "asked",
-        lambda a: F.struct(
-            a["phrase"].alias("phrase"),
-            (
-                occurrences(heading, a["phrase"], a["overlaps"]) + occurrences(body, a["phrase"], a["overlaps"])
-            ).alias("tf"),
-        ),
+        .select("chunk_id", "phrase", "overlaps")
     )
+    count = lambda text: occurrences(F.col(text), F.col("phrase"), F.col("overlaps"))
     return (
         index.texts.join(candidates, "chunk_id")
-        .select("chunk_id", F.explode(F.filter(counted, lambda x: x["tf"] > 0)).alias("x"))
-        .select("x.phrase", "chunk_id", "x.tf")
-    )
-
-
-def scanned_substring_hits(phrases: DataFrame, index: GramIndex, window: int = 32) -> DataFrame:
-    """The same matches as ``substring_hits`` in one pass over the texts.
-
-    Without a stored index every position yields a short window, which meets
-    the phrases on its first trigram and counts where it starts with one.  Only
-    counts are shuffled.  Phrases longer than the window go through the index.
-    """
-    distinct = phrases.select("phrase").distinct()
-    starts = F.lit(f"(?s)(?=(.{{{GRAM},{window}}}))")
-    windows = index.texts.select(
-        "chunk_id",
-        F.explode(
-            F.concat(F.regexp_extract_all("heading", starts, 1), F.regexp_extract_all("body", starts, 1))
-        ).alias("w"),
-    ).withColumn("gram", F.left("w", F.lit(GRAM)))
-    short = distinct.where(F.length("phrase") <= window).withColumn("gram", F.left("phrase", F.lit(GRAM)))
-    scanned = (
-        windows.join(short, "gram")
-        .where(F.startswith("w", "phrase"))
-        .groupBy("phrase", "chunk_id")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        .select("phrase", "chunk_id", (count("heading") + count("body")).alias("tf"))
+        .where(F.col("tf") > 0)
     )
-    long = distinct.where(F.length("phrase") > window)
-    return scanned.unionByName(substring_hits(long, index))
 
 
 # --- scoring ------------------------------------------------------------------------
 
 
-def bm25(
-    weighted: DataFrame, hits: DataFrame, lengths: DataFrame, salts: int = SALTS, max_broadcast_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
+def bm25(weighted: DataFrame, hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """Scores ``query_id, chunk_id, score``; larger is better.
 
     ``weighted(query_id, phrase, weight)`` meets ``hits(phrase, chunk_id, tf)``.
-    The size of the query batch is checked: a small one is broadcast to hits
-    laid out by chunk, which are then summed without a further shuffle; a large
-    one meets the hits on salted phrases.
+    Hits are laid out by chunk.  How the weights meet them follows from their sizes
+    at run time: small ones are broadcast, and the sums then need no further
+    shuffle; for large ones the adaptive join splits the phrases that are hot.
     """
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     n = totals.select("n").scalar()
@@ -343,14 +303,7 @@ def bm25(
         .join(lengths.select("chunk_id", "dl"), "chunk_id")
         .select("phrase", "chunk_id", part.alias("part"))
     )
-    if weighted.count() <= max_broadcast_rows:
-        # There are at most as many frequencies as weights.
-        matched = saturated.join(F.broadcast(inverse), "phrase").join(F.broadcast(weighted), "phrase")
-    else:
-        weights = weighted.join(inverse, "phrase")
-        matched = salted_terms(saturated, "chunk_id", salts).join(
-            repeated_for_salts(weights, salts), ["phrase", "_salt"]
-        )
+    matched = saturated.join(weighted.join(inverse, "phrase"), "phrase")
     return matched.groupBy("query_id", "chunk_id").agg(
         F.sum(F.col("weight") * F.col("idf") * F.col("part")).alias("score")
     )
@@ -368,8 +321,7 @@ def search_terms(phrases: DataFrame, index: TermIndex, k: int = 50) -> DataFrame
 
 
 def search_substrings(phrases: DataFrame, index: GramIndex, k: int = 30) -> DataFrame:
-    hits = substring_hits(phrases, index) if index.stored else scanned_substring_hits(phrases, index)
-    return ranked_by_score(bm25(phrases, hits, index.lengths), k)
+    return ranked_by_score(bm25(phrases, substring_hits(phrases, index), index.lengths), k)
 
 
 def search_lexical(
@@ -409,13 +361,12 @@ def substring_truth(
     candidates = (
         salted_terms(postings, "chunk_id", SALTS)
         .join(repeated_for_salts(long.join(anchors, "phrase").select("query_id", "query", "gram"), SALTS), ["gram", "_salt"])
-        .groupBy("chunk_id")
-        .agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
+        .select("chunk_id", "query_id", "query")
     )
     by_index = (
         texts.join(candidates, "chunk_id")
-        .select("chunk_id", F.explode(F.filter("qs", lambda x: F.contains(F.col("plain_text"), x["query"]))).alias("x"))
-        .select("x.query_id", "chunk_id")
+        .where(F.contains("plain_text", "query"))
+        .select("query_id", "chunk_id")
     )
     out = by_index
     for n in range(1, GRAM):

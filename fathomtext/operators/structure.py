@@ -79,7 +79,7 @@ def line_table(docs: DataFrame, id_col: str = "document_id", text_col: str = "te
 
 
 def numeral_value(s: Column) -> Column:
-    """Integer value of a decimal or Chinese numeral; anything unknown gives 0."""
+    """Value of a decimal (of any length) or Chinese numeral as digits; anything unknown gives 0."""
     digits = F.create_map(*[F.lit(x) for kv in DIGITS.items() for x in kv])
     units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
 
@@ -102,7 +102,7 @@ def numeral_value(s: Column) -> Column:
         step,
         lambda acc: F.when(acc["ok"], acc["total"] + acc["num"]).otherwise(0),
     )
-    return F.when(s.rlike(r"^[0-9]+$"), F.try_to_number(s, F.lit("999999999")).cast("int")).otherwise(folded)
+    return F.when(s.rlike(r"^[0-9]+$"), F.coalesce(F.nullif(F.ltrim(s, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(folded.cast("string"))
 
 
 def section_type_of(heading: Column) -> Column:
@@ -142,7 +142,7 @@ def numbered_section_id(heading: Column, parent_id: Column, position: Column) ->
     own_chapter = has_parent & (F.concat(F.lit("ch"), F.substring_index(dotted, ".", 1)) == parent_id)
     below = F.concat(parent_id, F.regexp_replace(dashed, r"^[^-]+", ""))
     return (
-        F.when(chapter != "", F.concat(F.lit("ch"), numeral_value(chapter).cast("string")))
+        F.when(chapter != "", F.concat(F.lit("ch"), numeral_value(chapter)))
         .when((dotted != "") & own_chapter, below)
         .when(dotted != "", F.concat(F.lit("ch"), dashed))
         .when((bare != "") & ~has_parent, F.concat(F.lit("ch"), bare))

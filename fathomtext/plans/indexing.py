@@ -19,6 +19,7 @@ def build_rows(
     embed: Callable[[Column], Column] = dense.hashed_embedding,
     now: Column | None = None,
     stage: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+    domain_terms: Column | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of the given ``texts(document_id, path, size, mtime_ms, sha256, text)``.
 
@@ -48,7 +49,7 @@ def build_rows(
         now.alias("indexed_at"),
         now.alias("created_at"),
     )
-    chunks = stage("chunks", chunking.chunk_table(parsed))
+    chunks = stage("chunks", chunking.chunk_table(parsed, domain_terms=domain_terms))
     terms = lexical.term_index(chunks, extra=["document_id"])
     grams = lexical.gram_index(chunks, extra=["document_id"])
     facts = documents.select(F.col("id").alias("document_id"), "domain", "completed_at")
@@ -77,12 +78,14 @@ def build_rows(
 def reconcile_files(
     spark: SparkSession, roots: list[str], store: str, version: str,
     embed: Callable[[Column], Column] = dense.hashed_embedding, rebuild: bool = False,
-    admit: bool = True,
+    admit: bool = True, domain_terms: Column | None = None,
 ) -> DataFrame:
     """Bring the catalog in line with the files and publish a new snapshot.
 
-    Only paths whose size or mtime changed are read.  Returns the states.
-    ``rebuild`` starts from an empty catalog.
+    Only paths whose size or mtime changed are read, once: hash and text of a file come from
+    the same read, which is written before anything else looks at it.  Returns the
+    states; a run that finds nothing to do publishes nothing.  ``rebuild`` starts
+    from an empty catalog.
     """
     if version == snapshots.current_version(spark, store):
         raise ValueError(f"{version} is already published")
@@ -96,12 +99,22 @@ def reconcile_files(
     else:
         manifest = spark.createDataFrame([], "id string, path string, size bigint, mtime_ms bigint, sha256 string")
     listing = files.list_files(spark, roots)
-    contents = files.read_contents(spark, roots, changes.needs_hash(listing, manifest))
-    hashed = listing.join(contents.select("path", "sha256", "error"), "path", "left")
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        place = f"{store}/{version}/_staged_{name}"
+        df.write.mode("overwrite").parquet(place)
+        return spark.read.parquet(place)
+
+    contents = stage("contents", files.read_contents(spark, roots, changes.needs_hash(listing, manifest)))
+    # A file edited after the listing is judged by what was read, its size and time included.
+    now = contents.select("path", F.col("size").alias("_size"), F.col("mtime_ms").alias("_mtime"), "sha256", "error")
+    hashed = listing.join(now, "path", "left").select(
+        "path", F.coalesce("_size", "size").alias("size"), F.coalesce("_mtime", "mtime_ms").alias("mtime_ms"), "sha256", "error"
+    )
     # The states steer every later step: they are fixed before anything is written.
-    states = changes.scan_diff(hashed, manifest)
-    states.write.mode("overwrite").parquet(f"{store}/{version}/_states")
-    states = spark.read.parquet(f"{store}/{version}/_states")
+    states = stage("states", changes.scan_diff(hashed, manifest))
+    if known and not states.where("status NOT IN ('UNCHANGED', 'ERROR')").limit(1).count():
+        return states
     changed = states.where("status IN ('NEW', 'MODIFIED')").join(contents.select("path", "text"), "path")
     coded = structure.parse_documents(changed).withColumn("report_code", structure.report_code(F.col("metadata")))
     before = None
@@ -114,16 +127,11 @@ def reconcile_files(
             "path", F.coalesce("report_code", admission.stem_of(F.col("path"))).alias("default_id"), "sha256"
         )
         assignments, _ = admission.assign_ids(named, before)
-    texts = changed.join(assignments.select("path", F.col("document_id").alias("assigned")), "path").select(
+    texts = stage("texts", changed.join(assignments.select("path", F.col("document_id").alias("assigned")), "path").select(
         F.col("assigned").alias("document_id"), "path", "size", "mtime_ms", "sha256", "text"
-    )
-
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        place = f"{store}/{version}/_staged_{name}"
-        df.write.mode("overwrite").parquet(place)
-        return spark.read.parquet(place)
+    ))
 
-    fresh = build_rows(texts, embed, stage=stage)
+    fresh = build_rows(texts, embed, stage=stage, domain_terms=domain_terms)
     if known:
         gone = states.where("status = 'DELETED'").select("document_id")
         # A modified file that got another id leaves its old id behind.
@@ -141,8 +149,8 @@ def reconcile_files(
     return states
 
 
-def open_index(spark: SparkSession, store: str):
-    """A published snapshot as a searchable corpus."""
+def open_index(spark: SparkSession, store: str, domain_terms: Column | None = None):
+    """A published snapshot as a searchable corpus; the domain terms are those it was built with."""
     from fathomtext.plans.search import CorpusIndex
 
     version = snapshots.current_version(spark, store)
@@ -155,7 +163,8 @@ def open_index(spark: SparkSession, store: str):
         chunks=chunks,
         documents=read("documents"),
         terms=lexical.TermIndex(read("postings"), read("term_lengths")),
-        grams=lexical.GramIndex(read("grams"), texts, read("gram_lengths"), stored=True),
+        grams=lexical.GramIndex(read("grams"), texts, read("gram_lengths")),
         vectors=read("vectors"),
         section_vectors=read("section_vectors"),
+        domain_terms=domain_terms,
     )

@@ -25,6 +25,7 @@ class CorpusIndex:
     grams: lexical.GramIndex
     vectors: DataFrame
     section_vectors: DataFrame | None = None
+    domain_terms: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -87,10 +88,10 @@ def source_lists(
         vectors = dense.prefiltered(index.vectors, options.filters)
         parts.append(("dense", dense.cosine_topk(vectors, query_vectors, options.dense_k)))
     if "terms" in sources:
-        parts.append(("terms", lexical.search_terms(lexical.query_phrases(queries), index.terms, options.terms_k)))
+        parts.append(("terms", lexical.search_terms(lexical.query_phrases(queries, known=index.domain_terms), index.terms, options.terms_k)))
     if "trigram" in sources:
         parts.append(
-            ("trigram", lexical.search_substrings(lexical.query_substrings(queries), index.grams, options.grams_k))
+            ("trigram", lexical.search_substrings(lexical.query_substrings(queries, known=index.domain_terms), index.grams, options.grams_k))
         )
     out = None
     for name, hits in parts:

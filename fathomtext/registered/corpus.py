@@ -55,7 +55,7 @@ def _known(spark, sf_dir) -> DataFrame:
 
 
 def exact_duplicates(spark, sf_dir) -> DataFrame:
-    return admission.duplicate_groups(archive(spark, sf_dir)).select("sha256", "n", F.array_join("paths", "|").alias("paths"))
+    return admission.duplicate_groups(archive(spark, sf_dir)).select("sha256", "n", "path")
 
 
 def canonical_assignment(spark, sf_dir) -> DataFrame:

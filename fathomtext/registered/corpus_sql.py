@@ -123,8 +123,8 @@ UUID5 = """(SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d
 
 SQL = {
     "exact_duplicates": ARCHIVE + """
-, g AS (SELECT sha256, count(*) AS n, list_sort(list(path))[1:4] AS ps FROM arch GROUP BY sha256 HAVING count(*) > 1)
-SELECT sha256, n, array_to_string(ps, '|') AS paths FROM g""",
+, g AS (SELECT sha256, count(*) AS n FROM arch GROUP BY sha256 HAVING count(*) > 1)
+SELECT sha256, n, path FROM arch JOIN g USING (sha256)""",
     "canonical_assignment": ARCHIVE + plan("keyed", "lang", NO_KNOWN) + ASSIGNED,
     "canonical_duplicates": ARCHIVE + plan("keyed", "lang", NO_KNOWN) + "SELECT * FROM exc",
     "index_plan_assignments": ARCHIVE + plan(ADMITTED, "code_id", KNOWN) + ASSIGNED,

@@ -52,7 +52,7 @@ def evidence_pack(spark, sf_dir) -> DataFrame:
 
 
 def evidence_excerpts(spark, sf_dir) -> DataFrame:
-    return grounding.labelled_excerpts(_resolved(spark, sf_dir), 5, 300)
+    return grounding.labelled_excerpts(_resolved(spark, sf_dir))
 
 
 def pack_admission(spark, sf_dir) -> DataFrame:
@@ -86,6 +86,40 @@ def claim_coverage(spark, sf_dir) -> DataFrame:
     )
 
 
+def _returned_packs(spark, sf_dir) -> DataFrame:
+    """A result and its run record for each dialogue; the length of the first turn decides what is wrong with it."""
+    c = inputs.table(spark, sf_dir, "conversations")
+    sha = F.sha2("text", 256)
+    one = c.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.length("text"))).alias("n0"),
+        F.max(F.when(F.col("turn") == 0, sha)).alias("h0"),
+        F.max(F.when(F.col("turn") == 1, sha)).alias("h1"),
+    )
+    pack = F.concat(F.lit("t"), F.col("conv_id").cast("string"))
+    item = "array<struct<id: string, text: string, epistemic_state: string>>"
+    return one.select(
+        pack.alias("pack_id"),
+        F.when(F.col("n0") % 7 == 0, F.concat(F.lit("x"), pack)).otherwise(pack).alias("task_id"),
+        F.lit("1.0").alias("schema_version"), F.lit(grounding.TASK_TYPES[0]).alias("task_type"), F.lit("q").alias("query"),
+        F.struct(F.when(F.col("n0") % 13 == 0, "").otherwise("tool").alias("tool"), F.lit("m").alias("model")).alias("worker"),
+        F.lit("2026-01-01T00:00:00").alias("generated_at"),
+        F.array().cast(item).alias("claims"), F.array().cast(item).alias("tensions"),
+        F.array().cast("array<struct<question: string, reason: string>>").alias("additional_evidence_needed"),
+        F.when(F.col("n0") % 5 == 0, F.md5("h0")).otherwise(F.upper("h0")).alias("prompt_sha256"),
+        F.col("h1").alias("task_manifest_sha256"),
+    )
+
+
+def _hashes(spark, sf_dir) -> DataFrame:
+    """The first two turns of a dialogue stand for its prompt and its manifest file."""
+    c = inputs.table(spark, sf_dir, "conversations").where("turn < 2")
+    return c.select(
+        F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("task_id"),
+        F.when(F.col("turn") == 0, "AGENT_INSTRUCTION.md").otherwise("manifest.json").alias("name"),
+        F.sha2("text", 256).alias("sha256"),
+    )
+
+
 def _gate_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     tasks, evidence, claims, drafts = _drafts(spark, sf_dir)
     cited = claims.select("task_id", F.explode("refs").alias("chunk_id"))
@@ -97,8 +131,13 @@ def _gate_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.when(F.length("text") > 900, F.md5("text")).otherwise(F.sha2("text", 256)).alias("content_hash"),
         F.col("text").alias("plain_text"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
     )
+    made = _returned_packs(spark, sf_dir)
     rows = (
-        gates.membership_gate(tasks, cited, evidence)
+        gates.manifest_gate(tasks, *(x.withColumn("task_id", F.concat(F.lit("t"), "task_id")) for x in _manifests(spark, sf_dir)))
+        .unionByName(gates.schema_gate(tasks, made))
+        .unionByName(gates.task_id_gate(tasks, made))
+        .unionByName(gates.prompt_gate(tasks, made, _hashes(spark, sf_dir)))
+        .unionByName(gates.membership_gate(tasks, cited, evidence))
         .unionByName(gates.citation_gate(tasks, drafts))
         .unionByName(gates.stale_gate(tasks, evidence, chunks))
     )
@@ -133,14 +172,19 @@ def manifest_hashes(spark, sf_dir) -> DataFrame:
 
 
 def manifest_gate(spark, sf_dir) -> DataFrame:
-    """Manifests checked against files of which the short ones were changed."""
+    files = _turn_files(spark, sf_dir)
+    return gates.manifest_gate(files.select("task_id").distinct(), *_manifests(spark, sf_dir)).select("task_id", "passed", "failure")
+
+
+def _manifests(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifests, the files now, of which the short ones were changed, and the row counts."""
     files = _turn_files(spark, sf_dir)
     m = grounding.manifest(files, files.where("role = 'user'"), files.where("role = 'assistant'"))
     now = files.select("task_id", "name", F.when(F.length("content") < 60, F.md5("content")).otherwise(F.sha2("content", 256)).alias("sha256"))
     counts = files.groupBy("task_id").agg(
         F.count_if(F.col("role") == "user").alias("evidence_rows"), F.count_if(F.col("role") == "assistant").alias("context_rows")
     )
-    return gates.manifest_gate(files.select("task_id").distinct(), m, now, counts).select("task_id", "passed", "failure")
+    return m, now, counts
 
 
 def pack_status(spark, sf_dir) -> DataFrame:

@@ -26,9 +26,12 @@ WITH ev AS (SELECT 't' || conv_id AS task_id, 't' || conv_id || ':' || turn AS c
     count(claim_id) - count(DISTINCT claim_id) AS dup FROM tasks t LEFT JOIN ck USING (task_id) GROUP BY ALL)
 , dr AS (SELECT *, CASE WHEN factual > 0 THEN cited::DOUBLE / factual END AS cov,
     CASE WHEN factual > 0 THEN (factual - cited)::DOUBLE / factual END AS uns FROM rep)
-, g AS (SELECT task_id, bad = 0 AS member, coalesce(cov >= 0.95, false) AS covered, coalesce(uns <= 0.05, false) AS few, dup = 0 AS formed,
-    NOT EXISTS (SELECT 1 FROM ev WHERE ev.task_id = dr.task_id AND length(ev.text) > 900) AS fresh FROM dr)
-, fi AS (SELECT *, CASE WHEN NOT member THEN 'evidence_membership' WHEN NOT formed THEN 'citation_coverage'
+, o AS (SELECT 't' || conv_id AS task_id, max(CASE WHEN turn = 0 THEN length(text) END) AS n0, min(length(text)) AS nmin,
+    count(*) FILTER (turn = 1) AS has1 FROM conversations GROUP BY ALL)
+, g AS (SELECT task_id, nmin >= 60 AS man, n0 % 13 <> 0 AS sch, n0 % 7 <> 0 AS tid, n0 % 5 <> 0 AND has1 > 0 AS pro, bad = 0 AS member, coalesce(cov >= 0.95, false) AS covered, coalesce(uns <= 0.05, false) AS few, dup = 0 AS formed,
+    NOT EXISTS (SELECT 1 FROM ev WHERE ev.task_id = dr.task_id AND length(ev.text) > 900) AS fresh FROM dr JOIN o USING (task_id))
+, fi AS (SELECT *, CASE WHEN NOT man THEN 'manifest' WHEN NOT sch THEN 'result_schema' WHEN NOT tid THEN 'task_id'
+    WHEN NOT pro THEN 'prompt_sha' WHEN NOT member THEN 'evidence_membership' WHEN NOT formed THEN 'citation_coverage'
     WHEN NOT covered THEN 'citation_coverage' WHEN NOT few THEN 'unsupported_claim' WHEN NOT fresh THEN 'stale' END AS ff FROM g)
 """
 FILES = """
@@ -40,8 +43,9 @@ SQL = {
     "evidence_pack": REFS + """
 SELECT task_id, 'EV' || lpad(place_no::VARCHAR, 3, '0') AS evidence_id, chunk_id, coalesce(cid, '') AS document_id,
   source || ' > ' || lang AS title, coalesce(source || '|' || lang, '') AS heading_path,
-  len(string_split(text, chr(10))) AS end_line, md5(substr(text, 1, 1200)) AS excerpt_digest, state FROM res WHERE place_no <= 20""",
-    "evidence_excerpts": REFS + "SELECT task_id, 'E' || place_no AS ref_id, chunk_id, state, substr(text, 1, 300) AS excerpt FROM res WHERE place_no <= 5",
+  len(string_split(text, chr(10))) AS end_line, md5(substr(text, 1, 1200)) AS excerpt_digest, state FROM res
+WHERE task_id IN (SELECT task_id FROM refs GROUP BY task_id HAVING count(*) <= 20)""",
+    "evidence_excerpts": REFS + "SELECT task_id, 'E' || place_no AS ref_id, chunk_id, state, substr(text, 1, 1200) AS excerpt FROM res WHERE place_no <= 20",
     "pack_admission": REFS + """
 , t AS (SELECT 'task-' || source AS task_id, count(*) FILTER (lang = 'de') AS n_de FROM documents GROUP BY ALL)
 , n AS (SELECT task_id, count(*) AS n_refs FROM refs GROUP BY ALL)
@@ -59,9 +63,10 @@ SELECT task_id, factual AS factual_claims, cited AS cited_claims, factual - cite
   coalesce(cov >= 0.95, false) AND coalesce(uns <= 0.05, false) AND bad = 0 AND dup = 0 AND factual > 0 AS passed FROM dr""",
     "gate_first_failure": EXCHANGE + """
 SELECT task_id, ff IS NULL AS passed, ff AS first_failure, coalesce(ff = 'stale', false) AS stale,
-  CASE WHEN ff = 'evidence_membership' THEN 1 WHEN NOT formed THEN 2 WHEN ff IS NULL OR ff = 'stale' THEN 5 ELSE 4 END::BIGINT AS gates_run FROM fi""",
+  CASE WHEN ff = 'manifest' THEN 1 WHEN ff = 'result_schema' THEN 2 WHEN ff = 'task_id' THEN 3 WHEN ff = 'prompt_sha' THEN 4
+    WHEN ff = 'evidence_membership' THEN 5 WHEN NOT formed THEN 6 WHEN ff IS NULL OR ff = 'stale' THEN 9 ELSE 8 END::BIGINT AS gates_run FROM fi""",
     "run_rollup": EXCHANGE + """
-SELECT count(*) AS tasks, count(*) FILTER (ff IS NULL) AS passed, 0::BIGINT AS manifest_ok, count(*) FILTER (dup = 0) AS schema_ok,
+SELECT count(*) AS tasks, count(*) FILTER (ff IS NULL) AS passed, count(*) FILTER (man) AS manifest_ok, count(*) FILTER (dup = 0) AS schema_ok,
   sum(bad)::BIGINT AS citation_invalid, count(*) FILTER (cov >= 0.95) AS coverage_ok, count(*) FILTER (uns <= 0.05) AS unsupported_ok
 FROM fi JOIN dr USING (task_id)""",
     "claim_pairs": EXCHANGE + """

@@ -22,9 +22,18 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; cluster-level settings stay untouched."""
+    """Apply the runtime settings that the session lacks; cluster-level settings stay untouched.
+
+    Rules that the caller has excluded stay excluded.
+    """
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        now = spark.conf.get(key, None)
+        if key.endswith("excludedRules"):
+            rules = [r for r in (now or "").split(",") if r]
+            if value not in rules:
+                spark.conf.set(key, ",".join([*rules, value]))
+        elif now != value:
+            spark.conf.set(key, value)
     return spark
 
 

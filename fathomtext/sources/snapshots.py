@@ -22,7 +22,8 @@ def publish(spark: SparkSession, root: str, version: str, tables: dict[str, Data
         raise ValueError(f"{version} is already published")
     for name, df in tables.items():
         key = "id" if name == "documents" else "document_id" if "document_id" in df.columns else df.columns[0]
-        with_bucket(df, key, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        # A rebalance splits large buckets and joins small ones by size.
+        with_bucket(df, key, buckets).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{root}/{version}/{name}"
         )
     spark.range(1).select(

@@ -11,31 +11,41 @@ from pyspark.sql.streaming import StreamingQuery
 from fathomtext.session import ensure_checkpoint_dir, tune
 
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
-
 def working_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder of the session."""
     return f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
 def watch_files(
-    spark: SparkSession, root: str, reconcile: Callable[[], object], checkpoint: str, every: str = "300 seconds",
-    once: bool = False,
+    spark: SparkSession, reconcile: Callable[[int], object], checkpoint: str, every: str = "300 seconds", once: bool = False
 ) -> StreamingQuery:
-    """Run ``reconcile`` when files arrive below ``root``.
+    """Run ``reconcile(batch id)`` on every tick of a clock.
 
-    The stream notices new files; the reconcile compares the whole listing, so
-    deletions and renames are found in the same batch.
+    A tick compares the whole listing with the catalog, so edits, deletions and renames are
+    found like new files.  With one kept checkpoint the batch ids go on counting.
     """
-    arriving = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-        .load(root).select("path", "modificationTime")
-    )
-    writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: reconcile())
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = clock.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda _, batch_id: reconcile(batch_id))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def reconcile_batch(spark: SparkSession, roots: list[str], store: str, name: str, **options) -> Callable[[int], None]:
+    """A reconcile for :func:`watch_files` whose version follows from the batch.
+
+    A batch that is run again after it had published does nothing.  ``name`` is that of the
+    watch; a watch with a new checkpoint needs a new one.
+    """
+    from fathomtext.plans.indexing import reconcile_files
+    from fathomtext.sources.snapshots import current_version
+
+    def run(batch_id: int) -> None:
+        version = f"{name}-{batch_id:09d}"
+        if current_version(spark, store) != version:
+            reconcile_files(spark, roots, store, version, **options)
+
+    return run
+
+
 def merge_batch(spark: SparkSession, target: str) -> Callable[[DataFrame, int], None]:
     """Writer of one batch: partial counts, replaced as a whole when retried."""
 

@@ -10,7 +10,7 @@ from fathomtext.operators import dense, reconcile
 from fathomtext.plans.indexing import open_index, reconcile_files
 from fathomtext.plans.search import SearchOptions, search
 from fathomtext.sources import files, snapshots
-from fathomtext.streaming.ingest import watch_files
+from fathomtext.streaming.ingest import reconcile_batch, watch_files
 
 REPORT = "# {t}\n\n> **专题代号**：`{c}_x`\n\n## 1.1 Process\n\nThe {w} package uses CoWoS-L here.\n\n## 1.2 Market\n\nPrices of {w} rise.\n"
 
@@ -56,11 +56,32 @@ def test_incremental_index_and_search(spark):
     texts = [r.plain_text for r in after.chunks.where("document_id = 'B2'").collect()]
     assert len(texts) == 2 and all("inverter" in t for t in texts)
 
-    os.remove(os.path.join(root, "two_最终报告.MD"))
-    runs = []
-    watch_files(spark, root, lambda: runs.append(reconcile_files(spark, [root], store, "v3")), tempfile.mkdtemp(prefix="spark-"), once=True).awaitTermination()
-    assert len(runs) >= 1 and snapshots.current_version(spark, store) == "v3"
-    assert {r.id for r in open_index(spark, store).documents.collect()} == {"A1"}
+
+
+def test_watch_sees_every_kind_of_change_with_one_checkpoint(spark):
+    root, store, offsets = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    write(root, "one_最终报告.md", REPORT.format(t="One", c="A1", w="turbine"))
+    run = reconcile_batch(spark, [root], store, "watch")
+    tick = lambda: watch_files(spark, run, offsets, once=True).awaitTermination()
+    names = lambda: {r.id: r.file_name for r in open_index(spark, store).documents.collect()}
+    tick()
+    assert names() == {"A1": "one_最终报告.md"}
+    first = snapshots.current_version(spark, store)
+    write(root, "two_最终报告.md", REPORT.format(t="Two", c="B2", w="transformer"))
+    tick()
+    assert set(names()) == {"A1", "B2"} and snapshots.current_version(spark, store) > first
+    write(root, "two_最终报告.md", REPORT.format(t="Two", c="B2", w="inverter again"))
+    os.rename(os.path.join(root, "one_最终报告.md"), os.path.join(root, "moved_最终报告.md"))
+    tick()
+    assert names() == {"A1": "moved_最终报告.md", "B2": "two_最终报告.md"}
+    assert all("inverter" in r.plain_text for r in open_index(spark, store).chunks.where("document_id = 'B2'").collect())
+    os.remove(os.path.join(root, "two_最终报告.md"))
+    tick()
+    assert set(names()) == {"A1"}
+    now = snapshots.current_version(spark, store)
+    run(int(now.rsplit("-", 1)[1]))
+    tick()
+    assert snapshots.current_version(spark, store) == now
 
 
 def test_json_sources(spark):
