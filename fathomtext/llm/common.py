@@ -28,15 +28,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """The rows as a table in the shared checkpoint folder, read back.
 
     A lost executor costs no recomputation of what stands above, and a table
-    that is read twice is computed once.
+    that is read twice is computed once.  ``tidy`` asks the driver's JVM to collect its
+    garbage: shuffle files of what the table replaces are deleted only then.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

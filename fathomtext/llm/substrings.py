@@ -143,7 +143,7 @@ def _split(batches, width: int):
     all their bytes.
     """
     reach = width - GRAM
-    names = ["key", "whole", "doc", "at", "open", "bytes"]
+    names = ["key", "whole", "doc", "at", "size", "open"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         for doc, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -161,7 +161,7 @@ def _split(batches, width: int):
                     part = raw[start:stop]
                     shared = xxhash.xxh3_64_intdigest(raw[p - lo : p + width - hi], seed=(h ^ lo) & 0xFFFFFFFFFFFFFFFF)
                     whole = xxhash.xxh3_64_intdigest(part, seed=p - start)
-                    for column, value in zip(rows, (shared, whole, doc, start, spot["open"], part)):
+                    for column, value in zip(rows, (shared, whole, doc, start, stop - start, spot["open"])):
                         column.append(value)
         if rows[0]:
             yield pa.RecordBatch.from_arrays(
@@ -170,13 +170,28 @@ def _split(batches, width: int):
                     pa.array(np.array(rows[1], np.uint64).view(np.int64)),
                     pa.array(rows[2], pa.int64()),
                     pa.array(rows[3], pa.int64()),
-                    pa.array(rows[4], pa.bool_()),
-                    pa.array(rows[5], pa.binary()),
+                    pa.array(rows[4], pa.int32()),
+                    pa.array(rows[5], pa.bool_()),
                 ],
                 names,
             )
 
 
+def _fetched(batches):
+    """Bytes of the asked parts from rows (doc, text, asked)."""
+    names = ["shard", "doc", "at", "open", "spread", "bytes"]
+    for batch in batches:
+        rows: list[list] = [[] for _ in names]
+        for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            raw = text.encode()
+            for a in asked:
+                values = (a["shard"], doc, a["at"], a["open"], a["spread"], raw[a["at"] : a["at"] + a["size"]])
+                for column, value in zip(rows, values):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names)
+
+
 def repeated_windows(pieces: list[bytes], doc: np.ndarray, at: np.ndarray, width: int):
     """Windows of a shard in suffix order.
 
@@ -275,7 +290,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     schema = "h long, around long, doc long, place long"
     found = texts.mapInArrow(lambda b: _anchored(b, width), schema)
     several = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h")
-    shared = written(found.join(several, "h"))
+    shared = written(found.join(several, "h"), tidy=True)
 
     of_around = shared.groupBy("h", "around").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("rep")
@@ -296,36 +311,37 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list("spot").alias("spots"))
     )
     touched = shared.select("doc").distinct()
-    some = written(texts.join(touched, "doc").dropDuplicates(["doc"]))
-    schema = "key long, whole long, doc long, at long, open boolean, bytes binary"
-    parts = written(some.join(spots, "doc").select("doc", "text", "spots").mapInArrow(lambda b: _split(b, width), schema))
+    some = written(texts.join(touched, "doc").dropDuplicates(["doc"]), tidy=True)
+    schema = "key long, whole long, doc long, at long, size int, open boolean"
+    cut = some.join(spots, "doc").select("doc", "text", "spots").mapInArrow(lambda b: _split(b, width), schema)
+    parts = written(cut, tidy=True)
 
     of_whole = written(
-        parts.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("rep"))
+        parts.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "size", "open")).alias("rep")),
+        tidy=True,
     )
     alike = of_whole.where(F.col("n") > 1).select("key", "whole")
-    length = F.octet_length("bytes")
-    settled_parts = parts.where("open").join(alike, ["key", "whole"]).select("doc", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    settled_parts = parts.where("open").join(alike, ["key", "whole"]).select("doc", F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))
 
     kinds = of_whole.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    left = (
-        parts.join(of_whole.join(kinds, "key").select("key", "whole", "rep", "kinds", (F.col("n") == 1).alias("single")), ["key", "whole"])
-        .where((F.col("doc") == F.col("rep.doc")) & (F.col("at") == F.col("rep.at")))
-        .dropDuplicates(["key", "whole"])
-    )
     total = kinds.agg(F.sum("kinds").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(total * (width + STEP) / SHARD_BYTES))
     salts = F.ceil(F.col("kinds") / SHARD_PIECES)
-    salted = left.select(
-        F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("doc", "at"), salts)), F.lit(shards)).alias("shard"),
-        "doc",
-        "at",
-        (F.col("open") & F.col("single")).alias("open"),
-        (salts > 1).alias("spread"),
-        "bytes",
+    left = of_whole.join(kinds, "key").select(
+        F.col("rep.doc").alias("doc"),
+        F.struct(
+            F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("rep"), salts)), F.lit(shards)).alias("shard"),
+            F.col("rep.at").alias("at"),
+            F.col("rep.size").alias("size"),
+            (F.col("rep.open") & (F.col("n") == 1)).alias("open"),
+            (salts > 1).alias("spread"),
+        ).alias("part"),
     )
+    asked = left.groupBy("doc").agg(F.collect_list("part").alias("asked"))
+    schema = "shard long, doc long, at long, open boolean, spread boolean, bytes binary"
+    salted = some.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_fetched, schema)
     schema = "doc long, lo long, hi long, one long, two long"
-    sharded = written(salted.groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, width), schema))
+    sharded = written(salted.groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, width), schema), tidy=True)
     apart = sharded.where(F.col("one").isNotNull())
     buckets = max(1, math.ceil(apart.count() / 500_000))
     across = (
@@ -378,7 +394,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     """
     keyed = _keyed(docs)
     spans, texts = repeated_spans(keyed, width)
-    gathered = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc long, removed array<array<long>>, n_removed long, kept_bytes binary"
     return texts.join(gathered, "doc").select("doc", "text", "spans").mapInArrow(_cut, schema), keyed
 
