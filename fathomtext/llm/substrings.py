@@ -272,16 +272,19 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[(count > 1) & (pdf["hi"].to_numpy() >= 0), ["doc", "lo", "hi"]]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc, text) of documents with a text, each document under a key of its own.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, doc) of all rows, and of each document once.
 
     The key is the id.  Where ids are null or repeat, it is a hash of the id and the
     text, so that rows equal in both count as one document.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     odd = source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
-    key = F.xxhash64("doc_id", "text") if odd.limit(1).count() else F.col("doc_id")
-    return source.withColumn("doc", key)
+    if odd.limit(1).count():
+        keyed = source.withColumn("doc", F.xxhash64("doc_id", "text"))
+        return keyed, keyed.dropDuplicates(["doc"])
+    keyed = source.withColumn("doc", F.col("doc_id"))
+    return keyed, keyed
 
 
 def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +314,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.collect_list("spot").alias("spots"))
     )
     touched = shared.select("doc").distinct()
-    some = written(texts.join(touched, "doc").dropDuplicates(["doc"]), tidy=True)
+    some = written(texts.join(touched, "doc"), tidy=True)
     schema = "key long, whole long, doc long, at long, size int, open boolean"
     cut = some.join(spots, "doc").select("doc", "text", "spots").mapInArrow(lambda b: _split(b, width), schema)
     parts = written(cut, tidy=True)
@@ -392,8 +395,8 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFr
     never cross documents; rows equal in id and text are one document and get the same
     result; an empty table gives no rows; other columns are ignored.
     """
-    keyed = _keyed(docs)
-    spans, texts = repeated_spans(keyed, width)
+    keyed, once = _keyed(docs)
+    spans, texts = repeated_spans(once, width)
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc long, removed array<array<long>>, n_removed long, kept_bytes binary"
     return texts.join(gathered, "doc").select("doc", "text", "spans").mapInArrow(_cut, schema), keyed
