@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fathomtext.llm.common import read_table, word_count, written
 
 WEIGHTS = (5, 2, 1)
-SLICE = 50_000
+#: Documents of a source that are ordered together; a hot source has as many slices as it needs.
+SLICE = 2_000
 
 
 def source_order(sizes: DataFrame, span: int = 4096) -> DataFrame:

@@ -22,13 +22,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomtext.llm.common import mix, read_table, slices, written
+from fathomtext.llm.common import discard, mix, read_table, slices, written
 from fathomtext.llm.suffixes import common_prefixes, eight_bytes, joined, suffix_array
 
 GRAM = 32
 STEP = 24
 SHARD_BYTES = 1_500_000
-SHARD_PIECES = 4000
+SHARD_PIECES = 16_000
+#: Length of a window in a piece, where eight bytes stand for what its key's windows share.
+SHORT = STEP - 1 + 8
 _PLACE_BITS = 28
 _C = [int(x) | 1 for x in mix(np.arange(11, 15, dtype=np.uint64))]
 
@@ -143,7 +145,7 @@ def _split(batches, width: int):
     all their bytes.
     """
     reach = width - GRAM
-    names = ["key", "whole", "doc", "at", "size", "open"]
+    names = ["key", "whole", "doc", "at", "left", "size", "open"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         for doc, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -161,7 +163,7 @@ def _split(batches, width: int):
                     part = raw[start:stop]
                     shared = xxhash.xxh3_64_intdigest(raw[p - lo : p + width - hi], seed=(h ^ lo) & 0xFFFFFFFFFFFFFFFF)
                     whole = xxhash.xxh3_64_intdigest(part, seed=p - start)
-                    for column, value in zip(rows, (shared, whole, doc, start, stop - start, spot["open"])):
+                    for column, value in zip(rows, (shared, whole, doc, start, p - lo - start, stop - start, spot["open"])):
                         column.append(value)
         if rows[0]:
             yield pa.RecordBatch.from_arrays(
@@ -171,22 +173,29 @@ def _split(batches, width: int):
                     pa.array(rows[2], pa.int64()),
                     pa.array(rows[3], pa.int64()),
                     pa.array(rows[4], pa.int32()),
-                    pa.array(rows[5], pa.bool_()),
+                    pa.array(rows[5], pa.int32()),
+                    pa.array(rows[6], pa.bool_()),
                 ],
                 names,
             )
 
 
-def _fetched(batches):
-    """Bytes of the asked parts from rows (doc, text, asked)."""
+def _fetched(batches, width: int):
+    """Pieces from rows (doc, text, asked): the asked parts with their key in place of what it stands for.
+
+    All windows of a part hold the bytes that its key is the hash of, so two windows are
+    equal if their keys, the bytes before and the bytes after are.
+    """
+    shared = width - STEP + 1
     names = ["shard", "doc", "at", "open", "spread", "bytes"]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
         for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = text.encode()
             for a in asked:
-                values = (a["shard"], doc, a["at"], a["open"], a["spread"], raw[a["at"] : a["at"] + a["size"]])
-                for column, value in zip(rows, values):
+                at, middle = a["at"], a["at"] + a["left"]
+                piece = raw[at:middle] + a["key"].to_bytes(8, "little", signed=True) + raw[middle + shared : at + a["size"]]
+                for column, value in zip(rows, (a["shard"], doc, at, a["open"], a["spread"], piece)):
                     column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], names)
@@ -234,14 +243,14 @@ def _shard(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     pieces = list(pdf["bytes"])
     doc, at = pdf["doc"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
     wanted, spread = pdf["open"].to_numpy(bool), pdf["spread"].to_numpy(bool)
-    piece, offset, run, several = repeated_windows(pieces, doc, at, width)
+    piece, offset, run, several = repeated_windows(pieces, doc, at, SHORT)
     hit = several & wanted[piece]
     found = _spans(piece[hit], offset[hit], doc, at, width).assign(one=None, two=None)
     # A run is settled here if it has two places; elsewhere it still is a partner.
     head = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
     out = np.flatnonzero(head & spread[piece])
     if len(out):
-        windows = [pieces[p][o : o + width] for p, o in zip(piece[out], offset[out])]
+        windows = [pieces[p][o : o + SHORT] for p, o in zip(piece[out], offset[out])]
         digest = [xxhash.xxh3_128_digest(w) for w in windows]
         pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
         lone = wanted[piece[out]] & ~several[out]
@@ -295,10 +304,9 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     several = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h")
     shared = written(found.join(several, "h"), tidy=True)
 
-    of_around = shared.groupBy("h", "around").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("rep")
+    of_around = written(
+        shared.groupBy("h", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("rep")), tidy=True
     )
-    of_around = written(of_around)
     equal = of_around.where(F.col("n") > 1).select("h", "around")
     reach = width - GRAM
     settled = shared.join(equal, ["h", "around"]).select(
@@ -306,6 +314,7 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         F.greatest(F.col("place") - reach, F.lit(0)).alias("lo"),
         (F.col("place") + width).alias("hi"),
     )
+    settled = written(settled, tidy=True)
     unlike = of_around.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("h")
     spots = (
         of_around.join(unlike, "h")
@@ -313,28 +322,35 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         .groupBy("doc")
         .agg(F.collect_list("spot").alias("spots"))
     )
-    touched = shared.select("doc").distinct()
-    some = written(texts.join(touched, "doc"), tidy=True)
-    schema = "key long, whole long, doc long, at long, size int, open boolean"
+    some = written(texts.join(shared.select("doc").distinct(), "doc"), tidy=True)
+    schema = "key long, whole long, doc long, at long, left int, size int, open boolean"
     cut = some.join(spots, "doc").select("doc", "text", "spots").mapInArrow(lambda b: _split(b, width), schema)
     parts = written(cut, tidy=True)
+    discard(shared, of_around)
 
-    of_whole = written(
-        parts.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "size", "open")).alias("rep")),
-        tidy=True,
+    of_whole = parts.groupBy("key", "whole").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "left", "size", "open")).alias("rep")
     )
+    # A part that is alone under its key is settled: nothing is equal to any of its windows.
+    kinds = parts.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select("key")
+    of_whole = written(of_whole.join(kinds, "key"), tidy=True)
     alike = of_whole.where(F.col("n") > 1).select("key", "whole")
-    settled_parts = parts.where("open").join(alike, ["key", "whole"]).select("doc", F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))
+    settled_parts = parts.where("open").join(alike, ["key", "whole"])
+    settled_parts = settled_parts.select("doc", F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))
+    settled_parts = written(settled_parts, tidy=True)
+    discard(parts)
 
     kinds = of_whole.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
     total = kinds.agg(F.sum("kinds").alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(total * (width + STEP) / SHARD_BYTES))
+    shards = max(1, math.ceil(total * (SHORT + STEP) / SHARD_BYTES))
     salts = F.ceil(F.col("kinds") / SHARD_PIECES)
     left = of_whole.join(kinds, "key").select(
         F.col("rep.doc").alias("doc"),
         F.struct(
             F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("rep"), salts)), F.lit(shards)).alias("shard"),
+            "key",
             F.col("rep.at").alias("at"),
+            F.col("rep.left").alias("left"),
             F.col("rep.size").alias("size"),
             (F.col("rep.open") & (F.col("n") == 1)).alias("open"),
             (salts > 1).alias("spread"),
@@ -342,9 +358,10 @@ def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     )
     asked = left.groupBy("doc").agg(F.collect_list("part").alias("asked"))
     schema = "shard long, doc long, at long, open boolean, spread boolean, bytes binary"
-    salted = some.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_fetched, schema)
+    salted = some.join(asked, "doc").select("doc", "text", "asked").mapInArrow(lambda b: _fetched(b, width), schema)
     schema = "doc long, lo long, hi long, one long, two long"
     sharded = written(salted.groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, width), schema), tidy=True)
+    discard(of_whole)
     apart = sharded.where(F.col("one").isNotNull())
     buckets = max(1, math.ceil(apart.count() / 500_000))
     across = (

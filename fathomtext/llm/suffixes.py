@@ -34,14 +34,17 @@ def suffix_array(data: np.ndarray, rest: np.ndarray) -> np.ndarray:
     follows, at twice the depth each time; suffixes alone in their group are left alone.
     """
     n = len(data)
-    depth = 6
+    depth = 7
     symbols = np.zeros(n + depth, np.int64)
     symbols[:n] = np.where(rest > 0, data.astype(np.int64) + 1, 0)
     key = np.zeros(n, np.int64)
     for t in range(depth):
         key = (key << 9) | np.where(rest >= t, symbols[t : t + n], 0)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     alone = (rest < depth)[sa]
+    # Suffixes that end within the key differ by their separator, that is by place.
+    ended = sa[alone]
+    sa[alone] = ended[np.lexsort((ended, key[ended]))]
     first = np.ones(n, bool)
     first[1:] = (key[sa[1:]] != key[sa[:-1]]) | alone[1:] | alone[:-1]
     places = np.arange(n)
