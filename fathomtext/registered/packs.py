@@ -66,7 +66,7 @@ def task_ids(spark, sf_dir) -> DataFrame:
     d = inputs.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n_chars") % 10).alias("created_at"),
-        F.when(F.col("lang") == "en", F.substring_index("text", " ", 2)).otherwise("标题").alias("query"),
+        F.col("text").alias("query"),
     )
     return grounding.task_ids(d).select("seq", "task_id")
 

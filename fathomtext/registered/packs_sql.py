@@ -53,8 +53,7 @@ SELECT t.task_id, coalesce(n_refs, 0) AS n_refs, CASE WHEN n_de > 6 THEN 'empty_
   WHEN n_refs > 20 THEN 'too_much_evidence' END AS reason FROM t LEFT JOIN n USING (task_id)""",
     "task_ids": """
 WITH b AS (SELECT doc_id, strftime(make_timestamp((1700000000 + n_chars % 10) * 1000000), '%Y%m%d_%H%M%S') || '_' ||
-    CASE WHEN lang <> 'en' THEN 'task' ELSE coalesce(nullif(trim(substr(array_to_string(regexp_extract_all(lower(
-      array_to_string(string_split(text, ' ')[1:2], ' ')), '[a-z0-9]+'), '-'), 1, 40), '-'), ''), 'task') END AS base FROM documents)
+    coalesce(nullif(trim(substr(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '-'), 1, 40), '-'), ''), 'task') AS base FROM documents)
 , r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS k FROM b)
 SELECT doc_id AS seq, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS task_id FROM r""",
     "claim_coverage": EXCHANGE + """

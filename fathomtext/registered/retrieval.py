@@ -124,7 +124,7 @@ def filtered_fused_topk(spark, sf_dir) -> DataFrame:
 
 
 def result_snippets(spark, sf_dir) -> DataFrame:
-    rows = _terms_candidates(spark, sf_dir, 5, None, 5).join(inputs.queries(spark, sf_dir), "query_id")
+    rows = _terms_candidates(spark, sf_dir, 50, None, 30).join(inputs.queries(spark, sf_dir), "query_id")
     return rows.select(
         "query_id", F.col("item_id").alias("chunk_id"), snippet(F.col("plain_text"), F.col("query")).alias("snippet")
     )
@@ -140,7 +140,7 @@ def rerank_reorder(spark, sf_dir) -> DataFrame:
 
 
 def rerank_inputs(spark, sf_dir) -> DataFrame:
-    rows = _terms_candidates(spark, sf_dir, 5, None, 5).join(inputs.queries(spark, sf_dir), "query_id")
+    rows = _terms_candidates(spark, sf_dir, 50, None, 30).join(inputs.queries(spark, sf_dir), "query_id")
     text = rerank_text(
         F.col("query"), F.col("title"), F.col("heading_path"), F.col("content_type"), F.col("evidence_level"), F.col("plain_text")
     )
@@ -148,8 +148,8 @@ def rerank_inputs(spark, sf_dir) -> DataFrame:
 
 
 def highlighted_titles(spark, sf_dir) -> DataFrame:
-    rows = _terms_candidates(spark, sf_dir, 5, None, 5).join(inputs.queries(spark, sf_dir), "query_id")
-    marked = highlight(F.col("title"), F.substring_index("query", " ", 3))
+    rows = _terms_candidates(spark, sf_dir, 50, None, 30).join(inputs.queries(spark, sf_dir), "query_id")
+    marked = highlight(F.col("title"), F.col("query"))
     return rows.select("query_id", F.col("item_id").alias("chunk_id"), marked.alias("title"))
 
 

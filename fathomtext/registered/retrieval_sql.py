@@ -192,13 +192,13 @@ FROM p WHERE pre_rank <= 10""",
     "result_snippets": TERMS + f"""
 , pos AS (SELECT r.query_id, r.chunk_id, d.text,
     list_filter(list_transform({LOOKUPS.format(q='b.text')}, lambda w: instr(d.text, w)), lambda p: p > 0)[1] AS p
-  FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id JOIN benchmark b ON b.item_id = r.query_id WHERE r.rank <= 5)
+  FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id JOIN benchmark b ON b.item_id = r.query_id WHERE r.rank <= 30)
 , s AS (SELECT *, greatest(0, p - 1 - 50) AS start FROM pos)
 SELECT query_id, chunk_id, CASE WHEN p IS NULL
   THEN substr(text, 1, 200) || CASE WHEN length(text) > 200 THEN '…' ELSE '' END
   ELSE CASE WHEN start > 0 THEN '…' ELSE '' END || substr(text, start + 1, 200)
     || CASE WHEN start + 200 < length(text) THEN '…' ELSE '' END END AS snippet FROM s""",
-    "rerank_inputs": TERMS + RERANK_DOC.format(limit=5) + "SELECT query_id, chunk_id, document FROM doc",
+    "rerank_inputs": TERMS + RERANK_DOC.format(limit=30) + "SELECT query_id, chunk_id, document FROM doc",
     "rerank_reorder": TERMS + RERANK_DOC.format(limit=24) + f"""
 , o AS (SELECT query_id, chunk_id, rank,
     len(list_intersect(list_distinct({words('query')}), {words('document')}))::DOUBLE / len(list_distinct({words('query')})) AS s FROM doc)
@@ -209,8 +209,8 @@ SELECT query_id, rank, pre_rank, chunk_id, round(s, 6) AS reranker FROM f WHERE
 , k AS (SELECT r.query_id, r.chunk_id, split_part(d.text, chr(10), 1) AS title,
     list_distinct_ordered AS ws
   FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id
-  JOIN (SELECT item_id, list_filter(regexp_split_to_array(array_to_string(string_split(text, ' ')[1:3], ' '), '\\s+'), lambda w: length(w) >= 2) AS list_distinct_ordered FROM benchmark) b
-    ON b.item_id = r.query_id WHERE r.rank <= 5)
+  JOIN (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 2) AS list_distinct_ordered FROM benchmark) b
+    ON b.item_id = r.query_id WHERE r.rank <= 30)
 SELECT query_id, chunk_id, regexp_replace(title, '(' || array_to_string(list_transform(ws, lambda w: regexp_escape(w)), '|') || ')', '<mark>\\1</mark>', 'gi') AS title FROM k""",
     "point_ids": """
 WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('chunk:' || doc_id)) AS d FROM documents)
