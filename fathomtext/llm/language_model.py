@@ -47,12 +47,12 @@ def text_tokens(texts: list[str | None], hashed: WordHashes) -> tuple[np.ndarray
     return out, n
 
 
-def bigrams(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """History of each token and the fingerprint of both."""
+def bigrams(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprint of each token and its history, the token before or the start of the text."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(n) - n] = START
-    return before, mix(before * ODD + mix(tokens)) >> np.uint64(64 - PAIR_BITS)
+    return mix(before * ODD + mix(tokens)) >> np.uint64(64 - PAIR_BITS)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -70,9 +70,19 @@ def edges(fingers: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return np.concatenate([at, [len(fingers)]])
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the order that sorts all, and where each value begins in it."""
+    order = np.argsort(values)
+    ranked = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    heads = np.flatnonzero(first)
+    return ranked[heads], order, heads
+
+
 def distinct_counts(fingers: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, place = np.unique(fingers, return_inverse=True)
-    return kinds, np.bincount(place, weights=weight, minlength=len(kinds)).astype(np.int64)
+    kinds, order, heads = grouped(fingers)
+    return kinds, np.add.reduceat(weight[order], heads) if len(kinds) else np.zeros(0, np.int64)
 
 
 def _count_block(pdf: pd.DataFrame, ranges: int) -> pd.DataFrame:
@@ -80,7 +90,7 @@ def _count_block(pdf: pd.DataFrame, ranges: int) -> pd.DataFrame:
     tokens, n = text_tokens(list(pdf["text"]), WordHashes())
     weight = np.repeat(pdf["trained"].to_numpy(np.int64), n)
     parts = []
-    for fingers, bits in ((tokens, WORD_BITS), (bigrams(tokens, n)[1], PAIR_BITS)):
+    for fingers, bits in ((tokens, WORD_BITS), (bigrams(tokens, n), PAIR_BITS)):
         kinds, counts = distinct_counts(fingers, weight)
         at = edges(kinds, bits, ranges)
         parts.append((kinds, counts, at))
@@ -155,17 +165,22 @@ class Automaton:
 def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, total: int, distinct: int) -> pd.DataFrame:
     """Scores of a block's texts from the counts it got back."""
     tokens, n = text_tokens(list(docs["text"]), WordHashes())
-    before, fingers = bigrams(tokens, n)
+    fingers = bigrams(tokens, n)
     counted = counted.sort_values("range")
     word_counts, pair_counts = (
         np.concatenate([unpack(raw) for raw in counted[c]]).astype(np.int64) for c in ("word_counts", "pair_counts")
     )
-    kinds, place = np.unique(tokens, return_inverse=True)
+    kinds, order, heads = grouped(tokens)
+    place = np.empty(len(tokens), np.int64)
+    place[order] = np.repeat(np.arange(len(kinds)), np.diff(np.append(heads, len(tokens))))
     width = len(kinds) + 2
-    history = np.where(before == START, len(kinds) + 1, np.minimum(np.searchsorted(kinds, before), len(kinds) - 1))
-    keys, at = np.unique(history * width + place, return_index=True)
-    pair_kinds = np.unique(fingers)
-    machine = Automaton(kinds, word_counts, keys, pair_counts[np.searchsorted(pair_kinds, fingers[at])], total, distinct)
+    history = np.empty_like(place)
+    history[1:] = place[:-1]
+    history[np.cumsum(n) - n] = len(kinds) + 1
+    # One token of each kind of bigram names its state and its arc.
+    _, order, heads = grouped(fingers)
+    at = order[heads]
+    machine = Automaton(kinds, word_counts, history[at] * width + place[at], pair_counts, total, distinct)
     owner = np.repeat(np.arange(len(docs)), n)
     sums = lambda x: np.bincount(owner, weights=x[place], minlength=len(docs))
     ends = np.cumsum(n)
