@@ -37,7 +37,7 @@ def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if tidy:
         spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
