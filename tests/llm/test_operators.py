@@ -388,3 +388,31 @@ def test_chains_follow_the_best_order():
     y = np.array([100, 105, 110, 115, 121, 126, 5, 300])
     (first, *rest) = passages.chains(x, y)
     assert first == (0, 25, 100, 126, 6) and not rest
+
+
+def test_passages_of_finds_the_longest_stretches():
+    assert passages.passages_of([(0, 0, 25), (35, 35, 25)], 50, 80) == [(0, 60, 0, 60, 50)]
+    # A better scored run that is too short hides none beside it.
+    runs = [(0, 0, 49), (200, 200, 18), (220, 220, 18), (242, 242, 18)]
+    assert passages.passages_of(runs, 50, 80) == [(200, 260, 200, 260, 54)]
+    rnd = random.Random(8)
+    for _ in range(300):
+        runs, i, j = [], 0, 0
+        for _ in range(rnd.randint(0, 8)):
+            n = rnd.randint(1, 30)
+            runs.append((i, j, n))
+            i, j = i + n + rnd.randint(1, 8), j + n + rnd.randint(1, 8)
+        fits = []
+        for s in range(len(runs)):
+            for t in range(s, len(runs)):
+                total = sum(r[2] for r in runs[s : t + 1])
+                for p, q in zip(runs[s:t], runs[s + 1 : t + 1]):
+                    total -= 4 * max(q[0] - p[0] - p[2], q[1] - p[1] - p[2])
+                size = max(runs[t][k] + runs[t][2] - runs[s][k] for k in (0, 1))
+                if total >= 0 and size >= 50:
+                    fits.append((size, runs[s][0], runs[t][0] + runs[t][2]))
+        got = passages.passages_of(runs, 50, 80)
+        assert bool(got) == bool(fits)
+        assert max((max(g[1] - g[0], g[3] - g[2]) for g in got), default=0) == max(fits, default=(0,))[0]
+        # Every stretch that fits has a passage in it or across its ends.
+        assert all(any(g[0] < hi and lo < g[1] for g in got) for _, lo, hi in fits)
