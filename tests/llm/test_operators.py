@@ -416,3 +416,26 @@ def test_passages_of_finds_the_longest_stretches():
         assert max((max(g[1] - g[0], g[3] - g[2]) for g in got), default=0) == max(fits, default=(0,))[0]
         # Every stretch that fits has a passage in it or across its ends.
         assert all(any(g[0] < hi and lo < g[1] for g in got) for _, lo, hi in fits)
+
+
+def test_shared_passages_go_on_after_a_gap(spark):
+    rnd = random.Random(9)
+    fresh = lambda n: [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+    opening, closing = fresh(400), fresh(300)
+    texts = [opening + closing, opening + fresh(300) + closing, opening + fresh(400) + closing]
+    docs = table(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    got = sorted((r["doc_id"], r["lo"], r["hi"]) for r in passages.shared_passages(docs).collect())
+    covered = collections.defaultdict(set)
+    for doc, lo, hi in got:
+        covered[doc] |= set(range(lo, hi))
+    assert set(covered) == {1, 2}
+    assert covered[1] >= {*range(400), *range(700, 1000)} and covered[2] >= {*range(400), *range(800, 1100)}
+
+
+def test_alignment_meets_every_seed():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 2**63, 900).astype(np.uint64)
+    b = np.concatenate([a[:300], rnd.integers(0, 2**63, 500).astype(np.uint64), a[300:]])
+    x = np.array([10, 200, 310, 800])
+    y = np.array([10, 200, 810, 1300])
+    assert passages.aligned(a, b, x, y, 5) == [(0, 0, 300), (300, 800, 600)]
