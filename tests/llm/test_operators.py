@@ -439,3 +439,34 @@ def test_alignment_meets_every_seed():
     x = np.array([10, 200, 310, 800])
     y = np.array([10, 200, 810, 1300])
     assert passages.aligned(a, b, x, y, 5) == [(0, 0, 300), (300, 800, 600)]
+
+
+def changed_pairs(rnd, each):
+    """Pairs of texts with a 60-word passage: (changed words in 60, text, other text, the longest passage by brute force)."""
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    for changes in [0, 3, 6, 9, 12, "every 12th", "every 6th"]:
+        for _ in range(each):
+            passage = fresh(60)
+            places = range(11, 60, 12) if changes == "every 12th" else range(5, 60, 6) if changes == "every 6th" else rnd.sample(range(60), changes)
+            other = list(passage)
+            for i in places:
+                other[i] = fresh(1)[0]
+            same = [a == b for a, b in zip(passage, other)]
+            longest = max((hi - lo for lo in range(11) for hi in range(lo + 50, 61) if sum(same[lo:hi]) * 5 >= 4 * (hi - lo)), default=0)
+            yield changes, fresh(80) + passage + fresh(80), fresh(90) + other + fresh(70), longest
+
+
+def test_shared_passages_recall(spark):
+    cases = list(changed_pairs(random.Random(12), 40))
+    texts = [t for _, a, b, _ in cases for t in (a, b)]
+    docs = table(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r for r in passages.shared_passages(docs).collect()}
+    assert all(i % 2 and r["owner_id"] == i - 1 for i, r in found.items())
+    want, got = collections.Counter(), collections.Counter()
+    for n, (changes, _, _, longest) in enumerate(cases):
+        assert longest or 2 * n + 1 not in found
+        want[changes] += longest > 0
+        got[changes] += longest > 0 and 2 * n + 1 in found
+    print("recall", {c: f"{got[c]}/{want[c]}" for c in want})
+    for changes in want:
+        assert got[changes] >= (0.95 if changes == 12 else 1) * want[changes], (changes, got, want)
