@@ -470,3 +470,25 @@ def test_shared_passages_recall(spark):
     print("recall", {c: f"{got[c]}/{want[c]}" for c in want})
     for changes in want:
         assert got[changes] >= (0.95 if changes == 12 else 1) * want[changes], (changes, got, want)
+
+
+def test_shared_passages_with_split_owners(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, second, third = fresh(60), fresh(60), fresh(60)
+    texts = {1: passage[:30], 2: passage[30:], 5: passage, 6: passage[:30], 7: passage[30:], 9: passage}
+    # More holders of each half than meet one by one, and of a half with a changed word at the joint.
+    texts |= {100 + i: (second[:30] if i % 2 else second[30:]) for i in range(60)}
+    texts |= {200: second[:30] + fresh(1) + second[30:], 201: second[:30] + fresh(1) + second[30:]}
+    # The owner quotes part of the passage before.
+    texts |= {300: third[:28] + fresh(70) + third, 301: third}
+    full = {i: fresh(60) + t + fresh(60) for i, t in texts.items()}
+    # A whole text that is a line repeated, and one that repeats it more often.
+    line = fresh(12)
+    full |= {400: line * 90, 401: line * 200}
+    docs = table(spark, [(i, " ".join(t), "s") for i, t in full.items()])
+    found = passages.shared_passages(docs).collect()
+    got = {(r["doc_id"], r["owner_id"], r["lo"], r["hi"]) for r in found if r["doc_id"] < 400}
+    assert got == {(9, 5, 60, 120), (201, 200, 60, 121), (301, 300, 60, 120)}
+    covered = {w for r in found if r["doc_id"] == 401 for w in range(r["lo"], r["hi"])}
+    assert covered == set(range(12 * 200)) and all(r["owner_id"] == 400 for r in found if r["doc_id"] == 401)
