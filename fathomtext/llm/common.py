@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fathomtext.session import ensure_checkpoint_dir, tune
 
@@ -53,6 +53,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> DataFrame:
+    """A written table with ``out``, the place of a row in its group from 0.
+
+    Rows are dealt by ranges of groups and order, so no group lies in one task; a row's place is its
+    place in its range plus the rows of the group in the ranges before.  Only counts of (range, group) are
+    gathered.
+    """
+    placed = written(
+        df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)
+    ranges = placed.groupBy(*groups, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    upto = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(*groups, "_part", "_first", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    return (
+        placed.withColumn("_part", part).join(offsets, [*groups, "_part"])
+        .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_part", "_at", "_first", "_before")
+    )
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SQL)), F.lit(0)).cast("long")
