@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathomtext.llm import bpe, classifier, collocations, language_id, language_model, mixing, near_dup, passages, quality_rules, substrings, topk
+from fathomtext.llm import bpe, classifier, collocations, divergence, language_id, language_model, mixing, near_dup, passages, quality_rules, substrings, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -17,9 +17,10 @@ QUERIES = {
     "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
     "op10_shared_passages": passages.op10_shared_passages,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_exact_topk": topk.SQL, "op11_phrase_collocations": collocations.SQL}
+SQL = {"op1_exact_topk": topk.SQL, "op11_phrase_collocations": collocations.SQL, "op12_source_divergence": divergence.SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
