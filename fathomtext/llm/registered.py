@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from fathomtext.llm import bpe, classifier, collocations, divergence, language_id, language_model, mixing, near_dup, passages, quality_rules, substrings, topk
+from fathomtext.llm import bpe, classifier, collocations, divergence, language_id, language_model, mixing, near_dup, passages, private_data, quality_rules, substrings, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_shared_passages": passages.op10_shared_passages,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_skip_chain_pii": private_data.op13_skip_chain_pii,
     "pipeline": corpus_pipeline.run,
 }
 
