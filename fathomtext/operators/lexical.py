@@ -6,9 +6,12 @@ search is a chain of equi-joins that ends in a top-k per query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fathomtext.functions.exprs import bind, strip
 from fathomtext.functions.skew import repeated_for_salts, salted_terms
@@ -22,6 +25,8 @@ from fathomtext.functions.text import (
     words,
 )
 from fathomtext.operators.fusion import rrf
+from fathomtext.operators.pruning import Pruned, pruned_scores
+from fathomtext.sources.staging import staged
 
 # BM25 parameters and the floor of the inverse document frequency.
 K1 = 1.2
@@ -35,29 +40,42 @@ GRAM = 3
 SALTS = 8
 
 
+#: Positions in the body start here, so that no match runs from the heading into the body.
+BODY = 1 << 30
+#: Stands after the end of a text, so that its last characters start a trigram as well.
+PAD = "\uffff"
+
+
 @dataclass
 class TermIndex:
-    """``postings(term, chunk_id, positions)`` and ``lengths(chunk_id, dl)``.
+    """``postings(term, chunk_id, positions, dl)``, ``lengths(chunk_id, dl)`` and ``stats(term, df, max_tf, min_dl)``.
 
-    The frequency of a term is the number of its positions.  Frequencies and
-    phrases read the same column, so one shuffle of the postings serves both.
+    The frequency of a term is the number of its positions.  The statistics bound what a
+    term can add to any score; without them they are counted from the postings.
     """
 
     postings: DataFrame
     lengths: DataFrame
+    stats: DataFrame | None = None
+
+    def term_stats(self) -> DataFrame:
+        return term_stats(self.postings) if self.stats is None else self.stats
 
 
 @dataclass
 class GramIndex:
-    """``grams(gram, chunk_id)``, ``texts(chunk_id, heading, body)``, ``lengths``.
+    """``grams(gram, chunk_id, positions)``, ``texts(chunk_id, heading, body)``, ``lengths``, ``stats(gram, n)``.
 
-    ``stored`` says that the tables are read back rather than derived on the fly.
+    Texts are in lower case.  Positions count characters from 0, those of the body from ``BODY``.
     """
 
     grams: DataFrame
     texts: DataFrame
     lengths: DataFrame
-    stored: bool = False
+    stats: DataFrame | None = None
+
+    def gram_stats(self) -> DataFrame:
+        return gram_stats(self.grams) if self.stats is None else self.stats
 
 
 # --- building -----------------------------------------------------------------------
@@ -84,12 +102,12 @@ def term_index(
         ),
     )
     rows = chunks.select(F.col(id_col).alias("chunk_id"), *extra, tokens.alias("_tokens"))
-    occurrences = rows.select("chunk_id", *extra, F.posexplode("_tokens").alias("pos", "term")).where(
-        F.col("term").isNotNull()
-    )
+    occurrences = rows.select(
+        "chunk_id", *extra, F.array_size(F.array_compact("_tokens")).cast("int").alias("dl"), F.posexplode("_tokens").alias("pos", "term")
+    ).where(F.col("term").isNotNull())
     if only_terms is not None:
         occurrences = occurrences.join(only_terms, "term", "left_semi")
-    postings = occurrences.groupBy("term", "chunk_id", *extra).agg(
+    postings = occurrences.groupBy("term", "chunk_id", *extra, "dl").agg(
         F.array_sort(F.collect_list("pos")).alias("positions")
     )
     dl = word_count(F.coalesce(F.col(heading_col), F.lit(""))) + word_count(F.col(text_col))
@@ -97,11 +115,86 @@ def term_index(
     return TermIndex(postings, lengths)
 
 
+def term_stats(postings: DataFrame, *by: str) -> DataFrame:
+    """What bounds a term: chunks that hold it, its most occurrences in one, the shortest of them."""
+    return postings.groupBy("term", *by).agg(
+        F.count(F.lit(1)).alias("df"), F.max(F.size("positions")).alias("max_tf"), F.min("dl").alias("min_dl")
+    )
+
+
+def whole_stats(parts: DataFrame) -> DataFrame:
+    """Statistics kept by part of the corpus, for all of it."""
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+
+
+def gram_stats(grams: DataFrame, *by: str) -> DataFrame:
+    """Occurrences of each trigram."""
+    return grams.groupBy("gram", *by).agg(F.sum(F.size("positions")).alias("n"))
+
+
 def grams_of(text: Column) -> Column:
     """All overlapping trigrams of the lowered text."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)
 
 
+def _positions(texts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram, row and position of every character of (heading, body) rows, sorted."""
+    codes, rows, places = [], [], []
+    for r, (heading, body) in enumerate(texts):
+        for first, text in ((0, heading), (BODY, body)):
+            if not text:
+                continue
+            c = np.frombuffer((text + PAD * (GRAM - 1)).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            codes.append(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:])
+            rows.append(np.full(len(c) - 2, r, np.int32))
+            places.append(np.arange(first, first + len(c) - 2, dtype=np.int32))
+    if not codes:
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+    code, row, place = np.concatenate(codes), np.concatenate(rows), np.concatenate(places)
+    # Rows and positions rise already, a stable sort keeps them so.
+    order = np.argsort(code, kind="stable")
+    return code[order], row[order], place[order]
+
+
+def _gram_text(codes: np.ndarray) -> list[str]:
+    mask = np.uint64((1 << 21) - 1)
+    chars = np.stack([codes >> np.uint64(42), codes >> np.uint64(21) & mask, codes & mask], axis=1).astype(np.uint32)
+    text = chars.tobytes().decode("utf-32-le")
+    return [text[i : i + GRAM] for i in range(0, len(text), GRAM)]
+
+
+def gram_postings(texts: DataFrame, extra: list[str] | None = None, chars: int = 2_000_000) -> DataFrame:
+    """Positions of every trigram of ``texts(chunk_id, *extra, heading, body)`` by chunk.
+
+    Each task sorts the trigrams of some ``chars`` characters of its texts at a time.
+    """
+    keys = ["chunk_id", *(extra or [])]
+    schema = T.StructType(
+        [T.StructField("gram", T.StringType()), *(texts.schema[k] for k in keys), T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()))
+            start = 0
+            while start < len(pairs):
+                stop, total = start, 0
+                while stop < len(pairs) and (stop == start or total < chars):
+                    total += len(pairs[stop][0] or "") + len(pairs[stop][1] or "")
+                    stop += 1
+                code, row, place = _positions(pairs[start:stop])
+                if len(code):
+                    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+                    grams, at = np.unique(code[first], return_inverse=True)
+                    names = pa.array(_gram_text(grams), pa.string()).take(pa.array(at))
+                    held = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place))
+                    mine = [batch.column(c).slice(start, stop - start).take(pa.array(row[first])) for c in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([names, *mine, held], names=schema.names)
+                start = stop
+
+    return texts.select(*keys, "heading", "body").mapInArrow(run, schema)
+
+
 def gram_index(
     chunks: DataFrame,
     id_col: str = "id",
@@ -116,14 +209,9 @@ def gram_index(
         F.lower(F.coalesce(F.col(heading_col), F.lit(""))).alias("heading"),
         F.lower(F.col(text_col)).alias("body"),
     )
-    grams = texts.select(
-        "chunk_id",
-        *extra,
-        F.explode(F.array_distinct(F.concat(grams_of(F.col("heading")), grams_of(F.col("body"))))).alias("gram"),
-    )
     count = lambda c: F.greatest(F.length(c) - (GRAM - 1), F.lit(0))
     lengths = texts.select("chunk_id", *extra, (count("heading") + count("body")).alias("dl"))
-    return GramIndex(grams, texts, lengths)
+    return GramIndex(gram_postings(texts, extra), texts, lengths)
 
 
 def domain_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +288,7 @@ def query_substrings(
 
 
 def phrase_hits(phrases: DataFrame, index: TermIndex, salts: int = SALTS) -> DataFrame:
-    """Occurrences of distinct phrases: ``phrase, chunk_id, tf``.
+    """Occurrences of distinct phrases: ``phrase, chunk_id, dl, tf``.
 
     Single words read their frequency from the postings.  Longer phrases join
     each word's positions and keep the starts where all words line up.
@@ -214,109 +302,85 @@ def phrase_hits(phrases: DataFrame, index: TermIndex, salts: int = SALTS) -> Dat
         .join(repeated_for_salts(wanted, salts), ["term", "_salt"])
         .drop("_salt")
     )
-    single = matched.where(F.col("n") == 1).select("phrase", "chunk_id", F.size("positions").cast("bigint").alias("tf"))
+    single = matched.where(F.col("n") == 1).select("phrase", "chunk_id", "dl", F.size("positions").cast("bigint").alias("tf"))
     starts = (
         matched.where(F.col("n") > 1)
-        .select("phrase", "chunk_id", "n", F.explode("positions").alias("pos"), "off")
-        .groupBy("phrase", "chunk_id", "n", (F.col("pos") - F.col("off")).alias("start"))
+        .select("phrase", "chunk_id", "dl", "n", F.explode("positions").alias("pos"), "off")
+        .groupBy("phrase", "chunk_id", "dl", "n", (F.col("pos") - F.col("off")).alias("start"))
         .agg(F.count(F.lit(1)).alias("aligned"))
         .where(F.col("aligned") == F.col("n"))
     )
-    longer = starts.groupBy("phrase", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    longer = starts.groupBy("phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return single.unionByName(longer)
 
 
-def _can_overlap(phrase: Column) -> Column:
-    """True when some proper prefix of the phrase is also its suffix."""
-    return F.exists(
-        F.sequence(F.lit(1), F.length(phrase) - 1), lambda i: F.left(phrase, i) == F.right(phrase, i)
-    )
-
+def anchors_of(phrases: DataFrame, stats: DataFrame) -> DataFrame:
+    """The two rarest trigrams of each distinct phrase: ``phrase, gram, off, anchors, covered``.
 
-def occurrences(text: Column, phrase: Column, overlaps: Column) -> Column:
-    """How often a phrase occurs, overlapping occurrences included."""
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, phrase, F.lit("")))
-    each = F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), phrase, F.lit(r"\E)")))
-    return bind(
-        removed,
-        lambda r: F.when(overlaps & (r > 0), each).otherwise((r / F.octet_length(phrase)).cast("int")),
+    ``covered`` says that the trigrams lie over the whole phrase, so that meeting at the right distance is a match.
+    """
+    grams = phrases.select("phrase").distinct().select("phrase", F.posexplode(grams_of(F.col("phrase"))).alias("off", "gram"))
+    rarest = Window.partitionBy("phrase").orderBy("n", "off")
+    every = Window.partitionBy("phrase")
+    picked = (
+        grams.join(stats, "gram", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .withColumn("_at", F.row_number().over(rarest))
+        .where("_at <= 2")
+    )
+    last = F.length("phrase") - GRAM
+    return picked.select(
+        "phrase", "gram", "off", F.count(F.lit(1)).over(every).cast("int").alias("anchors"),
+        ((F.min("off").over(every) == 0) & (F.max("off").over(every) == last) & (last <= GRAM)).alias("covered"),
     )
 
 
-def anchors_of(phrases: DataFrame, postings: DataFrame) -> DataFrame:
-    """Each distinct phrase with its rarest trigram: ``phrase, gram``."""
-    grams = phrases.select("phrase").distinct().select(
-        "phrase", F.explode(F.array_distinct(grams_of(F.col("phrase")))).alias("gram")
-    )
-    frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+def phrase_starts(phrases: DataFrame, index: GramIndex, salts: int = SALTS) -> DataFrame:
+    """Where phrases may start: ``phrase, chunk_id, covered, starts``, all true matches among them.
+
+    The positions of a phrase's two rarest trigrams meet at their distance; a row holds one chunk's.
+    """
+    anchors = anchors_of(phrases, index.gram_stats())
     return (
-        grams.join(frequency, "gram", "left")
-        .groupBy("phrase")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("a"))
-        .select("phrase", F.col("a.gram").alias("gram"))
+        salted_terms(index.grams.select("gram", "chunk_id", "positions"), "chunk_id", salts)
+        .join(repeated_for_salts(anchors, salts), ["gram", "_salt"])
+        .select("phrase", "chunk_id", "anchors", "covered", F.transform("positions", lambda p: p - F.col("off")).alias("starts"))
+        .groupBy("phrase", "chunk_id", "anchors", "covered")
+        # Two lists at most, one for each trigram.
+        .agg(F.collect_list("starts").alias("lists"))
+        .where(F.size("lists") == F.col("anchors"))
+        .select(
+            "phrase", "chunk_id", "covered",
+            F.when(F.col("anchors") == 1, F.get("lists", F.lit(0)))
+            .otherwise(F.array_intersect(F.get("lists", F.lit(0)), F.get("lists", F.lit(1)))).alias("starts"),
+        )
+        .where(F.size("starts") > 0)
     )
 
 
-def _wanted_postings(phrases: DataFrame, index: GramIndex) -> DataFrame:
-    wanted = phrases.select(F.explode(grams_of(F.col("phrase"))).alias("gram")).distinct()
-    return index.grams.join(wanted, "gram", "left_semi")
-
-
 def substring_hits(phrases: DataFrame, index: GramIndex, salts: int = SALTS) -> DataFrame:
-    """Exact substring matches of distinct phrases: ``phrase, chunk_id, tf``.
+    """Exact substring matches of distinct phrases of three characters or more: ``phrase, chunk_id, tf``.
 
-    Each phrase is looked up by its rarest trigram only; the candidates of a
-    chunk are then counted in its text where that text lies.
+    Where the two trigrams leave characters of the phrase open, each place is compared with the text.
     """
-    postings = _wanted_postings(phrases, index)
-    anchors = anchors_of(phrases, postings).withColumn("overlaps", _can_overlap(F.col("phrase")))
-    candidates = (
-        salted_terms(postings, "chunk_id", salts)
-        .join(repeated_for_salts(anchors, salts), ["gram", "_salt"])
-        .groupBy("chunk_id")
-        .agg(F.collect_list(F.struct("phrase", "overlaps")).alias("asked"))
+    found = phrase_starts(phrases, index, salts)
+    settled = found.where("covered").select("phrase", "chunk_id", F.size("starts").alias("tf"))
+    place = F.col("start")
+    there = F.when(place >= BODY, F.substring("body", place - BODY + 1, F.length("phrase"))).otherwise(
+        F.substring("heading", place + 1, F.length("phrase"))
     )
-    heading, body = F.col("heading"), F.col("body")
-    counted = F.transform(
-        "asked",
-        lambda a: F.struct(
-            a["phrase"].alias("phrase"),
-            (
-                occurrences(heading, a["phrase"], a["overlaps"]) + occurrences(body, a["phrase"], a["overlaps"])
-            ).alias("tf"),
-        ),
+    compared = (
+        found.where("NOT covered").select("phrase", "chunk_id", F.explode("starts").alias("start"))
+        .join(index.texts.select("chunk_id", "heading", "body"), "chunk_id")
+        .where((place >= 0) & (there == F.col("phrase")))
+        .groupBy("phrase", "chunk_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
-    return (
-        index.texts.join(candidates, "chunk_id")
-        .select("chunk_id", F.explode(F.filter(counted, lambda x: x["tf"] > 0)).alias("x"))
-        .select("x.phrase", "chunk_id", "x.tf")
-    )
-
+    return settled.unionByName(compared)
 
-def scanned_substring_hits(phrases: DataFrame, index: GramIndex, window: int = 32) -> DataFrame:
-    """The same matches as ``substring_hits`` in one pass over the texts.
 
-    Without a stored index every position yields a short window, which meets
-    the phrases on its first trigram and counts where it starts with one.  Only
-    counts are shuffled.  Phrases longer than the window go through the index.
-    """
-    distinct = phrases.select("phrase").distinct()
-    starts = F.lit(f"(?s)(?=(.{{{GRAM},{window}}}))")
-    windows = index.texts.select(
-        "chunk_id",
-        F.explode(
-            F.concat(F.regexp_extract_all("heading", starts, 1), F.regexp_extract_all("body", starts, 1))
-        ).alias("w"),
-    ).withColumn("gram", F.left("w", F.lit(GRAM)))
-    short = distinct.where(F.length("phrase") <= window).withColumn("gram", F.left("phrase", F.lit(GRAM)))
-    scanned = (
-        windows.join(short, "gram")
-        .where(F.startswith("w", "phrase"))
-        .groupBy("phrase", "chunk_id")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    )
-    long = distinct.where(F.length("phrase") > window)
-    return scanned.unionByName(substring_hits(long, index))
+def scanned_substring_hits(phrases: DataFrame, index: GramIndex) -> DataFrame:
+    """The same matches by the same steps where only the texts are at hand: trigrams are taken from them now."""
+    return substring_hits(phrases, GramIndex(staged(gram_postings(index.texts)), index.texts, index.lengths))
 
 
 # --- scoring ------------------------------------------------------------------------
@@ -339,7 +403,7 @@ def bm25(weighted: DataFrame, hits: DataFrame, lengths: DataFrame) -> DataFrame:
     inverse = frequency.select("phrase", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     saturated = (
-        hits.repartition("chunk_id")
+        hits.select("phrase", "chunk_id", "tf").repartition("chunk_id")
         .join(lengths.select("chunk_id", "dl"), "chunk_id")
         .select("phrase", "chunk_id", part.alias("part"))
     )
@@ -355,14 +419,61 @@ def ranked_by_score(scores: DataFrame, k: int, decimals: int = 9, tie: str = "ch
     return top_rows(rounded, ["query_id"], [F.desc("score"), F.asc(tie)], k)
 
 
+def _impact(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What an occurrence count adds for a weight of one: rises with ``tf``, falls with ``dl``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def _weights(phrases: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Rows of :func:`pruned_scores` from ``known(phrase, df, most)``, ``most`` bounding the impact of a phrase."""
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = F.col("weight") * F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR))
+    return phrases.select("query_id", "phrase", "weight").join(known, "phrase").select(
+        "query_id", "phrase", "df", w.alias("w"), (w * F.col("most")).alias("bound")
+    )
+
+
+def _totals(lengths: DataFrame) -> tuple[int, float]:
+    row = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    # Without any length all scores are over empty texts; one keeps the formula defined.
+    return row["n"], row["avgdl"] or 1.0
+
+
+def pruned_terms(phrases: DataFrame, index: TermIndex, k: int) -> Pruned:
+    """BM25 over terms for the chunks that may be among the first ``k``.
+
+    Single words take their bounds from the statistics and their hits from the postings as they lie; the longer phrases
+    are matched once.
+    """
+    n, avgdl = _totals(index.lengths)
+    single = phrases.where(F.size("tokens") == 1)
+    longer = staged(phrase_hits(phrases.where(F.size("tokens") > 1), index), "phrases")
+    impact = _impact(F.col("tf"), F.col("dl"), avgdl)
+    words_known = index.term_stats().join(single.select(F.col("phrase").alias("term")).distinct(), "term", "left_semi").select(
+        F.col("term").alias("phrase"), "df", _impact(F.col("max_tf"), F.col("min_dl"), avgdl).alias("most")
+    )
+    longer_known = longer.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max(impact).alias("most"))
+    impacts = index.postings.select(
+        F.col("term").alias("phrase"), "chunk_id", _impact(F.size("positions"), F.col("dl"), avgdl).alias("part")
+    ).unionByName(longer.select("phrase", "chunk_id", impact.alias("part")))
+    return pruned_scores(_weights(phrases, words_known.unionByName(longer_known), n), impacts, k)
+
+
+def pruned_substrings(phrases: DataFrame, index: GramIndex, k: int) -> Pruned:
+    """BM25 over substrings for the chunks that may be among the first ``k``; each phrase is matched once."""
+    n, avgdl = _totals(index.lengths)
+    hits = staged(substring_hits(phrases, index).join(index.lengths.select("chunk_id", "dl"), "chunk_id"), "phrases")
+    impacts = hits.select("phrase", "chunk_id", _impact(F.col("tf"), F.col("dl"), avgdl).alias("part"))
+    known = impacts.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    return pruned_scores(_weights(phrases, known, n), impacts, k)
+
+
 def search_terms(phrases: DataFrame, index: TermIndex, k: int = 50) -> DataFrame:
-    hits = phrase_hits(phrases, index)
-    return ranked_by_score(bm25(phrases, hits, index.lengths), k)
+    return ranked_by_score(pruned_terms(phrases, index, k).scores, k)
 
 
 def search_substrings(phrases: DataFrame, index: GramIndex, k: int = 30) -> DataFrame:
-    hits = substring_hits(phrases, index) if index.stored else scanned_substring_hits(phrases, index)
-    return ranked_by_score(bm25(phrases, hits, index.lengths), k)
+    return ranked_by_score(pruned_substrings(phrases, index, k).scores, k)
 
 
 def search_lexical(
@@ -392,34 +503,18 @@ def substring_truth(
 ) -> DataFrame:
     """Every chunk whose text contains the query, case and all.
 
-    ``texts(chunk_id, plain_text)`` holds the text as written.  Queries shorter
-    than a trigram cannot use the index and are matched by scanning.
+    ``texts(chunk_id, plain_text)`` holds the text as written.  A query of three characters or more is
+    looked up by its two rarest trigrams; a shorter one is the beginning of trigrams, those over the end of a text
+    included.  Candidates are rows of a query and a chunk, compared where the text lies.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("query"))
-    long = q.where(F.length("query") >= GRAM).withColumn("phrase", F.lower("query"))
-    postings = _wanted_postings(long, index)
-    anchors = anchors_of(long, postings)
-    candidates = (
-        salted_terms(postings, "chunk_id", SALTS)
-        .join(repeated_for_salts(long.join(anchors, "phrase").select("query_id", "query", "gram"), SALTS), ["gram", "_salt"])
-        .groupBy("chunk_id")
-        .agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    )
-    by_index = (
-        texts.join(candidates, "chunk_id")
-        .select("chunk_id", F.explode(F.filter("qs", lambda x: F.contains(F.col("plain_text"), x["query"]))).alias("x"))
-        .select("x.query_id", "chunk_id")
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("query"), F.lower(text_col).alias("phrase"))
+    long, short = q.where(F.length("phrase") >= GRAM), q.where(F.length("phrase") < GRAM)
+    near = phrase_starts(long, index).select("phrase", "chunk_id").join(long, "phrase").select("query_id", "query", "chunk_id")
+    begins = F.explode(F.array(*[F.left("gram", F.lit(n)) for n in range(1, GRAM)]))
+    pieces = index.grams.select("chunk_id", begins.alias("phrase")).join(short.select("phrase").distinct(), "phrase", "left_semi").distinct()
+    few = pieces.join(short, "phrase").select("query_id", "query", "chunk_id")
+    return (
+        near.unionByName(few).join(texts.select("chunk_id", "plain_text"), "chunk_id")
+        .where(F.contains("plain_text", "query"))
+        .select("query_id", "chunk_id")
     )
-    out = by_index
-    for n in range(1, GRAM):
-        # A query this short is itself a character n-gram: meet it by equality.
-        pieces = texts.select(
-            "chunk_id",
-            F.explode(
-                F.array_distinct(F.regexp_extract_all("plain_text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-            ).alias("query"),
-        )
-        out = out.unionByName(
-            pieces.join(q.where(F.length("query") == n), "query").select("query_id", "chunk_id")
-        )
-    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fathomtext.operators import lexical
 from fathomtext.session import tune
+from fathomtext.streaming.ingest import working_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,30 +68,58 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def term_index_for(phrases: DataFrame, chunks: DataFrame) -> lexical.TermIndex:
-    wanted = phrases.select(F.explode("tokens").alias("term")).distinct()
-    return lexical.term_index(chunks, text_col="plain_text", only_terms=wanted)
+#: Folders of the indexes built by this process, by application and input folder.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
-def gram_index_for(chunks: DataFrame) -> lexical.GramIndex:
-    return lexical.gram_index(chunks, text_col="plain_text")
+def lexical_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Postings of the documents with their statistics, built once for a session and input folder, then read."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = working_folder(spark)
+        chunks = document_chunks(spark, sf_dir)
+        write = lambda name, df: df.write.parquet(f"{folder}/{name}")
+        terms = lexical.term_index(chunks, text_col="plain_text", extra=["content_type"])
+        write("postings", terms.postings)
+        write("term_lengths", terms.lengths)
+        grams = lexical.gram_index(chunks, text_col="plain_text", extra=["content_type"])
+        write("grams", grams.grams)
+        write("gram_lengths", grams.lengths)
+        write("term_stats", lexical.term_stats(spark.read.parquet(f"{folder}/postings")))
+        write("gram_stats", lexical.gram_stats(spark.read.parquet(f"{folder}/grams")))
+        _INDEXES[key] = folder
+    names = ("postings", "term_lengths", "term_stats", "grams", "gram_lengths", "gram_stats")
+    return {name: spark.read.parquet(f"{_INDEXES[key]}/{name}") for name in names}
+
+
+def lexical_index(
+    spark: SparkSession, sf_dir: str, chunk_id: Column | None = None
+) -> tuple[lexical.TermIndex, lexical.GramIndex]:
+    """Both indexes of the documents; ``chunk_id`` may name chunks by ``chunk_id`` and ``content_type``."""
+    t = lexical_tables(spark, sf_dir)
+    texts = document_chunks(spark, sf_dir).select(
+        F.col("id").alias("chunk_id"), "content_type", F.lit("").alias("heading"), F.lower("plain_text").alias("body")
+    )
+    named = lambda df: df if chunk_id is None else df.withColumn("chunk_id", chunk_id)
+    return (
+        lexical.TermIndex(named(t["postings"]), named(t["term_lengths"]), t["term_stats"]),
+        lexical.GramIndex(named(t["grams"]), named(texts), named(t["gram_lengths"]), t["gram_stats"]),
+    )
 
 
 def terms_list(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    phrases = lexical.query_phrases(queries(spark, sf_dir))
-    return lexical.search_terms(phrases, term_index_for(phrases, document_chunks(spark, sf_dir)), k)
+    return lexical.search_terms(lexical.query_phrases(queries(spark, sf_dir)), lexical_index(spark, sf_dir)[0], k)
 
 
 def grams_list(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    wanted = lexical.query_substrings(queries(spark, sf_dir))
-    return lexical.search_substrings(wanted, gram_index_for(document_chunks(spark, sf_dir)), k)
+    return lexical.search_substrings(lexical.query_substrings(queries(spark, sf_dir)), lexical_index(spark, sf_dir)[1], k)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a query passage word for word."""
-    chunks = document_chunks(spark, sf_dir)
-    texts = chunks.select(F.col("id").alias("chunk_id"), "plain_text")
-    return lexical.substring_truth(queries(spark, sf_dir), gram_index_for(chunks), texts)
+    texts = document_chunks(spark, sf_dir).select(F.col("id").alias("chunk_id"), "plain_text")
+    return lexical.substring_truth(queries(spark, sf_dir), lexical_index(spark, sf_dir)[1], texts)
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,8 @@ def identifier_extract(spark, sf_dir) -> DataFrame:
 
 
 def lexical_fusion(spark, sf_dir) -> DataFrame:
-    chunks = inputs.document_chunks(spark, sf_dir)
     q = inputs.queries(spark, sf_dir)
-    phrases = lexical.query_phrases(q)
-    fused = lexical.search_lexical(
-        phrases, lexical.query_substrings(q), inputs.term_index_for(phrases, chunks), inputs.gram_index_for(chunks)
-    )
+    fused = lexical.search_lexical(lexical.query_phrases(q), lexical.query_substrings(q), *inputs.lexical_index(spark, sf_dir))
     return fused.select(
         "query_id",
         F.col("item_id").alias("chunk_id"),
@@ -160,10 +156,9 @@ def point_ids(spark, sf_dir) -> DataFrame:
 
 def corpus_index(spark, sf_dir) -> CorpusIndex:
     """Documents as a searchable corpus, one section per language and source."""
-    chunks = inputs.document_chunks(spark, sf_dir).withColumn("id", F.concat_ws(
-        ":", "content_type", F.col("document_id").cast("string"), F.lit("0001")
-    ))
-    phrases = lexical.query_phrases(inputs.queries(spark, sf_dir))
+    named = lambda doc: F.concat_ws(":", "content_type", F.col(doc).cast("string"), F.lit("0001"))
+    chunks = inputs.document_chunks(spark, sf_dir).withColumn("id", named("document_id"))
+    terms, grams = inputs.lexical_index(spark, sf_dir, named("chunk_id"))
     vectors = chunks.select(
         F.col("id").alias("chunk_id"), dense.hashed_embedding(F.col("plain_text")).alias("embedding")
     )
@@ -175,8 +170,8 @@ def corpus_index(spark, sf_dir) -> CorpusIndex:
     return CorpusIndex(
         chunks=chunks,
         documents=inputs.document_rows(spark, sf_dir),
-        terms=inputs.term_index_for(phrases, chunks),
-        grams=inputs.gram_index_for(chunks),
+        terms=terms,
+        grams=grams,
         vectors=vectors,
         section_vectors=first_lines,
     )

@@ -3,10 +3,12 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fathomtext.operators import dense, reconcile
+from fathomtext.operators import dense, lexical, reconcile
+from fathomtext.plans import indexing
 from fathomtext.plans.indexing import open_index, reconcile_files
 from fathomtext.plans.search import SearchOptions, search
 from fathomtext.sources import files, snapshots
@@ -84,6 +86,96 @@ def test_watch_sees_every_kind_of_change_with_one_checkpoint(spark):
     assert snapshots.current_version(spark, store) == now
 
 
+def tree(folder):
+    """Data files below a store with their times."""
+    return {
+        os.path.join(at, f): os.stat(os.path.join(at, f)).st_mtime_ns
+        for at, _, names in os.walk(os.path.join(folder, "data")) for f in names if f.endswith(".parquet")
+    }
+
+
+def search_hits(spark, store):
+    q = spark.createDataFrame([(1, "w3 CoWoS-L"), (2, "w7 prices")], "query_id int, query string")
+    qv = q.select("query_id", dense.hashed_embedding(F.col("query")).alias("embedding"))
+    return {tuple(r) for r in search(q, open_index(spark, store), qv, SearchOptions(top_k=5)).drop("snippet").collect()}
+
+
+def test_a_version_writes_only_the_buckets_that_change(spark):
+    root, store, whole = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    for i in range(12):
+        write(root, f"r{i}_最终报告.md", REPORT.format(t=f"R{i}", c=f"A{i}", w=f"w{i}"))
+    reconcile_files(spark, [root], store, "v1", buckets=8)
+    before = tree(store)
+    write(root, "r3_最终报告.md", REPORT.format(t="R3", c="A3", w="w3 changed"))
+    reconcile_files(spark, [root], store, "v2", buckets=99)
+    after = tree(store)
+    assert all(after[f] == t for f, t in before.items())
+    mine = spark.range(1).select(snapshots.bucket_of(F.lit("A3"), 8)).first()[0]
+    fresh = {f for f in after if f not in before}
+    assert fresh and all(f"/v2/" in f and f"bucket={mine}/" in f for f in fresh)
+    # A run that dies before its pointer changes nothing for readers; its name can be used again.
+    write(root, "r5_最终报告.md", REPORT.format(t="R5", c="A5", w="w5 changed"))
+    old = {r.id: r.sha256 for r in open_index(spark, store).documents.collect()}
+
+    def dies(df):
+        raise RuntimeError("lost")
+
+    broken = {"term_blocks": ("postings", dies)}
+    kept = indexing.DERIVED
+    try:
+        indexing.DERIVED = broken
+        with pytest.raises(RuntimeError):
+            reconcile_files(spark, [root], store, "v3")
+    finally:
+        indexing.DERIVED = kept
+    assert snapshots.current_version(spark, store) == "v2"
+    assert {r.id: r.sha256 for r in open_index(spark, store).documents.collect()} == old
+    os.remove(os.path.join(root, "r7_最终报告.md"))
+    reconcile_files(spark, [root], store, "v3")
+    # Step by step or at once: the same tables and the same results.
+    reconcile_files(spark, [root], whole, "w1")
+    for name in ("sections", "chunks", "postings", "term_lengths", "grams", "gram_lengths", "vectors", "section_vectors"):
+        rows = lambda at: sorted(map(str, snapshots.read_table(spark, at, name).collect()))
+        assert rows(store) == rows(whole), name
+    stats = lambda at: {tuple(r) for r in open_index(spark, at).terms.term_stats().collect()}
+    assert stats(store) == stats(whole) == {tuple(r) for r in lexical.term_stats(open_index(spark, whole).terms.postings).collect()}
+    assert search_hits(spark, store) == search_hits(spark, whole)
+    unused = snapshots.unused_folders(spark, store, keep=1)
+    named = {r["path"] for r in snapshots.manifest(spark, store, "v3")}
+    assert unused and not named & set(unused)
+
+
+def test_run_state_counts_only_with_its_pointer(spark):
+    root, store = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+    for i in range(4):
+        write(root, f"r{i}_最终报告.md", REPORT.format(t=f"R{i}", c=f"A{i}", w=f"w{i}"))
+    write(root, "skip.md", "# refused by its name")
+    reconcile_files(spark, [root], store, "v1")
+    assert indexing.deletions(spark, store).count() == 0
+    assert {r.status: r.n for r in indexing.last_scan(spark, store).collect()} == {"NEW": 5}
+    os.remove(os.path.join(root, "r1_最终报告.md"))
+    # Rows of a run that never published do not count.
+    spark.createDataFrame([("x", "A9", "s", "t")], indexing.DELETIONS).write.parquet(f"{store}/_log/deletions/version=lost")
+    reconcile_files(spark, [root], store, "v2")
+    gone = indexing.deletions(spark, store).collect()
+    assert [r.document_id for r in gone] == ["A1"] and gone[0].last_sha256 and "r1_" in gone[0].source_path
+    assert {r.status: r.n for r in indexing.last_scan(spark, store).collect()} == {"UNCHANGED": 3, "DELETED": 1, "NEW": 1}
+    # Nothing to do: nothing is published, and the refused file is not taken for work.
+    reconcile_files(spark, [root], store, "v3")
+    assert snapshots.current_version(spark, store) == "v2"
+    before = {r.id: (r.indexed_at, r.created_at) for r in open_index(spark, store).documents.collect()}
+    files_before = tree(store)
+    indexing.reindex_document(spark, [root], store, "v4", "A2")
+    after = {r.id: (r.indexed_at, r.created_at) for r in open_index(spark, store).documents.collect()}
+    assert set(after) == set(before)
+    assert after["A2"][0] > before["A2"][0] and after["A2"][1] == before["A2"][1]
+    mine = spark.range(1).select(snapshots.bucket_of(F.lit("A2"), snapshots.BUCKETS)).first()[0]
+    assert all(f"bucket={mine}/" in f for f in tree(store) if f not in files_before)
+    assert [(r.id, r.kind) for r in indexing.jobs(spark, store).collect()] == [("v4", "reindex"), ("v2", "reconcile"), ("v1", "reconcile")]
+    # The same batch run twice after a failure before its pointer leaves one row.
+    assert indexing.deletions(spark, store).count() == 1
+
+
 def test_json_sources(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     write(folder, "e.jsonl", '{"a": 1}\n\nnot json\n{"a": 2, "more": 3}\n')
