@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from fathomtext.sources.files import _exists
 
 BUCKETS = 64
+WRITERS = 6
 MANIFEST = "name string, bucket int, path string, buckets int, columns string"
 
 
@@ -93,7 +95,7 @@ def publish(
         # A rebalance splits large buckets and joins small ones by size.
         df.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
-    for name, change in tables.items():
+    def table(name: str, change: DataFrame | Change) -> None:
         change = change if isinstance(change, Change) else Change(change)
         folder, df = f"{root}/data/{version}/{name}", change.rows
         wrote = change.touched is None or bool(change.touched)
@@ -111,6 +113,10 @@ def publish(
                 entries(made, target, columns, change.touched, True)
             else:
                 entries(made, target, columns, change.touched, False)
+    # Tables do not depend on each other: their jobs share the cluster.
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for done in [pool.submit(table, *item) for item in tables.items()]:
+            done.result()
     for name, df in (logs or {}).items():
         df.write.mode("overwrite").parquet(f"{root}/_log/{name}/version={version}")
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/{version}")
