@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fathomtext.sources.staging import staged
+
 
 def nearest_rank(
     df: DataFrame,
@@ -12,19 +14,26 @@ def nearest_rank(
     points: dict[str, float],
     buckets: int = 4096,
     levels: int = 5,
+    slice_rows: int = 200_000,
 ) -> DataFrame:
     """Value at sorted position ``min(floor(n * p), n - 1)`` per group.
 
     Equal values are counted first (with a map-side combine).  Each level then
     splits the remaining range of a group into linear buckets, adds up bucket
-    counts and keeps only the bucket that holds the wanted position.  Five levels cut a
-    range 2^60-fold, so the last step ranks a small slice however skewed the
-    values are; levels after the first only see the slice before.
+    counts and keeps only the bucket that holds the wanted position, until no group has more
+    than ``slice_rows`` values left, which are then ranked.  Five levels cut a range
+    2^60-fold, so the last step sees a small slice however skewed the values are.
     """
-    counted = (
+    if not groups:
+        # One global group still needs a key to meet its targets on.
+        return nearest_rank(
+            df.withColumn("_one", F.lit(1)), ["_one"], value, points, buckets, levels, slice_rows
+        ).drop("_one")
+    counted = staged(
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "values",
     )
     wanted = F.array(
         *[F.struct(F.lit(name).alias("point"), F.lit(float(p)).alias("p")) for name, p in points.items()]
@@ -42,14 +51,11 @@ def nearest_rank(
             "_hi",
         )
     )
-    if not groups:
-        # One global group still needs a key to meet its targets on.
-        return nearest_rank(
-            df.withColumn("_one", F.lit(1)), ["_one"], value, points, buckets, levels
-        ).drop("_one")
-
-    slice_of = counted.join(targets, groups)
+    widest = lambda rows, by: rows.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    slice_of, rows = counted.join(targets, groups), widest(counted, groups)
     for _ in range(levels):
+        if rows <= slice_rows:
+            break
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
         b = F.when(
             F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / width)
@@ -64,13 +70,15 @@ def nearest_rank(
             .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_bn")))
             .select(*keys, "_b", (F.col("_rank") - F.col("_before")).alias("_rank2"), "_blo", "_bhi")
         )
-        slice_of = (
+        slice_of = staged(
             bucketed.join(hit, [*keys, "_b"])
             .select(
                 *keys, "_v", "_n",
                 F.col("_rank2").alias("_rank"), F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-            )
+            ),
+            "values",
         )
+        rows = widest(slice_of, keys)
     order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     picked = slice_of.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(
         (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))

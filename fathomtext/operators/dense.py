@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fathomtext.functions.exprs import bind
 from fathomtext.functions.stats import top_rows
 from fathomtext.functions.text import words
 from fathomtext.operators.fusion import SearchFilters
+from fathomtext.sources.staging import staged
 
 DEFAULT_DIM = 128
-QUERY_BLOCK_BYTES = 64 << 20
+QUERY_BLOCK_BYTES = 2 << 20
 TILE_ROWS, TILE_QUERIES = 2048, 1024
 
 
@@ -115,6 +116,35 @@ def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
 
 
+def _blocks_of(rows: DataFrame, id_col: str, vector_col: str, d: int, per_block: int) -> DataFrame:
+    """Vectors of length ``d`` as unit rows, ``per_block`` to a block: ``ids`` and ``matrix``.
+
+    Lengths and nulls are judged here, where the vectors lie: a filter would be pushed below an embedding and repeat it.
+    """
+    id_type = rows.schema[id_col].dataType
+    schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("matrix", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            right = pc.fill_null(pc.equal(pc.list_value_length(lists), d), False)
+            ids, kept = batch.column(0).filter(right), lists.filter(right)
+            flat = kept.flatten()
+            m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(kept), d)
+            if flat.null_count:
+                whole = pc.is_valid(flat).to_numpy(zero_copy_only=False).reshape(len(kept), d).all(axis=1)
+                ids, m = ids.filter(pa.array(whole)), m[whole]
+            unit = _unit_rows(m)
+            for start in range(0, len(ids), per_block):
+                mine = ids.slice(start, per_block)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine), pa.array([unit[start : start + per_block].tobytes()])],
+                    names=schema.names,
+                )
+
+    return rows.select(id_col, vector_col).mapInArrow(run, schema)
+
+
 def cosine_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -128,48 +158,26 @@ def cosine_topk(
 ) -> DataFrame:
     """Exact cosine top ``k`` per query: ``query_id, id_col, score, rank``.
 
-    The vectors stay where they lie: each task multiplies tiles of its Arrow batches
-    with tiles of a block of queries and keeps ``k`` rows per query.  Only a block whose
-    size is bounded by ``block_bytes`` is sent to the executors; a larger query
-    batch makes several passes over the vectors.  Null vectors and vectors of another
-    length than the queries' have no score; null or shorter queries have no hits.
+    Queries and vectors are tables of blocks of rows, and every block of queries meets every block of vectors.  Spark
+    decides by the size of the query blocks whether they are broadcast or the partitions of both meet one by one; the
+    driver holds neither.  A task keeps the ``k`` best of each query it has seen and tests later blocks against the last
+    of them.  Null vectors and vectors of another length than the queries' have no score; null or shorter queries have
+    no hits.
     """
-    spark = vectors.sparkSession
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v")).where(
-        F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
-    )
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    id_type = vectors.schema[id_col].dataType
-    qid_type = q.schema["query_id"].dataType
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("v"))
+    d = q.agg(F.max(F.when(~F.exists("v", lambda x: x.isNull()), F.size("v"))).alias("d")).first()["d"]
+    id_type, qid_type = vectors.schema[id_col].dataType, q.schema["query_id"].dataType
     schema = T.StructType(
-        [
-            T.StructField("query_id", qid_type),
-            T.StructField(id_col, id_type),
-            T.StructField("score", T.DoubleType()),
-        ]
+        [T.StructField("query_id", qid_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())]
     )
-    if not size["n"]:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    q = q.where(F.size("v") == size["d"])
-    vectors = vectors.where(
-        (F.size(vector_col) == size["d"]) & ~F.exists(vector_col, lambda x: x.isNull())
-    )
-    # A block bounds both the queries' numbers and the hits kept for them.
-    blocks = max(1, math.ceil(size["n"] * max(size["d"], 4 * k) * 8 / block_bytes))
-    parts = []
-    for b in range(blocks):
-        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = mine.orderBy("query_id").toPandas()
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast(
-            (rows["query_id"].to_numpy(), _unit_rows(np.vstack(rows["v"].to_numpy()).astype(np.float64)))
-        )
-        parts.append(_one_pass(vectors, shared, k, id_col, vector_col, decimals, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_rows(out, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
+    if not d or d < 0:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    per_block = max(1, min(TILE_QUERIES, block_bytes // (8 * d)))
+    packed = _blocks_of(q, "query_id", "v", d, per_block).toDF("qids", "asked")
+    asked = staged(packed.withColumn("block", F.monotonically_increasing_id()), "queries")
+    met = _blocks_of(vectors, id_col, vector_col, d, TILE_ROWS).crossJoin(asked)
+    hits = met.mapInArrow(_best_of_blocks(k, d, decimals, schema), schema)
+    return top_rows(hits, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -178,45 +186,56 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / norms[:, None]
 
 
-def _one_pass(vectors, shared, k, id_col, vector_col, decimals, schema) -> DataFrame:
+def _best_of_blocks(k: int, d: int, decimals: int, schema: T.StructType, held_rows: int = 2_000_000):
+    """Rows (ids, matrix, qids, asked, block) to the best hits of each query in this task.
+
+    ``held_rows`` hits at most are held; beyond that they are given out and only the floors stay.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] | None = None
-        id_arrow = None
+        types: list[pa.DataType] = []
+        best: dict[int, list] = {}
+        floors: dict[int, np.ndarray] = {}
+        held = 0
+
+        def given():
+            for qids, scores, ids in best.values():
+                counts = [len(s) for s in scores]
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(np.repeat(np.arange(len(qids)), counts))), pa.array(np.concatenate(ids), type=types[1]),
+                         pa.array(np.concatenate(scores))],
+                        names=schema.names,
+                    )
+            best.clear()
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            id_arrow = batch.column(0).type
-            every = np.asarray(batch.column(0).to_pandas())
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = _unit_rows(flat.reshape(batch.num_rows, -1))
-            none = (np.empty(0), every[:0])
-            best = best or [none] * len(qids)
-            # Tiles keep the product of vectors and queries at 2 million scores.
-            for r in range(0, len(rows), TILE_ROWS):
-                ids = every[r : r + TILE_ROWS]
-                for c in range(0, len(qids), TILE_QUERIES):
-                    scores = np.round(matrix[c : c + TILE_QUERIES] @ rows[r : r + TILE_ROWS].T, decimals)
-                    if scores.shape[1] > k:
-                        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    else:
-                        cut = np.full(len(scores), -np.inf)
-                    for j, (line, least) in enumerate(zip(scores, cut), start=c):
-                        near = np.flatnonzero(line >= least)
-                        s = np.concatenate([best[j][0], line[near]])
-                        i = np.concatenate([best[j][1], ids[near]])
-                        top = _best_of(s, i, k)
-                        best[j] = (s[top], i[top])
-        if best is None:
-            return
-        counts = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(qids, counts)),
-                pa.array(np.concatenate([i for _, i in best]), type=id_arrow),
-                pa.array(np.concatenate([s for s, _ in best])),
-            ],
-            names=schema.names,
-        )
-
-    return vectors.select(id_col, vector_col).mapInArrow(run, schema)
+            types = [batch.column(2).type.value_type, batch.column(0).type.value_type]
+            for r in range(batch.num_rows):
+                every = np.asarray(batch.column(0)[r].values.to_pandas())
+                rows = np.frombuffer(batch.column(1)[r].as_buffer(), np.float64).reshape(-1, d)
+                matrix = np.frombuffer(batch.column(3)[r].as_buffer(), np.float64).reshape(-1, d)
+                name = batch.column(4)[r].as_py()
+                if name not in best:
+                    best[name] = [batch.column(2)[r].values, [np.empty(0)] * len(matrix), [every[:0]] * len(matrix)]
+                    floors.setdefault(name, np.full(len(matrix), -np.inf))
+                _, kept_scores, kept_ids = best[name]
+                scores = np.round(matrix @ rows.T, decimals)
+                least = floors[name]
+                if scores.shape[1] > k:
+                    least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+                for j in np.flatnonzero((scores >= least[:, None]).any(axis=1)):
+                    near = np.flatnonzero(scores[j] >= least[j])
+                    s = np.concatenate([kept_scores[j], scores[j, near]])
+                    i = np.concatenate([kept_ids[j], every[near]])
+                    top = _best_of(s, i, k)
+                    held += len(top) - len(kept_scores[j])
+                    kept_scores[j], kept_ids[j] = s[top], i[top]
+                    if len(top) == k:
+                        floors[name][j] = max(floors[name][j], s[top[-1]])
+                if held > held_rows:
+                    yield from given()
+                    held = 0
+        yield from given()
+
+    return run

@@ -1,16 +1,19 @@
 """Search against brute force."""
 
 import math
+import random
 import re
 import uuid
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fathomtext.functions.stats import nearest_rank, numbered
 from fathomtext.functions.skew import hot_keys, lookup_join
 from fathomtext.functions.text import highlight, identifiers, lexical_text, normal_form, snippet
 from fathomtext.operators import dense, fusion, lexical
+from fathomtext.sources.staging import staged
 
 TEXTS = {
     "a": "CoWoS-L packages HBM4 dies. CoWoS-L again, and banana banana bananana.",
@@ -91,6 +94,83 @@ def test_substrings_stored_equal_scanned_equal_brute_force(spark):
     assert truth == {(q.query_id, k) for q in wanted.collect() for k, t in TEXTS.items() if q.query in t}
 
 
+def zipf_corpus(spark, n=400):
+    """Texts in which few words are in nearly every one, queries of common and rare words."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    texts = [(i, " ".join(rnd.choices(words, weights, k=rnd.randint(20, 120)))) for i in range(n)]
+    asked = [(q, " ".join([*rnd.choices(words[:8], k=6), *rnd.sample(words[60:], 3)])) for q in range(12)]
+    asked += [(90, "w0 w1 w2"), (91, "w299"), (92, "absent words"), (93, "w7-w3 w250 w0")]
+    chunks = spark.createDataFrame(texts, "id int, plain_text string").withColumn("heading_path", F.lit(""))
+    return chunks, spark.createDataFrame(asked, "query_id int, query string")
+
+
+def test_pruned_search_scores_few_pairs_and_loses_none(spark):
+    chunks, asked = zipf_corpus(spark)
+    phrases = lexical.query_phrases(asked)
+    index = lexical.term_index(chunks, text_col="plain_text")
+    index = lexical.TermIndex(staged(index.postings), staged(index.lengths))
+    key = lambda df: {(r.query_id, r.chunk_id, r["rank"], round(r.score, 8)) for r in df.collect()}
+    hits = staged(lexical.phrase_hits(phrases, index))
+    every = key(lexical.ranked_by_score(lexical.bm25(phrases, hits, index.lengths), 5))
+    assert every == key(lexical.search_terms(phrases, index, 5))
+    all_pairs = phrases.join(hits, "phrase").count()
+    assert 4 * lexical.pruned_terms(phrases, index, 5).scored_pairs() < all_pairs
+    # Statistics kept by part of the corpus give the same bounds.
+    parts = lexical.term_stats(index.postings.withColumn("bucket", F.col("chunk_id") % 7), "bucket")
+    assert {tuple(r) for r in lexical.whole_stats(parts).collect()} == {tuple(r) for r in lexical.term_stats(index.postings).collect()}
+    substrings = lexical.query_substrings(asked)
+    grams = lexical.gram_index(chunks, text_col="plain_text")
+    grams = lexical.GramIndex(staged(grams.grams), grams.texts, staged(grams.lengths))
+    found = lexical.substring_hits(substrings, grams)
+    full = key(lexical.ranked_by_score(lexical.bm25(substrings, found, grams.lengths), 5))
+    assert full == key(lexical.search_substrings(substrings, grams, 5))
+
+
+def test_substrings_of_every_length(spark):
+    rnd = random.Random(5)
+    texts = [(i, "".join(rnd.choice("abAé ") for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(60, ""), (61, "a"), (62, "ab")]
+    chunks = spark.createDataFrame(texts, "id int, raw_markdown string").withColumn("heading_path", F.lit("aba heading"))
+    index = lexical.gram_index(chunks)
+    asked = {"".join(rnd.choice("abAé ") for _ in range(n)) for n in range(1, 9) for _ in range(12)} | {t[5:40] for _, t in texts[:6] if len(t) > 40}
+    q = spark.createDataFrame(list(enumerate(sorted(asked))), "query_id int, query string")
+    held = chunks.select(F.col("id").alias("chunk_id"), F.col("raw_markdown").alias("plain_text"))
+    got = [tuple(r) for r in lexical.substring_truth(q, index, held).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(n, i) for n, a in enumerate(sorted(asked)) for i, t in texts if a in t}
+    phrases = q.where("length(query) >= 3").select(F.lower("query").alias("phrase")).distinct()
+    hits = {(r.phrase, r.chunk_id): r.tf for r in lexical.substring_hits(phrases, index).collect()}
+    count = lambda p, t: len(re.findall(f"(?={re.escape(p)})", t))
+    want = {(p, i): count(p, t.lower()) + count(p, "aba heading") for p in {a.lower() for a in asked if len(a) >= 3} for i, t in texts}
+    assert hits == {k: n for k, n in want.items() if n}
+
+
+def test_cosine_blocks_against_brute_force(spark):
+    rnd = np.random.default_rng(4)
+    v, q = rnd.normal(size=(3000, 8)), rnd.normal(size=(40, 8))
+    v[100:130] = v[7]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>").repartition(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    scores = np.round(unit(q) @ unit(v).T, 9)
+    want = {(i, int(j), n) for i in range(40) for n, j in enumerate(np.lexsort((np.arange(3000), -scores[i]))[:7], 1)}
+    key = lambda df: {(r.query_id, r.chunk_id, r["rank"]) for r in df.collect()}
+    assert key(dense.cosine_topk(vectors, asked, 7, block_bytes=1000)) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # Query blocks too large to broadcast meet the vectors partition by partition.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert key(dense.cosine_topk(vectors, asked, 7)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The embedding of a vector is computed once.
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "chunk_id long, t string")
+    embedded = texts.select("chunk_id", dense.hashed_embedding(F.col("t"), 8).alias("embedding"))
+    plan = dense.cosine_topk(embedded, asked, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_fusion_order_and_boost(spark):
     rows = [(1, "terms", "d:s1:0001", 1), (1, "trigram", "d:s1:0001", 3), (1, "dense", "d:s2:0002", 1), (1, "terms", "d:s2:o1:0003", 2)]
     lists = spark.createDataFrame(rows, "query_id int, source string, item_id string, rank int")
@@ -119,10 +199,12 @@ def test_dense_blocks_and_ids(spark):
 
 def test_order_statistics_and_numbering(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.pow(F.col("id") % 97, F.lit(3.0)).alias("v"), "id")
-    got = {r.g: (r.a, r.b) for r in nearest_rank(df, ["g"], "v", {"a": 0.5, "b": 0.95}, buckets=5).collect()}
-    for g in range(3):
-        vs = sorted(float((i % 97) ** 3) for i in range(1000) if i % 3 == g)
-        assert got[g] == tuple(vs[min(int(len(vs) * p), len(vs) - 1)] for p in (0.5, 0.95))
+    for small in (200_000, 8, 0):
+        found = nearest_rank(df, ["g"], "v", {"a": 0.5, "b": 0.95}, buckets=5, slice_rows=small)
+        got = {r.g: (r.a, r.b) for r in found.collect()}
+        for g in range(3):
+            vs = sorted(float((i % 97) ** 3) for i in range(1000) if i % 3 == g)
+            assert got[g] == tuple(vs[min(int(len(vs) * p), len(vs) - 1)] for p in (0.5, 0.95))
     n = numbered(df, ["g"], "id", "at", span=50).select("id", "at").collect()
     assert all(r.at == r.id // 3 + 1 for r in n)
 
