@@ -9,24 +9,26 @@ later steps and break ties.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomtext.functions.stats import top_rows
-from fathomtext.llm.common import UPPER, lower_ascii, ranked, read_table, slices, written
+from fathomtext.llm.common import UPPER, ranked, read_table, slices, written
 from fathomtext.llm.transducer import Transducer
 
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# Bytes of UTF-8: letters in lower case and characters beyond ASCII stay, all others part terms.
+_BYTES = bytes(
+    b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
+)
 BLOCK_CHARS = 8_000_000
 #: Terms of a shard, and shards at most: their first terms are all that the driver and the tasks know of the list.
 SHARD_TERMS, MAX_SHARDS = 2048, 4096
@@ -34,7 +36,7 @@ SHARD_TERMS, MAX_SHARDS = 2048, 4096
 PAIR_TERMS, PAIR_SOURCES = 8192, 128
 
 FREQUENCIES = "key string, n bigint"
-STREAM = "shard int, at bigint, key string, lang string, source string, terms binary, times binary"
+STREAM = "shard int, at bigint, key string, lang string, sources array<string>, sizes array<int>, terms binary, times binary"
 COUNTS = "lang string, source string, ord bigint, c bigint"
 
 
@@ -49,6 +51,20 @@ def _named(docs: DataFrame) -> DataFrame:
 # --- the vocabulary -------------------------------------------------------------------------
 
 
+def _terms(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms of the texts, all terms as places in that list, and the text that each stands in."""
+    raw = [t.encode("utf-8").translate(_BYTES) for t in texts]
+    lists = pc.split_pattern(pa.array(raw, pa.large_binary()), pattern=" ")
+    found = lists.flatten().dictionary_encode()
+    terms, codes = found.dictionary, found.indices.to_numpy()
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    gap = pc.index(terms, pa.scalar(b"", terms.type)).as_py()
+    if gap >= 0:
+        real = codes != gap
+        codes, owner = codes[real], owner[real]
+    return terms, codes, owner
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """``key`` (language and term) with the number of documents that hold it, added up by block."""
 
@@ -56,15 +72,18 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, stop in slices(texts, BLOCK_CHARS):
-                seen: dict[str, Counter] = {}
+                mine: dict[str, list[str]] = {}
                 for lang, text in zip(langs[start:stop], texts[start:stop]):
-                    seen.setdefault(lang, Counter()).update(set(TERM.findall(lower_ascii(text))))
-                for lang, terms in seen.items():
-                    if terms:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([_key(lang, t) for t in terms], pa.string()), pa.array(list(terms.values()), pa.int64())],
-                            names=["key", "n"],
-                        )
+                    if text:
+                        mine.setdefault(lang, []).append(text)
+                for lang, of_lang in mine.items():
+                    terms, codes, owner = _terms(of_lang)
+                    once = np.unique(owner * max(len(terms), 1) + codes) % max(len(terms), 1)
+                    n = np.bincount(once, minlength=len(terms))
+                    at = np.flatnonzero(n)
+                    if len(at):
+                        names = pc.binary_join_element_wise(_key(lang, ""), terms.take(pa.array(at)).cast(pa.large_string()).cast(pa.string()), "")
+                        yield pa.RecordBatch.from_arrays([names, pa.array(n[at].astype(np.int64))], names=["key", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, FREQUENCIES).groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -84,61 +103,100 @@ def vocabulary(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
 # --- counting by transducer -------------------------------------------------------------------
 
 
-def _packs(shards: list[tuple[str, int]]):
-    """Rows (lang, source, text) to the words of each block, packed by shard."""
-    firsts = [first for first, _ in shards]
+def _packs(firsts: list[str]):
+    """Rows (lang, source, text) to the terms of each block by shard: those of one source after the other."""
+    bounds = [first.encode("utf-8") for first in firsts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         names = [f.split()[0] for f in STREAM.split(", ")]
         for batch in batches:
             langs, sources, texts = (batch.column(c).to_pylist() for c in range(3))
             for start, stop in slices(texts, BLOCK_CHARS):
-                groups: dict[tuple[str, str], list[str]] = {}
+                groups: dict[str, dict[str, list[str]]] = {}
                 for lang, source, text in zip(langs[start:stop], sources[start:stop], texts[start:stop]):
                     if text:
-                        groups.setdefault((lang, source), []).append(text)
+                        groups.setdefault(lang, {}).setdefault(source, []).append(text)
                 rows = []
-                for (lang, source), mine in groups.items():
-                    counted = Counter(TERM.findall(lower_ascii(" ".join(mine))))
-                    terms = sorted(counted)
-                    times = np.fromiter(map(counted.__getitem__, terms), np.int64, len(terms))
-                    # The shards that may hold keys of this language, and where their ranges start in its words.
-                    low = max(bisect_left(firsts, _key(lang, "")) - 1, 0)
-                    high = bisect_left(firsts, f"{lang}\1")
-                    starts = [0, *(bisect_left(terms, firsts[s][len(lang) + 1 :]) for s in range(low + 1, high)), len(terms)]
-                    for shard, a, b in zip(range(low, high), starts, starts[1:]):
-                        if b > a:
-                            rows.append((shard, -1, None, lang, source, "\n".join(terms[a:b]).encode("utf-8"), times[a:b].tobytes()))
+                for lang, by_source in groups.items():
+                    # The shards that may hold keys of this language, and where their ranges start among its terms.
+                    prefix = _key(lang, "").encode("utf-8")
+                    low = max(bisect_left(bounds, prefix) - 1, 0)
+                    high = bisect_left(bounds, prefix[:-1] + b"\1")
+                    cuts = [bounds[s][len(prefix) :] for s in range(low + 1, high)]
+                    packs: list[list[tuple]] = [[] for _ in range(low, high)]
+                    for source, mine in by_source.items():
+                        terms, codes, _ = _terms(mine)
+                        n = np.bincount(codes, minlength=len(terms)).astype(np.int64)
+                        order = pc.array_sort_indices(terms).to_numpy()
+                        order = order[n[order] > 0]
+                        n, sorted_terms = n[order], terms.take(pa.array(order)).to_pylist()
+                        starts = [0, *(bisect_left(sorted_terms, cut) for cut in cuts), len(sorted_terms)]
+                        for pack, a, b in zip(packs, starts, starts[1:]):
+                            if b > a:
+                                pack.append((source, b - a, b"\n".join(sorted_terms[a:b]), n[a:b]))
+                    for shard, pack in zip(range(low, high), packs):
+                        if pack:
+                            named, sizes, held, times = zip(*pack)
+                            rows.append((shard, -1, None, lang, named, sizes, b"\n".join(held), np.concatenate(times).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
 
 
-def _counted(limit: int = 2_000_000):
-    """Sorted shards, terms before packs, to counts; a shard's terms and ``limit`` counts in memory."""
+def _counted(limit: int = 2_000_000, waiting: int = 4_000_000):
+    """Sorted shards, terms before packs, to counts; a shard's terms, ``waiting`` bytes of packs and ``limit`` counts in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, keys, base, machine = None, [], 0, None
         counts: dict[tuple[str, str], np.ndarray] = {}
+        packs: dict[str, list[tuple]] = {}
+        held = 0
 
         def settled():
             for (lang, source), line in counts.items():
                 at = np.flatnonzero(line)
                 if len(at):
+                    same = lambda v: pa.array([v], pa.string()).take(pa.array(np.zeros(len(at), np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(at + base), pa.array(line[at])],
-                        names=["lang", "source", "ord", "c"],
+                        [same(lang), same(source), pa.array(at + base), pa.array(line[at])], names=["lang", "source", "ord", "c"]
                     )
             counts.clear()
 
+        def streamed():
+            """All waiting packs through the transducer at once."""
+            for lang, mine in packs.items():
+                data = np.frombuffer(b"\n".join(terms for _, _, terms, _ in mine), np.uint8)
+                times = np.concatenate([np.frombuffer(t, np.int64) for *_, t in mine])
+                ends = np.append(np.flatnonzero(data == 10), len(data))
+                starts = np.append(0, ends[:-1] + 1)
+                ordinals = machine.ordinals(_key(lang, "").encode("utf-8"), data, starts, ends - starts)
+                sizes = np.concatenate([np.array(s) for _, s, _, _ in mine])
+                names, of = np.unique(np.array([n for named, *_ in mine for n in named], object), return_inverse=True)
+                owner = np.repeat(of, sizes)
+                hit = np.flatnonzero(ordinals >= 0)
+                # Few sources at a time keep the sums small however many there are.
+                for first in range(0, len(names), 64):
+                    part = hit[(owner[hit] >= first) & (owner[hit] < first + 64)]
+                    sums = np.zeros((min(64, len(names) - first), len(keys)), np.int64)
+                    np.add.at(sums, (owner[part] - first, ordinals[part]), times[part])
+                    for source, line in zip(names[first : first + 64], sums):
+                        if (lang, source) in counts:
+                            counts[lang, source] += line
+                        else:
+                            counts[lang, source] = line
+                    if len(counts) * len(keys) > limit:
+                        yield from settled()
+            packs.clear()
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(7)]
-            for s, at, key, lang, source, terms, times in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in range(8)]
+            for s, at, key, lang, sources, sizes, terms, times in zip(*columns):
                 if s != shard:
+                    yield from streamed()
                     yield from settled()
-                    shard, keys, machine = s, [], None
+                    shard, keys, machine, held = s, [], None, 0
                 if key is not None:
                     if not keys:
                         base = at
@@ -148,17 +206,12 @@ def _counted(limit: int = 2_000_000):
                     continue
                 if machine is None:
                     machine = Transducer(keys)
-                data = np.frombuffer(terms, np.uint8)
-                ends = np.append(np.flatnonzero(data == 10), len(data))
-                starts = np.append(0, ends[:-1] + 1)
-                ordinals = machine.ordinals(f"{lang}\0".encode("utf-8"), data, starts, ends - starts)
-                hit = np.flatnonzero(ordinals >= 0)
-                line = counts.get((lang, source))
-                if line is None:
-                    if (len(counts) + 1) * len(keys) > limit:
-                        yield from settled()
-                    line = counts[lang, source] = np.zeros(len(keys), np.int64)
-                line[ordinals[hit]] += np.frombuffer(times, np.int64)[hit]
+                packs.setdefault(lang, []).append((sources, sizes, terms, times))
+                held += len(terms)
+                if held > waiting:
+                    yield from streamed()
+                    held = 0
+        yield from streamed()
         yield from settled()
 
     return run
@@ -168,11 +221,14 @@ def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Occurrences of the kept terms by language and source, where there are any."""
     size = kept.agg(F.max("ord").alias("n")).first()["n"]
     per_shard = max(SHARD_TERMS, ((size or 0) + MAX_SHARDS) // MAX_SHARDS)
-    firsts = [(r["key"], i) for i, r in enumerate(kept.where(F.col("ord") % per_shard == 0).orderBy("ord").select("key").collect())]
+    firsts = [r["key"] for r in kept.where(F.col("ord") % per_shard == 0).orderBy("ord").select("key").collect()]
     texts = docs.select("lang", "source", "text").mapInArrow(_packs(firsts), STREAM)
     terms = kept.select(
         F.floor(F.col("ord") / per_shard).cast("int").alias("shard"), F.col("ord").alias("at"), "key",
-        *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("terms", "binary"), ("times", "binary"))),
+        *(
+            F.lit(None).cast(t).alias(c)
+            for c, t in (("lang", "string"), ("sources", "array<string>"), ("sizes", "array<int>"), ("terms", "binary"), ("times", "binary"))
+        ),
     )
     # Terms come first within a shard, in the order of their places; packs (-1) follow.
     stream = terms.unionByName(texts).withColumn("_last", F.col("key").isNull())
