@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomtext.functions.stats import nearest_rank, top_rows
+from fathomtext.operators.lexical import GramIndex, gram_index, substring_truth
+from fathomtext.sources.staging import staged
 
 # The grade from which a result counts as relevant, and the gates.
 RELEVANT = 2
@@ -298,19 +300,21 @@ def document_metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame
     )
 
 
-def keyword_truth(queries: DataFrame, texts: DataFrame) -> DataFrame:
+def keyword_truth(queries: DataFrame, texts: DataFrame, index: GramIndex | None = None) -> DataFrame:
     """Chunks that hold a keyword of the query, ``query_id, chunk_id``.
 
-    ``queries(query_id, keywords)`` against ``texts(chunk_id, plain_text)``,
-    matched exactly through the trigram index.
+    ``queries(query_id, keywords)`` against ``texts(chunk_id, plain_text)``, matched exactly through a trigram index of
+    the texts, which is made here if none is given.  A keyword of many queries is looked up once.
     """
-    from fathomtext.operators.lexical import gram_index, substring_truth
-
-    keys = queries.select("query_id", F.explode("keywords").alias("query")).where(F.col("query") != "")
-    index = gram_index(
-        texts.select(F.col("chunk_id").alias("id"), F.lit("").alias("heading_path"), F.col("plain_text").alias("raw_markdown"))
-    )
-    return substring_truth(keys, index, texts).distinct()
+    keys = queries.select("query_id", F.explode("keywords").alias("keyword")).where(F.col("keyword") != "").distinct()
+    if index is None:
+        made = gram_index(
+            texts.select(F.col("chunk_id").alias("id"), F.lit("").alias("heading_path"), F.col("plain_text").alias("raw_markdown"))
+        )
+        index = GramIndex(staged(made.grams, "grams"), made.texts, made.lengths)
+    once = keys.select("keyword").distinct()
+    held = substring_truth(once, index, texts, "keyword", "keyword").withColumnRenamed("query_id", "keyword")
+    return keys.join(held, "keyword").select("query_id", "chunk_id").distinct()
 
 
 def truth_metrics(results: DataFrame, truth: DataFrame, k: int = 5, cutoff: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from fathomtext.functions.stats import top_rows
 from fathomtext.functions.text import rerank_text, snippet, words
 from fathomtext.operators import dense, fusion, lexical
 from fathomtext.operators.fusion import SearchFilters
+from fathomtext.sources.staging import staged
 
 MODES = {"dense": ("dense",), "lexical": ("terms", "trigram"), "hybrid": ("dense", "terms", "trigram")}
 
@@ -217,12 +218,33 @@ def facet_values(documents: DataFrame) -> DataFrame:
     return documents.where(F.coalesce("domain", F.lit("")) != "").select("domain").distinct().orderBy("domain")
 
 
-def arms(base: SearchOptions) -> dict[str, SearchOptions]:
-    """Options of the five arms that run the whole plan."""
-    return {
-        "lexical": replace(base, mode="lexical", rerank=False),
-        "dense": replace(base, mode="dense", rerank=False),
-        "hybrid": replace(base, mode="hybrid", use_boost=False, rerank=False),
-        "hybrid_boost": replace(base, mode="hybrid", use_boost=True, rerank=False),
-        "hybrid_rerank": replace(base, mode="hybrid", use_boost=True, rerank=True),
+ARMS = ("terms", "trigram", "lexical", "dense", "hybrid", "hybrid_boost", "hybrid_rerank")
+
+
+def arms(
+    queries: DataFrame, index: CorpusIndex, query_vectors: DataFrame, options: SearchOptions = SearchOptions(),
+    scorer: Callable[[Column, Column], Column] = overlap_score, k: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``k`` of all seven arms as ``arm, query_id, rank, chunk_id``, and the source lists they come from.
+
+    Each source is searched once and its list written; every arm branches from these lists, and both arms
+    with a boost from one list of boosted candidates.
+    """
+    options = replace(options, mode="hybrid", use_boost=True, rerank=False).checked()
+    lists = staged(source_lists(queries, query_vectors, index, options), "arms")
+    boosted = staged(fused_candidates(lists, query_vectors, index, options), "arms")
+    plain = fused_candidates(lists, None, index, replace(options, use_boost=False))
+    lexical_only = fusion.fused_top(fusion.without_boost(fusion.rrf(lists.where(F.col("source") != "dense"))), k, "rank")
+    again = fusion.reranked(boosted, rerank_scores(boosted, queries, options.rerank_k, scorer))
+    ranked = {
+        **{source: lists.where((F.col("source") == source) & (F.col("rank") <= k)) for source in ("terms", "trigram", "dense")},
+        "lexical": lexical_only,
+        "hybrid": fusion.final_top(plain, k),
+        "hybrid_boost": fusion.final_top(boosted, k),
+        "hybrid_rerank": fusion.final_top(again, k, True),
     }
+    out = None
+    for arm in ARMS:
+        rows = ranked[arm].select(F.lit(arm).alias("arm"), "query_id", "rank", F.col("item_id").alias("chunk_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out, lists

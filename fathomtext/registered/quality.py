@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fathomtext.operators import evaluation, lexical
-from fathomtext.registered import inputs
+from fathomtext.operators import dense, evaluation, fusion
+from fathomtext.plans import search
+from fathomtext.registered import inputs, retrieval
 
 ARMS = ["terms", "trigram", "lexical"]
 
@@ -22,8 +23,6 @@ def arm_results(spark, sf_dir) -> DataFrame:
     lists = terms.select("query_id", F.lit("terms").alias("source"), F.col("chunk_id").alias("item_id"), "rank").unionByName(
         grams.select("query_id", F.lit("trigram").alias("source"), F.col("chunk_id").alias("item_id"), "rank")
     )
-    from fathomtext.operators import fusion
-
     fused = fusion.fused_top(fusion.without_boost(fusion.rrf(lists)), 10, "rank")
     return _as_arm("terms", terms).unionByName(_as_arm("trigram", grams)).unionByName(_as_arm("lexical", fused, "item_id"))
 
@@ -69,22 +68,45 @@ def no_regression(spark, sf_dir) -> DataFrame:
     return evaluation.no_regression(evaluation.arm_summary(_metrics(spark, sf_dir)), "terms", "lexical")
 
 
-def failure_buckets(spark, sf_dir) -> DataFrame:
-    """Causes over labels: each document is a query, its outcomes its attributes."""
-    d = inputs.table(spark, sf_dir, "documents").join(inputs.table(spark, sf_dir, "labels"), "doc_id")
-    hit = {
-        "dense": F.col("quality"), "lexical": F.col("toxic"),
-        "hybrid": (F.col("n_chars") > 1000).cast("int"), "hybrid_boost": (F.col("n_chars") > 1500).cast("int"),
-        "hybrid_rerank": (F.col("n_chars") > 3000).cast("int"),
-    }
-    rows = d.select(
-        F.col("doc_id").alias("query_id"),
-        F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), h.alias("hit5")) for a, h in hit.items()])).alias("x"),
-    ).select("query_id", "x.*")
-    reach = d.select(
-        F.col("doc_id").alias("query_id"), (F.col("lang") != "es").alias("any_hit"), (F.col("lang") == "en").alias("top10_hit")
+def _with_document(rows: DataFrame, item: str) -> DataFrame:
+    """Chunks of the searchable corpus are named by language, document and number; judgments name documents."""
+    return rows.withColumn("section_id", F.get(F.split(item, ":"), F.lit(1)))
+
+
+def _seven(spark, sf_dir, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    asked = inputs.queries(spark, sf_dir) if queries is None else queries
+    vectors = asked.select("query_id", dense.hashed_embedding(F.col("query")).alias("embedding"))
+    results, lists = search.arms(asked, retrieval.corpus_index(spark, sf_dir), vectors)
+    return _with_document(results, "chunk_id"), _with_document(lists, "item_id")
+
+
+def _seven_metrics(spark, sf_dir, results: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    asked = inputs.queries(spark, sf_dir) if queries is None else queries
+    return evaluation.complete_metrics(
+        evaluation.query_metrics(results, inputs.judgments(spark, sf_dir)), asked, list(search.ARMS)
     )
-    return evaluation.failure_buckets(rows, reach)
+
+
+def seven_arms(spark, sf_dir) -> DataFrame:
+    return _seven(spark, sf_dir)[0].select("arm", "query_id", "rank", "chunk_id")
+
+
+def seven_arm_metrics(spark, sf_dir) -> DataFrame:
+    return evaluation.arm_summary(_seven_metrics(spark, sf_dir, _seven(spark, sf_dir)[0]))
+
+
+def short_run_metrics(spark, sf_dir) -> DataFrame:
+    """The arms over the first ten queries."""
+    some = evaluation.first_queries(inputs.queries(spark, sf_dir), 10)
+    m = _seven_metrics(spark, sf_dir, _seven(spark, sf_dir, some)[0], some)
+    return m.select("arm", "query_id", *evaluation.MEASURES)
+
+
+def failure_buckets(spark, sf_dir) -> DataFrame:
+    """Causes from the results of the seven arms and the lists they come from."""
+    results, lists = _seven(spark, sf_dir)
+    reach = evaluation.source_reach(lists.select("query_id", "source", "rank", "section_id"), inputs.judgments(spark, sf_dir))
+    return evaluation.failure_buckets(_seven_metrics(spark, sf_dir, results), reach)
 
 
 def source_reach(spark, sf_dir) -> DataFrame:
@@ -119,10 +141,10 @@ def distinct_document_ndcg(spark, sf_dir) -> DataFrame:
 
 
 def _keywords(spark, sf_dir) -> DataFrame:
-    """The three longest words of each passage as its keywords."""
-    w = F.array_distinct(F.regexp_extract_all("query", F.lit(r"[\p{L}]+"), 0))
-    longest = F.slice(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1, 3)
-    return inputs.queries(spark, sf_dir).select("query_id", F.transform(longest, lambda s: s["w"]).alias("keywords"))
+    """All words of each passage as its keywords."""
+    return inputs.queries(spark, sf_dir).select(
+        "query_id", F.array_distinct(F.regexp_extract_all("query", F.lit(r"[\p{L}]+"), 0)).alias("keywords")
+    )
 
 
 def _texts(spark, sf_dir) -> DataFrame:
@@ -130,12 +152,12 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 
 def keyword_truth(spark, sf_dir) -> DataFrame:
-    return evaluation.keyword_truth(_keywords(spark, sf_dir), _texts(spark, sf_dir))
+    return evaluation.keyword_truth(_keywords(spark, sf_dir), _texts(spark, sf_dir), inputs.lexical_index(spark, sf_dir)[1])
 
 
 def keyword_metrics(spark, sf_dir) -> DataFrame:
     results = arm_results(spark, sf_dir).select("arm", "query_id", "rank", "chunk_id")
-    m = evaluation.truth_metrics(results, evaluation.keyword_truth(_keywords(spark, sf_dir), _texts(spark, sf_dir)))
+    m = evaluation.truth_metrics(results, keyword_truth(spark, sf_dir))
     return m.select("arm", "query_id", "hit5", F.round("mrr", 6).alias("mrr"))
 
 
@@ -149,9 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_metrics, metrics_by_arm, metrics_by_type, quality_gates, best_arm, ab_compare, no_regression,
-        failure_buckets, source_reach, latency_percentiles, resolved_judgments, distinct_document_ndcg, keyword_truth,
+        seven_arms, seven_arm_metrics, short_run_metrics, failure_buckets, source_reach, latency_percentiles, resolved_judgments, distinct_document_ndcg, keyword_truth,
         keyword_metrics, truth_with_fallback,
     )
 }
-
-__all__ = ["QUERIES", "lexical"]

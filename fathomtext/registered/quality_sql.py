@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fathomtext.registered.corpus_sql import PAGES
-from fathomtext.registered.retrieval_sql import FUSED, GRAMS, TERMS
+from fathomtext.registered.retrieval_sql import FUSED, GRAMS, SEVEN_ARMS, TERMS
 
 ARMS = TERMS + "," + GRAMS + FUSED + """
 , res AS (
@@ -42,10 +42,15 @@ METRICS = ARMS + TRUTH + """
 """
 KEYWORDS = """
 , kw0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark)
-, kw AS (SELECT DISTINCT query_id, w FROM kw0 QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) <= 3)
+, kw AS (SELECT DISTINCT query_id, w FROM kw0)
 , kt AS (SELECT DISTINCT kw.query_id, d.doc_id AS chunk_id FROM kw JOIN documents d ON contains(d.text, kw.w))
 """
 
+SEVEN = SEVEN_ARMS + """
+, res AS (SELECT arm, query_id, rank, split_part(chunk_id, ':', 2)::BIGINT AS chunk_id FROM arms)
+"""
+SEVEN_METRICS = SEVEN + METRICS.removeprefix(ARMS)
+
 SQL = {
     "retrieval_metrics": METRICS + "SELECT * FROM met",
     "metrics_by_arm": METRICS + "SELECT * FROM summ",
@@ -64,16 +69,24 @@ SELECT a.query_id, a.hit5 AS hit5_a, a.mrr AS mrr_a, a.ndcg AS ndcg_a, b.hit5 AS
 FROM met a JOIN met b USING (query_id) WHERE a.arm = 'terms' AND b.arm = 'lexical'""",
     "no_regression": METRICS + """
 SELECT b.hit5 >= a.hit5 AND b.mrr >= a.mrr - 0.05 AS passed FROM summ a, summ b WHERE a.arm = 'terms' AND b.arm = 'lexical'""",
-    "failure_buckets": """
-WITH x AS (SELECT doc_id, quality AS dense, toxic AS lexical, (n_chars > 1000)::INT AS hybrid, (n_chars > 1500)::INT AS boost,
-    (n_chars > 3000)::INT AS rerank, lang <> 'es' AS any_hit, lang = 'en' AS top10 FROM documents JOIN labels USING (doc_id))
-, c AS (SELECT *, CASE WHEN NOT any_hit THEN 'NO_RECALL' WHEN hybrid = 0 AND top10 THEN 'BAD_FUSION'
+    "seven_arms": SEVEN_ARMS + "SELECT * FROM arms",
+    "seven_arm_metrics": SEVEN_METRICS + "SELECT * FROM summ",
+    "short_run_metrics": SEVEN_METRICS + """
+SELECT arm, query_id, hit1, hit3, hit5, recall5, recall10, mrr, ndcg FROM met
+WHERE query_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10)""",
+    "failure_buckets": SEVEN_METRICS + """
+, reach AS (SELECT al.query_id, bool_or(t.chunk_id IS NOT NULL) AS any_hit, bool_or(t.chunk_id IS NOT NULL AND al.rank <= 10) AS top10
+  FROM al LEFT JOIN truth t ON t.query_id = al.query_id AND t.chunk_id = split_part(al.chunk_id, ':', 2)::BIGINT GROUP BY al.query_id)
+, x AS (SELECT query_id, max(hit5) FILTER (arm = 'dense') AS dense, max(hit5) FILTER (arm = 'lexical') AS lexical,
+    max(hit5) FILTER (arm = 'hybrid') AS hybrid, max(hit5) FILTER (arm = 'hybrid_boost') AS boost,
+    max(hit5) FILTER (arm = 'hybrid_rerank') AS rerank, max(hit5) AS most FROM met GROUP BY query_id)
+, c AS (SELECT x.*, CASE WHEN NOT coalesce(any_hit, false) THEN 'NO_RECALL' WHEN hybrid = 0 AND coalesce(top10, false) THEN 'BAD_FUSION'
     WHEN hybrid = 1 AND rerank = 0 THEN 'BAD_RERANK' WHEN hybrid = 1 AND boost = 0 THEN 'BOOST_HURT'
     WHEN dense = 0 THEN 'LOW_DENSE_RANK' ELSE 'LOW_LEXICAL_RANK' END AS cause,
   array_to_string(list_filter([CASE WHEN dense = 0 THEN 'dense' END, CASE WHEN lexical = 0 THEN 'lexical' END,
-    CASE WHEN hybrid = 0 THEN 'hybrid' END, CASE WHEN rerank = 0 THEN 'hybrid_rerank' END], lambda a: a IS NOT NULL), ',') AS failing FROM x)
-SELECT doc_id AS query_id, CASE WHEN greatest(dense, lexical, hybrid, boost, rerank) = 0 THEN cause
-  WHEN failing = '' THEN 'OK' ELSE 'PARTIAL:' || failing END AS bucket, cause FROM c""",
+    CASE WHEN hybrid = 0 THEN 'hybrid' END, CASE WHEN rerank = 0 THEN 'hybrid_rerank' END], lambda a: a IS NOT NULL), ',') AS failing
+  FROM x LEFT JOIN reach USING (query_id))
+SELECT query_id, CASE WHEN most = 0 THEN cause WHEN failing = '' THEN 'OK' ELSE 'PARTIAL:' || failing END AS bucket, cause FROM c""",
     "source_reach": TERMS + TRUTH + """
 SELECT r.query_id, max(t.chunk_id IS NOT NULL) AS any_hit, max(t.chunk_id IS NOT NULL AND rank <= 10) AS top10_hit
 FROM ranked r LEFT JOIN truth t USING (query_id, chunk_id) WHERE rank <= 50 GROUP BY r.query_id""",

@@ -123,7 +123,7 @@ for _n in ("ew", "eb", "en2", "en", "ev", "qw", "qb", "qn2", "qn", "qv", "edot",
     EMBED_TITLE = re.sub(rf"\b{_n}\b", f"s{_n}", EMBED_TITLE)
 
 CHUNK_KEY = "lang || ':' || doc_id || ':0001' AS chunk_id"
-HYBRID = (TERMS + "," + GRAMS).replace("doc_id AS chunk_id", CHUNK_KEY) + "," + EMBED_TEXT + "," + EMBED_TITLE + """
+HYBRID_LISTS = (TERMS + "," + GRAMS).replace("doc_id AS chunk_id", CHUNK_KEY) + "," + EMBED_TEXT + "," + EMBED_TITLE + """
 , dl AS (SELECT query_id, lang || ':' || doc_id || ':0001' AS chunk_id,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lang || ':' || doc_id || ':0001') AS rank FROM ecos QUALIFY rank <= 50)
 , sl AS (SELECT query_id, lang || ':' || doc_id || ':0001' AS chunk_id,
@@ -138,10 +138,33 @@ HYBRID = (TERMS + "," + GRAMS).replace("doc_id AS chunk_id", CHUNK_KEY) + "," +
 , bo AS (SELECT rr.*, CASE WHEN sl.chunk_id IS NULL THEN 1.0 ELSE 1.08 END::DOUBLE AS boost
   FROM rr LEFT JOIN sl ON sl.query_id = rr.query_id AND sl.chunk_id = rr.chunk_id)
 , fi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf * boost DESC, fs, coalesce(d, t, g), chunk_id) AS rank FROM bo)
-SELECT query_id, rank, chunk_id, d AS dense_rank, t AS terms_rank, g AS trigram_rank, round(rrf, 6) AS rrf,
+"""
+HYBRID = HYBRID_LISTS + """SELECT query_id, rank, chunk_id, d AS dense_rank, t AS terms_rank, g AS trigram_rank, round(rrf, 6) AS rrf,
   boost AS section_boost, round(rrf * boost, 6) AS final FROM fi WHERE rank <= 10
 """
 
+_RERANK = RERANK_DOC.format(limit=24).replace("FROM ranked r", "FROM upper r").replace("d.doc_id = r.chunk_id", "d.doc_id = r.doc")
+SEVEN_ARMS = HYBRID_LISTS + """
+, upper AS (SELECT query_id, chunk_id, split_part(chunk_id, ':', 2)::BIGINT AS doc, rank FROM fi WHERE rank <= 30)
+""" + _RERANK + f"""
+, again AS (SELECT u.query_id, u.chunk_id, u.rank AS pre_rank, x.s FROM upper u LEFT JOIN (
+    SELECT query_id, chunk_id, len(list_intersect(list_distinct({words('query')}), {words('document')}))::DOUBLE
+      / len(list_distinct({words('query')})) AS s FROM doc) x USING (query_id, chunk_id))
+, lx AS (SELECT query_id, chunk_id, t, g, 0.0::DOUBLE + coalesce(0.9::DOUBLE / (60 + t), 0) + coalesce(0.7::DOUBLE / (60 + g), 0) AS rrf
+    FROM pv WHERE t IS NOT NULL OR g IS NOT NULL)
+, arms AS (
+  SELECT 'terms' AS arm, query_id, rank, chunk_id FROM ranked WHERE rank <= 10
+  UNION ALL SELECT 'trigram', query_id, rank, chunk_id FROM granked WHERE rank <= 10
+  UNION ALL SELECT 'dense', query_id, rank, chunk_id FROM dl WHERE rank <= 10
+  UNION ALL (SELECT 'lexical', query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC,
+      CASE WHEN t IS NULL THEN 1 ELSE 0 END, coalesce(t, g), chunk_id) AS rank, chunk_id FROM lx QUALIFY rank <= 10)
+  UNION ALL (SELECT 'hybrid', query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, fs, coalesce(d, t, g), chunk_id) AS rank,
+      chunk_id FROM rr QUALIFY rank <= 10)
+  UNION ALL SELECT 'hybrid_boost', query_id, rank, chunk_id FROM fi WHERE rank <= 10
+  UNION ALL (SELECT 'hybrid_rerank', query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, pre_rank) AS rank,
+      chunk_id FROM again QUALIFY rank <= 10))
+"""
+
 SQL = {
     "hybrid_search": HYBRID,
     "bm25_terms_topk": TERMS + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
