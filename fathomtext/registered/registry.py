@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathomtext.registered.inputs import plain_types
 
-FAMILIES = ("retrieval", "corpus", "quality", "packs", "views")
+FAMILIES = ("retrieval", "corpus", "quality", "packs", "views", "versions")
 
 
 def _typed(run):

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fathomtext.operators.changes import scan_diff
 from fathomtext.session import ensure_checkpoint_dir, tune
 
 
@@ -46,6 +47,38 @@ def reconcile_batch(spark: SparkSession, roots: list[str], store: str, name: str
     return run
 
 
+LISTING = "path string, size bigint, mtime_ms bigint, sha256 string, error string"
+MANIFEST = "id string, path string, size bigint, mtime_ms bigint, sha256 string"
+
+
+def track_listings(spark: SparkSession, listings: str, folder: str) -> DataFrame:
+    """States of every path in each listing that arrives, ``batch`` and the columns of ``scan_diff``.
+
+    ``listings`` holds one Parquet file of ``LISTING`` rows for each scan.  What is known of each path after a batch is a
+    table of that batch: a path keeps its document id through edits and renames and loses it when it is gone.
+    Both tables of a batch are replaced as a whole when it runs again, and it reads the table of the batch before.
+    """
+    tune(spark)
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        before = f"{folder}/known/batch={batch_id - 1}"
+        known = spark.read.schema(MANIFEST).parquet(before) if batch_id else spark.createDataFrame([], MANIFEST)
+        here = f"{folder}/states/batch={batch_id}"
+        scan_diff(batch, known).write.mode("overwrite").parquet(here)
+        states = spark.read.parquet(here).where("status <> 'DELETED'")
+        named = states.select(
+            F.coalesce("document_id", F.concat(F.lit(f"{batch_id}:"), F.md5("path"))).alias("id"), "path", "size", "mtime_ms", "sha256"
+        )
+        named.write.mode("overwrite").parquet(f"{folder}/known/batch={batch_id}")
+
+    stream = spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(listings)
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(one).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.option("basePath", f"{folder}/states").parquet(f"{folder}/states")
+
+
 def merge_batch(spark: SparkSession, target: str) -> Callable[[DataFrame, int], None]:
     """Writer of one batch: partial counts, replaced as a whole when retried."""
 
