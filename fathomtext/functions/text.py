@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,9 +23,9 @@ IDENTIFIER = (
 
 # Function words left out of the terms index.
 STOP_WORDS = (
-    "的 了 是 在 和 与 对 为 及 等 或 一个 这 那 有 会 能 可 将 从 把 被 以 其 之 并 "
-    "但 而 因此 由于 通过 对于 以及 可以 同时 并且"
-).split()
+    "的", "了", "是", "在", "和", "与", "对", "为", "及", "等", "或", "一个", "这", "那", "有", "会", "能", "可", "将",
+    "从", "把", "被", "以", "其", "之", "并", "但", "而", "因此", "由于", "通过", "对于", "以及", "可以", "同时", "并且",
+)
 
 CJK = r"一-鿿"
 WORD = r"[\p{L}\p{N}]+"
@@ -105,18 +107,78 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(fold_accents(text), F.lit(WORD))
 
 
-def _cjk_terms(run: Column, domain_terms: Column) -> Column:
-    """Domain terms found in a run of CJK characters, else its bigrams."""
-    bigrams = F.when(F.length(run) <= 2, F.array(run)).otherwise(
+class TermTrie:
+    """A list of domain terms as one pattern that walks their common beginnings once.
+
+    At each place of a text it takes the longest term that starts there.  The pattern travels with the plan, so the
+    list is limited to ``MAX_CHARS`` characters; a longer one is refused rather than cut.
+    """
+
+    MAX_CHARS = 1_000_000
+
+    def __init__(self, terms: Iterable[str]):
+        root: dict = {}
+        size = 0
+        for term in sorted({t.lower() for t in terms if t}):
+            size += len(term)
+            if size > self.MAX_CHARS:
+                raise ValueError(f"the domain terms have more than {self.MAX_CHARS} characters")
+            node = root
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = {}
+        self.pattern = self._pattern(root) if root else ""
+        # Places where no term can start are passed over by their character.
+        self.starts = "".join(re.escape(c) for c in sorted(root))
+
+    def _pattern(self, root: dict) -> str:
+        """Nested groups, children first: a term that goes on is tried before the one that ends here."""
+        done: dict[int, str] = {}
+        stack = [(root, False)]
+        while stack:
+            node, ready = stack.pop()
+            children = [(c, n) for c, n in sorted(node.items()) if c]
+            if not ready:
+                stack.append((node, True))
+                stack.extend((n, False) for _, n in children)
+                continue
+            parts = [re.escape(c) + done.pop(id(n)) for c, n in children]
+            inner = "" if not parts else parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+            done[id(node)] = inner + ("?" if parts and "" in node else "")
+        return done[id(root)]
+
+    def segments(self, run: Column) -> Column:
+        """Terms of a run and what lies between them, in order, with ``is_term``."""
+        one = f"(?=[{self.starts}])(?:{self.pattern})"
+        pieces = F.regexp_extract_all(run, F.lit(f"(?s){one}|(?:(?!{one}).)+"), 0)
+        return F.transform(pieces, lambda p: F.struct(p.alias("piece"), p.rlike(f"(?s)\\A(?:{one})\\z").alias("is_term")))
+
+
+def _bigrams(run: Column) -> Column:
+    return F.when(F.length(run) <= 2, F.array(run)).otherwise(
         F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
     )
+
+
+def _cjk_terms(run: Column, domain_terms: Column | TermTrie) -> Column:
+    """Domain terms found in a run of CJK characters, else its bigrams.
+
+    A trie cuts the run at the longest terms and gives bigrams of the rest; an array gives all terms that occur besides the bigrams.
+    """
+    if isinstance(domain_terms, TermTrie):
+        if not domain_terms.pattern:
+            return _bigrams(run)
+        return F.flatten(
+            F.transform(domain_terms.segments(run), lambda s: F.when(s["is_term"], F.array(s["piece"])).otherwise(_bigrams(s["piece"])))
+        )
+    bigrams = _bigrams(run)
     return bind(
         F.filter(domain_terms, lambda t: F.contains(run, t)),
         lambda hit: F.concat(hit, F.filter(bigrams, lambda g: ~F.array_contains(hit, g))),
     )
 
 
-def terms(text: Column, domain_terms: Column | None = None, fold: bool = True) -> Column:
+def terms(text: Column, domain_terms: Column | TermTrie | None = None, fold: bool = True) -> Column:
     """Terms of a text: words, and for CJK runs domain terms or bigrams.
 
     ``fold`` drops accents as the terms index does; substring search keeps them.
@@ -133,7 +195,7 @@ def terms(text: Column, domain_terms: Column | None = None, fold: bool = True) -
     return F.filter(split, lambda t: ~t.isin(*STOP_WORDS))
 
 
-def lexical_text(text: Column, domain_terms: Column | None = None) -> Column:
+def lexical_text(text: Column, domain_terms: Column | TermTrie | None = None) -> Column:
     """Identifiers once each and whole, then the terms of the remaining text."""
     return bind(
         text,

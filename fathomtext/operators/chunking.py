@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomtext.functions.exprs import append, bind, clip, empty_array, lstrip_blanks, null_as, strip
 from fathomtext.functions.stats import nearest_rank, top_rows
-from fathomtext.functions.text import lexical_text, normal_form, plain_text
+from fathomtext.functions.text import TermTrie, lexical_text, normal_form, plain_text
 from fathomtext.operators.structure import BLOCK, evidence_levels
 
 CHUNKER_VERSION = "1"
@@ -264,7 +264,7 @@ def chunk_table(
     parsed: DataFrame,
     id_col: str = "document_id",
     limits: ChunkLimits = ChunkLimits(),
-    domain_terms: Column | None = None,
+    domain_terms: Column | TermTrie | None = None,
 ) -> DataFrame:
     """Chunks of parsed documents, one row each."""
     pieces = F.flatten(

@@ -18,6 +18,7 @@ from fathomtext.functions.skew import repeated_for_salts, salted_terms
 from fathomtext.functions.stats import top_rows
 from fathomtext.functions.text import (
     IDENTIFIER,
+    TermTrie,
     identifiers,
     terms,
     with_normal_text,
@@ -224,9 +225,13 @@ def domain_terms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def domain_term_array(listed: DataFrame) -> Column:
-    """The non-ASCII terms of a list as one array, a scalar subquery."""
-    return listed.where(~F.col("is_ascii")).agg(F.sort_array(F.collect_set(F.lower("term")))).scalar()
+def domain_trie(listed: DataFrame) -> TermTrie:
+    """The non-ASCII terms of a list as a trie; a list beyond its limit is refused before it reaches the driver."""
+    terms = listed.where(~F.col("is_ascii"))
+    size = terms.agg(F.sum(F.length("term")).alias("n")).first()["n"] or 0
+    if size > TermTrie.MAX_CHARS:
+        raise ValueError(f"the domain terms have {size} characters, {TermTrie.MAX_CHARS} are the most")
+    return TermTrie(r["term"] for r in terms.select("term").collect())
 
 
 # --- queries ------------------------------------------------------------------------
@@ -239,7 +244,7 @@ def _query_parts(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def query_phrases(
-    queries: DataFrame, id_col: str = "query_id", text_col: str = "query", known: Column | None = None
+    queries: DataFrame, id_col: str = "query_id", text_col: str = "query", known: Column | TermTrie | None = None
 ) -> DataFrame:
     """Phrases of each query: ``query_id, phrase, tokens, weight``.
 
@@ -258,7 +263,7 @@ def query_phrases(
 
 
 def query_substrings(
-    queries: DataFrame, id_col: str = "query_id", text_col: str = "query", known: Column | None = None
+    queries: DataFrame, id_col: str = "query_id", text_col: str = "query", known: Column | TermTrie | None = None
 ) -> DataFrame:
     """Substrings of three characters or more each query asks for.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fathomtext.functions.text import TermTrie
 from fathomtext.operators import admission, catalog, changes, chunking, dense, lexical, structure
 from fathomtext.operators.admission import file_name
 from fathomtext.sources import files, snapshots
@@ -19,7 +20,7 @@ def build_rows(
     embed: Callable[[Column], Column] = dense.hashed_embedding,
     now: Column | None = None,
     stage: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
-    domain_terms: Column | None = None,
+    domain_terms: Column | TermTrie | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of the parsed ``texts(document_id, path, size, mtime_ms, sha256)``.
 
@@ -87,7 +88,7 @@ JOBS = "id string, kind string, status string, created_at string, finished_at st
 def reconcile_files(
     spark: SparkSession, roots: list[str], store: str, version: str,
     embed: Callable[[Column], Column] = dense.hashed_embedding, rebuild: bool = False,
-    admit: bool = True, domain_terms: Column | None = None, only: list[str] | None = None,
+    admit: bool = True, domain_terms: Column | TermTrie | None = None, only: list[str] | None = None,
     buckets: int = snapshots.BUCKETS,
 ) -> DataFrame:
     """Bring the catalog in line with the files and publish a new snapshot.
@@ -215,7 +216,7 @@ def jobs(spark: SparkSession, store: str, n: int = 20) -> DataFrame:
     return catalog.latest_jobs(snapshots.read_log(spark, store, "jobs", JOBS), n)
 
 
-def open_index(spark: SparkSession, store: str, domain_terms: Column | None = None):
+def open_index(spark: SparkSession, store: str, domain_terms: Column | TermTrie | None = None):
     """A published snapshot as a searchable corpus; the domain terms are those it was built with."""
     from fathomtext.plans.search import CorpusIndex
 

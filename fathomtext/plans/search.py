@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomtext.functions.stats import top_rows
-from fathomtext.functions.text import rerank_text, snippet, words
+from fathomtext.functions.text import TermTrie, rerank_text, snippet, words
 from fathomtext.operators import dense, fusion, lexical
 from fathomtext.operators.fusion import SearchFilters
 from fathomtext.sources.staging import staged
@@ -26,7 +26,7 @@ class CorpusIndex:
     grams: lexical.GramIndex
     vectors: DataFrame
     section_vectors: DataFrame | None = None
-    domain_terms: Column | None = None
+    domain_terms: Column | TermTrie | None = None
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fathomtext.functions.text import highlight, identifiers, rerank_text, snippet
+from fathomtext.functions.text import TermTrie, highlight, identifiers, rerank_text, snippet, terms
 from fathomtext.functions.stats import top_rows
 from fathomtext.operators import dense, fusion, lexical
 from fathomtext.operators.fusion import SearchFilters
@@ -36,6 +36,22 @@ def identifier_extract(spark, sf_dir) -> DataFrame:
     ).select("kind", "id", (F.col("pos") + 1).alias("pos"), "identifier")
 
 
+#: A rule that turns the letters of the documents into characters of one long run, and terms made by it.
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥乾坎艮震"
+DOMAIN_TERMS = ["the", "th", "tion", "ion", "ent", "and", "ande", "ing", "eau", "ein", "eit", "os", "que", "quement", "is", "istion"]
+
+
+def domain_terms(spark, sf_dir) -> DataFrame:
+    """Terms of every document written in other signs, by the longest listed terms."""
+    trie = TermTrie(t.translate(str.maketrans(LETTERS, SIGNS)) for t in DOMAIN_TERMS)
+    signs = F.translate(F.translate(F.lower("text"), LETTERS, SIGNS), " ", "")
+    d = inputs.table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(signs, F.lit(f"[{SIGNS}]+"), 0).alias("runs"))
+    each = d.select("doc_id", F.posexplode("runs").alias("run", "t"))
+    return each.select("doc_id", (F.col("run") + 1).alias("run"), terms(F.col("t"), trie).alias("ts")).select(
+        "doc_id", "run", F.size("ts").alias("n"), F.md5(F.array_join("ts", " ")).alias("digest")
+    )
+
+
 def lexical_fusion(spark, sf_dir) -> DataFrame:
     q = inputs.queries(spark, sf_dir)
     fused = lexical.search_lexical(lexical.query_phrases(q), lexical.query_substrings(q), *inputs.lexical_index(spark, sf_dir))
@@ -199,7 +215,7 @@ def embedding_search(spark, sf_dir) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_terms_topk, substring_truth, trigram_bm25_topk, identifier_extract, lexical_fusion, cosine_topk,
+        bm25_terms_topk, domain_terms, substring_truth, trigram_bm25_topk, identifier_extract, lexical_fusion, cosine_topk,
         cosine_topk_filtered, rrf_fusion, prefix_boost, filtered_fused_topk, result_snippets, rerank_reorder,
         rerank_inputs, highlighted_titles, point_ids, hybrid_search, embedding_search,
     )

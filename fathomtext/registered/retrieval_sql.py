@@ -165,7 +165,19 @@ SEVEN_ARMS = HYBRID_LISTS + """
       chunk_id FROM again QUALIFY rank <= 10))
 """
 
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥乾坎艮震"
+#: Longest first, so that the first that fits is the longest.
+LISTED = ["quement", "istion", "tion", "ande", "the", "ion", "ent", "and", "ing", "eau", "ein", "eit", "que", "th", "os", "is"]
+_SIGNS = [t.translate(str.maketrans(LETTERS, SIGNS)) for t in LISTED]
+
 SQL = {
+    "domain_terms": f"""
+WITH r AS (SELECT doc_id, regexp_extract_all(replace(translate(lower(text), '{LETTERS}', '{SIGNS}'), ' ', ''), '[{SIGNS}]+') AS runs FROM documents)
+, u AS (SELECT doc_id, unnest(runs) AS t, generate_subscripts(runs, 1) AS run FROM r)
+, p AS (SELECT doc_id, run, list_filter(string_split(regexp_replace(t, '({'|'.join(_SIGNS)})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ps FROM u)
+, s AS (SELECT doc_id, run, flatten(list_transform(ps, lambda x: CASE WHEN x IN ({', '.join(f"'{t}'" for t in _SIGNS)}) OR length(x) <= 2 THEN [x]
+    ELSE [substr(x, i, 2) for i in range(1, length(x))] END)) AS ts FROM p)
+SELECT doc_id, run, len(ts) AS n, md5(array_to_string(ts, ' ')) AS digest FROM s""",
     "hybrid_search": HYBRID,
     "bm25_terms_topk": TERMS + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
     "substring_truth": "SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM documents d, benchmark b WHERE contains(d.text, b.text)",

@@ -7,11 +7,12 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathomtext.functions.stats import nearest_rank, numbered
 from fathomtext.functions.skew import hot_keys, lookup_join
-from fathomtext.functions.text import highlight, identifiers, lexical_text, normal_form, snippet
+from fathomtext.functions.text import TermTrie, highlight, identifiers, lexical_text, normal_form, snippet, terms
 from fathomtext.operators import dense, fusion, lexical
 from fathomtext.sources.staging import staged
 
@@ -230,6 +231,38 @@ def test_normal_form_and_domain_terms_on_both_sides(spark):
     assert {(r.query_id, r.chunk_id) for r in hits.collect()} == {(q, "a") for q in (1, 2, 3, 4)}
 
 
+def test_trie_takes_the_longest_terms(spark):
+    listed = ["多层基板", "多层", "光学引擎", "引擎", "热管理方案", "a.b", "新方向"]
+    trie = TermTrie(listed)
+    text = "多层基板与光学引擎成为新方向，热管理方案决定成败，多层引擎"
+    df = spark.createDataFrame([(text,), ("",), ("无关",)], "t string")
+    got = [r.x for r in df.select(lexical_text(F.col("t"), trie).alias("x")).collect()]
+    assert {"多层基板", "光学引擎", "热管理方案", "新方向", "多层", "引擎"} <= set(got[0].split(" ")) and "层基" not in got[0].split(" ")
+    rnd = random.Random(1)
+    words = {"".join(rnd.choice("甲乙丙") for _ in range(rnd.randint(2, 5))) for _ in range(12)}
+
+    def longest(run):
+        out, gap, i = [], "", 0
+        while i <= len(run):
+            best = max((w for w in words if run.startswith(w, i)), key=len, default=None) if i < len(run) else None
+            if best or i == len(run):
+                out += [gap] if 0 < len(gap) <= 2 else [gap[j : j + 2] for j in range(len(gap) - 1)]
+                gap = ""
+            if i == len(run):
+                return out
+            out += [best] if best else []
+            gap += "" if best else run[i]
+            i += len(best) if best else 1
+
+    runs = ["".join(rnd.choice("甲乙丙丁") for _ in range(rnd.randint(1, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(r,) for r in runs], "t string")
+    assert [r.x for r in df.select(terms(F.col("t"), TermTrie(words)).alias("x")).collect()] == [longest(r) for r in runs]
+    df = spark.createDataFrame([("多层基板", False), ("HBM", True), ("光学引擎", False)], "term string, is_ascii boolean")
+    assert lexical.domain_trie(df).pattern == TermTrie(["光学引擎", "多层基板"]).pattern
+    with pytest.raises(ValueError):
+        TermTrie(["字" * (TermTrie.MAX_CHARS + 1)])
+
+
 def test_cosine_leaves_out_null_and_ragged_vectors(spark):
     v = spark.createDataFrame(
         [("a", [1.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [0.0, 1.0]), ("e", [1.0, None]), ("f", [1.0, 2.0, 3.0])],
