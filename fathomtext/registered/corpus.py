@@ -287,6 +287,49 @@ def chunk_samples(spark, sf_dir) -> DataFrame:
     return chunking.chunk_samples(d).select("content_type", "document_id", "digest", "sample_rank")
 
 
+def _numbered_documents(spark, sf_dir) -> DataFrame:
+    """Documents as reports by rule: each six lines make a chapter with numbered, repeated and plain headings and blocks.
+
+    The words are digests of the lines, so that no line of a document can pass for a mark.
+    """
+    d = inputs.table(spark, sf_dir, "documents")
+    h = lambda l: F.substring(F.md5(l), 1, 8)
+    c = lambda k: (F.floor(k / 6) + 1).cast("string")
+
+    def group(l, k):
+        chapter = F.array(F.concat(F.lit("# 第"), c(k), F.lit("章 "), h(l)), F.lit(""))
+        code = F.array(F.concat(F.lit("## "), c(k), F.lit(".1 "), h(l)), F.lit("```python"), h(l), F.lit("```"))
+        rows = F.array(F.concat(F.lit("## "), c(k), F.lit(".1 "), h(l)), F.concat(F.lit("| "), h(l), F.lit(" |")), F.lit("| --- |"), F.lit(""))
+        formula = F.array(F.concat(F.lit("### (2) "), h(l)), F.lit("$$"), h(l), F.lit("$$"))
+        diagram = F.array(F.concat(F.lit("## "), h(l)), F.lit("```"), F.lit("graph TD"), F.lit("```"))
+        prose = F.array(F.concat(h(l), F.lit(" [L3]")), F.lit(""), F.lit("<br/>"), F.lit(""))
+        return (
+            F.when(k % 6 == 0, chapter).when(k % 6 == 1, code).when(k % 6 == 2, rows).when(k % 6 == 3, formula)
+            .when(k % 6 == 4, diagram).otherwise(prose)
+        )
+
+    lines = F.concat(
+        F.array(F.concat(F.lit("# T"), F.col("doc_id").cast("string")), F.lit("")),
+        F.flatten(F.transform(F.split("text", "\n"), group)), F.array(F.lit("end")),
+    )
+    return d.select(F.col("doc_id").alias("document_id"), F.array_join(lines, "\n").alias("text"))
+
+
+def numbered_sections(spark, sf_dir) -> DataFrame:
+    parsed = structure.parse_documents(_numbered_documents(spark, sf_dir))
+    return structure.sections_table(parsed).select(
+        "document_id", "section_id", "parent_section_id", "level", "heading", "section_type", "start_line", "end_line",
+        F.array_join(F.transform("evidence_levels", lambda x: x.cast("string")), ",").alias("evidence"),
+    )
+
+
+def marked_blocks(spark, sf_dir) -> DataFrame:
+    parsed = structure.parse_documents(_numbered_documents(spark, sf_dir))
+    return structure.blocks_table(parsed).select(
+        "document_id", "section_id", "pos", "block_type", "start_line", "end_line", "lang", F.md5("text").alias("digest")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -295,6 +338,6 @@ QUERIES = {
         line_explode, heading_tree, page_sections, page_blocks, evidence_levels, prose_packing, plain_texts,
         chunk_stats_by_language, chunk_stats_overall, chunk_gates, real_chunk_gates, index_counts, index_totals,
         orphan_points, documents_to_embed, catalog_generation, document_detail, catalog_upsert, children_replaced,
-        facet_values, chunk_samples,
+        facet_values, chunk_samples, numbered_sections, marked_blocks,
     )
 }

@@ -121,7 +121,37 @@ UUID5 = """(SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d
   || translate(substr(d, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(d, 18, 3) || '-' || substr(d, 21, 12)
   FROM (SELECT sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('chunk:' || doc_id || ':' || n)) AS d))"""
 
+NUMBERED = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+, u AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM l)
+, g AS (SELECT doc_id, n, k, k % 6 AS g, k // 6 + 1 AS c, substr(md5(line), 1, 8) AS h,
+    3 + 22 * (k // 6) + [0, 2, 6, 10, 14, 18][k % 6 + 1] AS sl FROM u)
+, s AS (SELECT *, 'ch' || c AS chapter,
+    CASE g WHEN 0 THEN 'ch' || c WHEN 1 THEN 'ch' || c || '-1' WHEN 2 THEN 'ch' || c || '-1:x1' WHEN 3 THEN 'ch' || c || '-1:x1:o2'
+      ELSE 'ch' || c || ':o' || (5 * (c - 1) + 6) END AS sid,
+    4 + 22 * (n // 6) + [0, 2, 6, 10, 14, 18][n % 6 + 1] - 1 AS fin FROM g)
+"""
+
 SQL = {
+    "numbered_sections": NUMBERED + """
+, hs AS (SELECT DISTINCT doc_id, 'top1' AS sid, NULL AS parent, 1 AS level, 'T' || doc_id AS heading, 1 AS sl, fin, '' AS ev FROM s
+  UNION ALL SELECT doc_id, sid,
+    CASE g WHEN 0 THEN NULL WHEN 3 THEN doc_id || ':' || chapter || '-1:x1' ELSE doc_id || ':' || chapter END,
+    CASE g WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END,
+    CASE g WHEN 0 THEN '第' || c || '章 ' || h WHEN 3 THEN '(2) ' || h WHEN 4 THEN h ELSE c || '.1 ' || h END, sl, fin,
+    CASE WHEN g = 4 AND k + 1 < n THEN '3' ELSE '' END FROM s WHERE g < 5)
+SELECT doc_id AS document_id, sid AS section_id, parent AS parent_section_id, level::BIGINT AS level, heading, 'body' AS section_type,
+  sl::BIGINT AS start_line, coalesce(lead(sl) OVER (PARTITION BY doc_id ORDER BY sl) - 1, fin)::BIGINT AS end_line, ev AS evidence FROM hs""",
+    "marked_blocks": NUMBERED + """
+, b AS (
+  SELECT doc_id, sid, 0 AS pos, 'code' AS block_type, sl + 1 AS a, sl + 3 AS z, 'python' AS lang, '```python' || chr(10) || h || chr(10) || '```' AS t FROM s WHERE g = 1
+  UNION ALL SELECT doc_id, sid, 0, 'table', sl + 1, sl + 2, NULL, '| ' || h || ' |' || chr(10) || '| --- |' FROM s WHERE g = 2
+  UNION ALL SELECT doc_id, sid, 0, 'formula', sl + 1, sl + 3, NULL, '$$' || chr(10) || h || chr(10) || '$$' FROM s WHERE g = 3
+  UNION ALL SELECT doc_id, sid, 0, 'mermaid', sl + 1, sl + 3, NULL, '```' || chr(10) || 'graph TD' || chr(10) || '```' FROM s WHERE g = 4
+  UNION ALL SELECT doc_id, sid, 1, 'prose', sl, sl, NULL, h || ' [L3]' FROM s WHERE g = 5
+  UNION ALL SELECT doc_id, sid, CASE g WHEN 0 THEN 0 WHEN 5 THEN 2 ELSE 1 END, 'prose', fin, fin, NULL, 'end' FROM s WHERE k = n - 1)
+SELECT doc_id AS document_id, sid AS section_id, pos::BIGINT AS pos, block_type, a::BIGINT AS start_line, z::BIGINT AS end_line, lang,
+  md5(t) AS digest FROM b""",
     "exact_duplicates": ARCHIVE + """
 , g AS (SELECT sha256, count(*) AS n FROM arch GROUP BY sha256 HAVING count(*) > 1)
 SELECT sha256, n, path FROM arch JOIN g USING (sha256)""",
