@@ -330,6 +330,15 @@ def marked_blocks(spark, sf_dir) -> DataFrame:
     )
 
 
+def marked_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of the numbered reports: special blocks by themselves, prose of a section together, context before each."""
+    chunks = chunking.chunk_table(structure.parse_documents(_numbered_documents(spark, sf_dir)))
+    return chunks.select(
+        "id", "document_id", "ordinal", "content_type", "start_line", "end_line", "evidence_level", "oversized",
+        F.md5("raw_markdown").alias("raw"), F.md5("embedding_text").alias("embedded"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -338,6 +347,6 @@ QUERIES = {
         line_explode, heading_tree, page_sections, page_blocks, evidence_levels, prose_packing, plain_texts,
         chunk_stats_by_language, chunk_stats_overall, chunk_gates, real_chunk_gates, index_counts, index_totals,
         orphan_points, documents_to_embed, catalog_generation, document_detail, catalog_upsert, children_replaced,
-        facet_values, chunk_samples, numbered_sections, marked_blocks,
+        facet_values, chunk_samples, numbered_sections, marked_blocks, marked_chunks,
     )
 }

@@ -133,6 +133,29 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
 """
 
 SQL = {
+    "marked_chunks": NUMBERED + """
+, p AS (SELECT s.*, 'T' || s.doc_id || ' > 第' || s.c || '章 ' || z.h || CASE s.g WHEN 0 THEN '' WHEN 3 THEN ' > ' || s.c || '.1 ' || y.h || ' > (2) ' || s.h
+    WHEN 4 THEN ' > ' || s.h WHEN 5 THEN ' > ' || x.h ELSE ' > ' || s.c || '.1 ' || s.h END AS path
+  FROM s JOIN s z ON z.doc_id = s.doc_id AND z.c = s.c AND z.g = 0
+  LEFT JOIN s y ON y.doc_id = s.doc_id AND y.c = s.c AND y.g = 2 LEFT JOIN s x ON x.doc_id = s.doc_id AND x.c = s.c AND x.g = 4)
+, b AS (
+  SELECT doc_id, sid, path, 'code' AS kind, sl + 1 AS a, sl + 3 AS z, NULL::BIGINT AS level, '```python' || chr(10) || h || chr(10) || '```' AS raw,
+    '``python' || chr(10) || h || chr(10) || '``' AS plain FROM p WHERE g = 1
+  UNION ALL SELECT doc_id, sid, path, 'table', sl + 1, sl + 2, NULL, '| ' || h || ' |' || chr(10) || '| --- |', h FROM p WHERE g = 2
+  UNION ALL SELECT doc_id, sid, path, 'formula', sl + 1, CASE WHEN k = n - 1 THEN fin ELSE sl + 3 END, NULL,
+    '$$' || chr(10) || h || chr(10) || '$$' || CASE WHEN k = n - 1 THEN chr(10) || chr(10) || 'end' ELSE '' END,
+    '$$' || chr(10) || h || chr(10) || '$$' || CASE WHEN k = n - 1 THEN chr(10) || chr(10) || 'end' ELSE '' END FROM p WHERE g = 3
+  UNION ALL SELECT doc_id, sid, path, 'causal_chain', sl + 1, sl + 3, CASE WHEN k + 1 < n THEN 3 END, '```' || chr(10) || 'graph TD' || chr(10) || '```',
+    '``' || chr(10) || 'graph TD' || chr(10) || '``' FROM p WHERE g = 4
+  UNION ALL SELECT doc_id, sid, path, 'prose', sl, CASE WHEN k = n - 1 THEN fin ELSE sl END, 3,
+    h || ' [L3]' || CASE WHEN k = n - 1 THEN chr(10) || chr(10) || 'end' ELSE '' END,
+    h || ' [L3]' || CASE WHEN k = n - 1 THEN chr(10) || chr(10) || 'end' ELSE '' END FROM p WHERE g = 5
+  UNION ALL SELECT doc_id, sid, path, 'prose', fin, fin, NULL, 'end', 'end' FROM p WHERE k = n - 1 AND g NOT IN (3, 5))
+, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS ordinal FROM b)
+SELECT doc_id || ':' || sid || ':' || lpad(ordinal::VARCHAR, greatest(4, length(ordinal::VARCHAR))::INT, '0') AS id, doc_id::VARCHAR AS document_id, ordinal,
+  kind AS content_type, a::BIGINT AS start_line, z::BIGINT AS end_line, level AS evidence_level, false AS oversized, md5(raw) AS raw,
+  md5('Document: T' || doc_id || chr(10) || 'Domain: unknown' || chr(10) || 'Section: ' || path || chr(10) || 'Content Type: ' || kind || chr(10)
+    || 'Evidence: ' || coalesce('L' || level, 'unmarked') || chr(10) || chr(10) || plain) AS embedded FROM o""",
     "numbered_sections": NUMBERED + """
 , hs AS (SELECT DISTINCT doc_id, 'top1' AS sid, NULL AS parent, 1 AS level, 'T' || doc_id AS heading, 1 AS sl, fin, '' AS ev FROM s
   UNION ALL SELECT doc_id, sid,
