@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from fathomtext.functions.exprs import bind, strip
@@ -102,20 +103,53 @@ def term_index(
             h, F.array(F.lit(None).cast("string")), words(F.col(text_col))
         ),
     )
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), *extra, tokens.alias("_tokens"))
-    occurrences = rows.select(
-        "chunk_id", *extra, F.array_size(F.array_compact("_tokens")).cast("int").alias("dl"), F.posexplode("_tokens").alias("pos", "term")
-    ).where(F.col("term").isNotNull())
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), *extra, tokens.alias("tokens"))
+    postings = _term_postings(rows, extra)
     if only_terms is not None:
-        occurrences = occurrences.join(only_terms, "term", "left_semi")
-    postings = occurrences.groupBy("term", "chunk_id", *extra, "dl").agg(
-        F.array_sort(F.collect_list("pos")).alias("positions")
-    )
+        postings = postings.join(only_terms, "term", "left_semi")
     dl = word_count(F.coalesce(F.col(heading_col), F.lit(""))) + word_count(F.col(text_col))
     lengths = chunks.select(F.col(id_col).alias("chunk_id"), *extra, dl.alias("dl"))
     return TermIndex(postings, lengths)
 
 
+def _term_postings(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """Positions of every term by chunk from ``rows(chunk_id, *extra, tokens)``, null tokens being gaps.
+
+    A chunk lies in one row, so its postings are sorted where it lies and nothing is shuffled.
+    """
+    keys = ["chunk_id", *extra]
+    schema = T.StructType(
+        [T.StructField("term", T.StringType()), *(rows.schema[k] for k in keys), T.StructField("dl", T.IntegerType()),
+         T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            found = lists.flatten().dictionary_encode()
+            code = pc.fill_null(found.indices, -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            real = np.flatnonzero(code >= 0)
+            if not len(real):
+                continue
+            dl = np.bincount(row[real], minlength=len(size))
+            # Rows and places rise already, a stable sort keeps them so.
+            order = real[np.argsort(code[real] * len(size) + row[real], kind="stable")]
+            code, row, place = code[order], row[order], place[order]
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [found.dictionary.take(pa.array(code[first])), *(batch.column(c).take(at) for c in range(len(keys))),
+                 pa.array(dl[row[first]].astype(np.int32)), held],
+                names=schema.names,
+            )
+
+    return rows.select(*keys, "tokens").mapInArrow(run, schema)
+
+
 def term_stats(postings: DataFrame, *by: str) -> DataFrame:
     """What bounds a term: chunks that hold it, its most occurrences in one, the shortest of them."""
     return postings.groupBy("term", *by).agg(
