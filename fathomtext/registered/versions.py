@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathomtext.operators import catalog, changes
 from fathomtext.plans.indexing import DELETIONS, SCANS
 from fathomtext.registered import inputs
-from fathomtext.sources import snapshots
+from fathomtext.sources import files, snapshots
 from fathomtext.streaming.ingest import track_listings, working_folder
 
 
@@ -104,7 +104,18 @@ def listing_states(spark, sf_dir) -> DataFrame:
     return track_listings(spark, f"{folder}/listings", folder).select("batch", "path", "status", "renamed_from")
 
 
+def task_files(spark, sf_dir) -> DataFrame:
+    """Answers of every dialogue in a folder of its own; a second run repeats each third dialogue with other answers."""
+    folder = f"{working_folder(spark)}/answers"
+    c = inputs.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    answers = c.select("conv_id", "turn", F.md5("text").alias("answer"))
+    files.write_json(answers.repartition("conv_id"), folder, ["conv_id"])
+    again = answers.where(F.col("conv_id") % 3 == 0).where("turn <= 3").withColumn("answer", F.concat(F.lit("again "), "answer"))
+    files.write_json(again.repartition("conv_id"), folder, ["conv_id"])
+    return files.read_json_folders(spark, folder, "conv_id bigint, turn bigint, answer string").select("conv_id", "turn", "answer")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (published_documents, published_lines, earlier_version, deletion_log, scan_log, listing_states)
+    for f in (published_documents, published_lines, earlier_version, deletion_log, scan_log, listing_states, task_files)
 }

@@ -23,6 +23,10 @@ SELECT 'D' || doc_id AS document_id, n, md5(line) AS digest, written_by FROM u""
 SELECT 'files/D' || doc_id AS source_path, 'D' || doc_id AS document_id, md5(text) AS last_sha256, 'v2' AS deleted_at, 'v2' AS version
 FROM j WHERE q = 0""",
     "scan_log": f"SELECT status, n, '2026-02-01' AS at, 'v1' AS version FROM ({CORPUS['scan_counts']}) c",
+    "task_files": """
+WITH a AS (SELECT conv_id, turn, md5(text) AS answer FROM conversations WHERE role = 'assistant')
+, again AS (SELECT conv_id, turn, 'again ' || answer AS answer FROM a WHERE conv_id % 3 = 0 AND turn <= 3)
+SELECT conv_id, turn, answer FROM a WHERE conv_id NOT IN (SELECT conv_id FROM again) UNION ALL SELECT * FROM again""",
     "listing_states": """
 WITH s AS (SELECT n, CASE WHEN doc_id % 6 = 1 AND n > 0 THEN 'moved' ELSE source END || '/D' || doc_id AS path,
     doc_id * 1000 + (doc_id % 4 = n)::INT AS mtime, md5(text || CASE WHEN doc_id % 4 = n THEN '!' ELSE '' END) AS sha

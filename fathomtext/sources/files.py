@@ -94,5 +94,17 @@ def read_json_documents(spark: SparkSession, path: str, schema: str | T.StructTy
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Rows as JSON Lines; with ``partition_by`` a folder for each of its values.
+
+    A later write replaces the folders it has rows for and leaves all others, so a run that repeats some tasks
+    replaces only theirs.
+    """
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.json(path)
+
+
+def read_json_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_json` has written by folder, the folder columns being part of the ``schema``."""
+    return spark.read.schema(schema).option("basePath", path).json(path)

@@ -187,6 +187,17 @@ def test_json_sources(spark):
     assert got["a.json"].k == "v" and got["b.json"] is None
 
 
+def test_a_second_write_replaces_only_its_own_folders(spark):
+    folder = tempfile.mkdtemp(prefix="spark-") + "/out"
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "task string, n int")
+    files.write_json(df, folder, ["task"])
+    kept = {f: os.stat(f"{folder}/task=b/{f}").st_mtime_ns for f in os.listdir(f"{folder}/task=b")}
+    files.write_json(spark.createDataFrame([("a", 9), ("c", 4)], "task string, n int"), folder, ["task"])
+    got = {(r.task, r.n) for r in files.read_json_folders(spark, folder, "task string, n int").collect()}
+    assert got == {("a", 9), ("b", 3), ("c", 4)}
+    assert kept == {f: os.stat(f"{folder}/task=b/{f}").st_mtime_ns for f in os.listdir(f"{folder}/task=b")}
+
+
 def test_entry_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 70
