@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomtext.functions.exprs import null_as
 from fathomtext.operators.dense import point_id
+from fathomtext.operators import chunking, structure
+from fathomtext.sources.staging import staged
 
 
 def _per_document(df: DataFrame, name: str) -> DataFrame:
@@ -145,3 +147,41 @@ def corpus_report(
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def sampled_recheck(
+    texts: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, n: int = 50, seed: int = 0
+) -> DataFrame:
+    """A seeded sample of the catalog against a fresh parse of its texts: one row a document with what differs.
+
+    ``texts(document_id, text)``, ``documents(id, title)`` and the stored section and chunk tables.  Only the sampled
+    texts are parsed.  ``*_missing`` counts rows that the store lacks, ``*_extra`` rows that only the store has.
+    """
+    draw = F.md5(F.concat_ws(":", F.col("document_id").cast("string"), F.lit(str(seed))))
+    sample = texts.orderBy(draw, "document_id").limit(n)
+    parsed = staged(structure.parse_documents(sample), "recheck")
+    ids = parsed.select(F.col("document_id").cast("string").alias("document_id"))
+
+    def differences(name: str, old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+        key = F.col("document_id").cast("string").alias("document_id")
+        was = old.select(key, *columns).join(ids, "document_id", "left_semi")
+        now = new.select(key, *columns)
+        count = lambda rows, side: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"{name}_{side}"))
+        missing, extra = count(now.exceptAll(was), "missing"), count(was.exceptAll(now), "extra")
+        return missing.join(extra, "document_id", "full_outer")
+
+    of_sections = differences(
+        "sections", sections, structure.sections_table(parsed), ["section_id", "heading", "level", "start_line", "end_line"]
+    )
+    of_chunks = differences("chunks", chunks, chunking.chunk_table(parsed), ["id", "content_type", "content_hash", "start_line", "end_line"])
+    fresh = parsed.select(
+        F.col("document_id").cast("string").alias("document_id"),
+        F.coalesce(F.element_at("metadata", F.lit("title")), F.col("title")).alias("fresh_title"),
+    )
+    stored = documents.select(F.col("id").cast("string").alias("document_id"), F.col("title").alias("stored_title"))
+    counts = [f"{name}_{side}" for name in ("sections", "chunks") for side in ("missing", "extra")]
+    out = fresh.join(stored, "document_id", "left").join(of_sections, "document_id", "left").join(of_chunks, "document_id", "left")
+    return out.select(
+        "document_id", F.col("stored_title").eqNullSafe(F.col("fresh_title")).alias("title_ok"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+    ).withColumn("passed", F.col("title_ok") & F.forall(F.array(*counts), lambda x: x == 0))

@@ -339,6 +339,19 @@ def marked_chunks(spark, sf_dir) -> DataFrame:
     )
 
 
+def sampled_recheck(spark, sf_dir) -> DataFrame:
+    """Fifty numbered reports against a store with faults by rule: titles, lost sections, altered chunks."""
+    texts = _numbered_documents(spark, sf_dir)
+    parsed = structure.parse_documents(texts)
+    fault = lambda n: F.col("document_id").cast("long") % n == 0
+    documents = parsed.select("document_id", F.col("document_id").alias("id"), F.when(fault(5), "x").otherwise(F.col("title")).alias("title"))
+    sections = structure.sections_table(parsed).where(~(fault(7) & (F.col("ordinal") == 3)))
+    chunks = chunking.chunk_table(parsed).withColumn(
+        "content_hash", F.when(fault(11) & (F.col("ordinal") == 1), "x").otherwise(F.col("content_hash"))
+    )
+    return reconcile.sampled_recheck(texts, documents, sections, chunks, 50, 7)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -348,5 +361,6 @@ QUERIES = {
         chunk_stats_by_language, chunk_stats_overall, chunk_gates, real_chunk_gates, index_counts, index_totals,
         orphan_points, documents_to_embed, catalog_generation, document_detail, catalog_upsert, children_replaced,
         facet_values, chunk_samples, numbered_sections, marked_blocks, marked_chunks,
+        sampled_recheck,
     )
 }

@@ -133,6 +133,11 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
 """
 
 SQL = {
+    "sampled_recheck": """
+WITH s AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 50)
+, f AS (SELECT doc_id, doc_id % 5 <> 0 AS title_ok, (doc_id % 7 = 0 AND n >= 3)::INT::BIGINT AS lost, (doc_id % 11 = 0)::INT::BIGINT AS altered FROM s)
+SELECT doc_id::VARCHAR AS document_id, title_ok, lost AS sections_missing, 0::BIGINT AS sections_extra, altered AS chunks_missing,
+  altered AS chunks_extra, title_ok AND lost = 0 AND altered = 0 AS passed FROM f""",
     "marked_chunks": NUMBERED + """
 , p AS (SELECT s.*, 'T' || s.doc_id || ' > 第' || s.c || '章 ' || z.h || CASE s.g WHEN 0 THEN '' WHEN 3 THEN ' > ' || s.c || '.1 ' || y.h || ' > (2) ' || s.h
     WHEN 4 THEN ' > ' || s.h WHEN 5 THEN ' > ' || x.h ELSE ' > ' || s.c || '.1 ' || s.h END AS path
