@@ -44,10 +44,10 @@ def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches, k: int):
-    """Signatures of the documents of Arrow batches (doc_id, text)."""
+    """Signatures of the documents of Arrow batches (doc_id, text, own)."""
     hashed = WordHashes()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts, own = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         for start, stop in slices(texts, 1_000_000):
             sets = []
             for text in texts[start:stop]:
@@ -71,12 +71,13 @@ def _signed(batches, k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(start, stop - start).cast(pa.int64()),
+                    own.slice(start, stop - start),
                     pa.array(n),
                     pa.array(one),
                     pa.array(two),
                     pa.array(signature, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set1", "set2", "signature"],
+                ["doc_id", "own", "n_shingles", "set1", "set2", "signature"],
             )
 
 
@@ -259,33 +260,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Defined cases: a text with fewer than k words is one shingle; null texts and texts
     without words have an empty set, are linked with nothing and kept; a null doc_id
     takes no part in links and keeps its row with a null component; rows that repeat an
-    id form one node, which is linked by any of their texts (the smallest text is
-    compared with others); ties are impossible, as the smallest id names a component; an
-    empty table gives no rows; other columns are ignored.
+    id form one node, which is linked by any of their texts; a very long text is one set
+    in the memory of its task; ties are impossible, as the smallest id names a component;
+    an empty table gives no rows; other columns are ignored.
     """
     threshold = percent / 100
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, set1 long, set2 long, signature binary"
-    signed = written(source.mapInArrow(lambda b: _signed(b, k), schema))
+    # The text's own hash tells the rows of one id apart.
+    source = source.withColumn("own", F.xxhash64("text"))
+    schema = "doc_id long, own long, n_shingles long, set1 long, set2 long, signature binary"
+    signed = written(source.select("doc_id", "text", "own").mapInArrow(lambda b: _signed(b, k), schema))
     filled = signed.where(F.col("signature").isNotNull() & F.col("doc_id").isNotNull())
 
-    # Equal sets: a class is named by its smallest id.
+    # Equal sets are one class, numbered once written; the row with the smallest id stands for it.
     same = ["n_shingles", "set1", "set2"]
-    classes = filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    one = classes.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct(*same, "signature")).alias("s"))
-    signatures = written(one.select("id", "s.signature"))
-    membership = filled.join(classes.select(*same, "rep"), same).select("doc_id", "rep")
+    classes = filled.groupBy(*same).agg(F.min(F.struct("doc_id", "own")).alias("rep"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    signatures = classes.select("id", "signature")
+    membership = filled.join(classes.select(*same, "id", F.col("rep.doc_id").alias("rep")), same).select("doc_id", "id", "rep")
 
-    bands = signatures.select("id", "signature").mapInArrow(_banded, "bucket long, id long")
+    bands = signatures.mapInArrow(_banded, "bucket long, id long")
     pivots = bands.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = written(bands.join(pivots.select("bucket", "pivot"), "bucket"))
     stars = members.where(F.col("id") != F.col("pivot")).select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     candidates = written(_agreeing(stars, signatures, threshold))
     members = members.select("bucket", "id")
 
-    # Texts of classes that share a bucket with another class.
-    shared = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = written(source.join(shared, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    # Texts of classes that share a bucket with another class, each the text of the class's own row.
+    shared = classes.select("id", "rep.doc_id", "rep.own").join(members.select("id").distinct(), "id")
+    texts = source.join(shared, ["doc_id", "own"]).groupBy("id").agg(F.min("text").alias("text"))
+    texts = written(texts.withColumnRenamed("id", "doc_id"))
 
     # The likeliest pivot of each class first; the others only where components differ.
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v"))
@@ -293,11 +297,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comps = _merge(comps, written(_rest(members, signatures, texts, comps, k, percent)))
 
     # Rows that repeat an id tie the classes of their texts together.
-    twice = membership.join(membership.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id")
-    tied = twice.where(F.col("rep") != F.col("v")).select(F.col("rep").alias("u"), "v").distinct()
+    several = membership.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v < last")
+    twice = membership.join(several.select("doc_id", "v"), "doc_id")
+    tied = written(twice.where(F.col("id") != F.col("v")).select(F.col("id").alias("u"), "v").distinct())
     if tied.limit(1).count():
-        comps = _merge(comps, written(tied))
-    found = _labelled(membership, comps, "rep", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        comps = _merge(comps, tied)
+
+    # The smallest document of a component names it.
+    ranked = comps.join(classes.select(F.col("id").alias("node"), F.col("rep.doc_id").alias("rep")), "node")
+    names = ranked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = comps.join(names, "component").select(F.col("node").alias("id"), "component_id")
+    found = (
+        membership.join(named, "id", "left")
+        .groupBy("doc_id")
+        .agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
+    )
     return (
         signed.select("doc_id", "n_shingles")
         .join(found, "doc_id", "left")

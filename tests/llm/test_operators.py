@@ -273,6 +273,18 @@ def test_near_duplicates(spark, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    rnd = random.Random(11)
+    a, b = ([f"w{rnd.randrange(10_000)}" for _ in range(200)] for _ in range(2))
+    near = lambda ws: " ".join([*ws[:100], "#", *ws[100:]])
+    apart = " ".join(f"x{rnd.randrange(10_000)}" for _ in range(200))
+    for texts in ((a, b), (b, a)):
+        first, second = map(" ".join, texts)
+        rows = [(5, first, "s"), (5, second, "s"), (6, near(a), "s"), (7, near(b), "s"), (1, second, "s"), (8, apart, "s")]
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(table(spark, rows)).collect()}
+        assert got == {5: 1, 6: 1, 7: 1, 1: 1, 8: 8}
+
+
 # --- 8 ---
 
 
