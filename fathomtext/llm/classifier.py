@@ -37,7 +37,7 @@ _KIND = {
 
 def _features_of(word: str) -> list[int]:
     """Hashed features of one word: itself, its shape (twice), and both of its ends."""
-    shape = _RUN.sub(r"\1+", word[:64].translate(_KIND))
+    shape = _RUN.sub(r"\1+", word.translate(_KIND))
     low = word.lower()
     parts = ("w" + low, "s" + shape, "e" + word[-3:], "b" + low[:3])
     hashes = [OWN + xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) % (FEATURES - OWN) for p in parts]

@@ -163,6 +163,13 @@ def test_classifier_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out.collect())
 
 
+def test_classifier_reads_whole_words():
+    long = "a" * 70
+    shapes = {classifier._features_of(w)[1] for w in (long, long + "7", long + "7-", long + "日本")}
+    assert len(shapes) == 4
+    assert classifier._features_of("b" * 9)[1] == classifier._features_of(long)[1]
+
+
 def test_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (3, None)], "doc_id long, quality int")
     model = classifier.fitted(docs, labels, "quality", F.lit(True), 5)
@@ -319,8 +326,8 @@ def test_backoff_automaton(docs, rows, empty, monkeypatch):
 def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, pieces):
     monkeypatch.setattr(substrings, "SHARD_PIECES", pieces)
     width = 200
-    keys = {(i, t) for i, t, _ in rows}
-    raw = {k: (k[1] or "").encode() for k in keys}
+    # Every row is a document, the repeated row and the copy without an id too.
+    raw = {k: (t or "").encode() for k, (_, t, _) in enumerate(rows)}
     count = collections.Counter(b[p : p + width] for b in raw.values() for p in range(len(b) - width + 1))
     want = {}
     for k, b in raw.items():
@@ -333,7 +340,7 @@ def test_repeated_bytes(spark, docs, rows, empty, monkeypatch, pieces):
     assert sum(w[1] > 0 for w in want.values()) > 20
     monkeypatch.setattr(substrings, "read_table", lambda s, d, n: docs)
     got = substrings.op9_suffix_array_dedup(spark, "").collect()
-    assert sorted((r["doc_id"] or -1, *tuple(r)[1:]) for r in got) == sorted((i or -1, *want[(i, t)]) for i, t, _ in rows)
+    assert sorted((r["doc_id"] or -1, *tuple(r)[1:]) for r in got) == sorted((i or -1, *want[k]) for k, (i, _, _) in enumerate(rows))
     monkeypatch.setattr(substrings, "read_table", lambda s, d, n: empty)
     assert substrings.op9_suffix_array_dedup(spark, "").count() == 0
 
