@@ -281,19 +281,17 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[(count > 1) & (pdf["hi"].to_numpy() >= 0), ["doc", "lo", "hi"]]
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, doc) of all rows, and of each document once.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): every row under a key of its own.
 
-    The key is the id.  Where ids are null or repeat, it is a hash of the id and the
-    text, so that rows equal in both count as one document.
+    The key is the id.  Where ids are null or repeat, the rows are written with a running
+    number, so that equal rows are documents of their own.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     odd = source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.limit(1).count():
-        keyed = source.withColumn("doc", F.xxhash64("doc_id", "text"))
-        return keyed, keyed.dropDuplicates(["doc"])
-    keyed = source.withColumn("doc", F.col("doc_id"))
-    return keyed, keyed
+        return written(source.withColumn("doc", F.monotonically_increasing_id()))
+    return source.withColumn("doc", F.col("doc_id"))
 
 
 def repeated_spans(keyed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -403,17 +401,18 @@ def _cut(batches):
 
 
 def remove_repeats(docs: DataFrame, width: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Documents with repeated bytes, and all documents under the key that joins the two.
+    """Documents with repeated bytes, and all rows under the key that joins the two.
 
     The first table has ``doc``, ``removed`` (maximal runs [lo, hi) of bytes), ``n_removed`` and
     ``kept_bytes``; a document that is not in it loses nothing.
 
     Defined cases: a null text is empty; texts shorter than ``width`` bytes lose nothing; strings
-    never cross documents; rows equal in id and text are one document and get the same
-    result; an empty table gives no rows; other columns are ignored.
+    never cross documents; every row is a document, so rows equal in id and text, null ids
+    included, are copies of each other; very long texts are cut into parts; an empty table gives no
+    rows; other columns are ignored.
     """
-    keyed, once = _keyed(docs)
-    spans, texts = repeated_spans(once, width)
+    keyed = _keyed(docs)
+    spans, texts = repeated_spans(keyed, width)
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc long, removed array<array<long>>, n_removed long, kept_bytes binary"
     return texts.join(gathered, "doc").select("doc", "text", "spans").mapInArrow(_cut, schema), keyed
