@@ -29,8 +29,8 @@ from fathomtext.llm.common import ODD, WordHashes, fold, lower_ascii, mix, read_
 BACKOFF_WEIGHT = 100.0
 BLOCK_BYTES = 8_000_000
 RANGE_ENTRIES = 1_000_000
-#: Words are told apart by 64 bits of their hash, bigrams by 52.
-WORD_BITS, PAIR_BITS = 64, 52
+#: Words and bigrams are told apart by 64 bits of their hash.
+BITS = 64
 #: The end of a text and the history of its first token.
 END = np.uint64(0x5DEECE66D1234567)
 START = np.uint64(0x3C6EF372FE94F82A)
@@ -52,7 +52,7 @@ def bigrams(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(n) - n] = START
-    return mix(before * ODD + mix(tokens)) >> np.uint64(64 - PAIR_BITS)
+    return mix(before * ODD + mix(tokens))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -64,9 +64,9 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def edges(fingers: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+def edges(fingers: np.ndarray, ranges: int) -> np.ndarray:
     """Where each hash range begins in sorted fingerprints, and the end of the last."""
-    at = np.searchsorted(fingers, np.array([(i << bits) // ranges for i in range(ranges)], np.uint64))
+    at = np.searchsorted(fingers, np.array([(i << BITS) // ranges for i in range(ranges)], np.uint64))
     return np.concatenate([at, [len(fingers)]])
 
 
@@ -90,9 +90,9 @@ def _count_block(pdf: pd.DataFrame, ranges: int) -> pd.DataFrame:
     tokens, n = text_tokens(list(pdf["text"]), WordHashes())
     weight = np.repeat(pdf["trained"].to_numpy(np.int64), n)
     parts = []
-    for fingers, bits in ((tokens, WORD_BITS), (bigrams(tokens, n), PAIR_BITS)):
+    for fingers in (tokens, bigrams(tokens, n)):
         kinds, counts = distinct_counts(fingers, weight)
-        at = edges(kinds, bits, ranges)
+        at = edges(kinds, ranges)
         parts.append((kinds, counts, at))
     rows = []
     for r in range(ranges):
