@@ -16,7 +16,6 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOWER = str.maketrans(UPPER, UPPER.lower())
 _SPACE_BYTES = SPACE.encode()
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +85,8 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 def lower_ascii(text: str) -> str:
     """A-Z in lower case, all other characters as they are."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    # Bytes know no other letters.
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str | None) -> list[str]:
