@@ -8,6 +8,7 @@ leftmost first, with a heap over a linked list of byte runs.
 from __future__ import annotations
 
 import base64
+import gc
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -231,7 +232,12 @@ def encode(df: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "ids
     def make(batch):
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         for start, stop in slices(texts):
-            ids, counts = tokenizer.value.encode(texts[start:stop])
+            # The memo holds many tuples and no cycles: searching it for cycles over and over only costs time.
+            gc.disable()
+            try:
+                ids, counts = tokenizer.value.encode(texts[start:stop])
+            finally:
+                gc.enable()
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield start, stop, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 
