@@ -61,3 +61,24 @@ def test_numerals(spark):
     given = {"一": 1, "十": 10, "十一": 11, "二十三": 23, "一百零四": 104, "100": 100, "甲": 0, "0012": 12, "1234567890": 1234567890}
     df = spark.createDataFrame([(k,) for k in given], "s string").select("s", numeral_value(F.col("s")).alias("v"))
     assert {r.s: r.v for r in df.collect()} == {k: str(v) for k, v in given.items()}
+
+
+def test_places_as_section_ids(spark):
+    docs = [("d", "# 94.182.225.142 first\n## 1.2 second\n### (3) third\n### 12\n## 第 2 章")]
+    parsed = parse_documents(spark.createDataFrame(docs, "document_id string, text string"), numbered=False)
+    got = [r.section_id for r in sections_table(parsed).orderBy("ordinal").collect()]
+    assert got == ["top1", "top1:o2", "top1:o2:o3", "top1:o2:o4", "top1:o5"]
+
+
+def _sf(tmp_path, spark, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_heading_tree_of_numbered_lines(spark, tmp_path):
+    from fathomtext.registered.corpus import heading_tree
+
+    text = "94.182.225.142 first\n1.2 second\n" + "3.4 " + "w" * 60
+    sf = _sf(tmp_path, spark, "documents", [(7, text)], "doc_id long, text string")
+    got = [(r.id, r.parent_section_id) for r in heading_tree(spark, sf).orderBy("ordinal").collect()]
+    assert got == [("7:top1", None), ("7:top1:o2", "7:top1"), ("7:top1:o2:o3", "7:top1:o2")]
