@@ -82,3 +82,10 @@ def test_heading_tree_of_numbered_lines(spark, tmp_path):
     sf = _sf(tmp_path, spark, "documents", [(7, text)], "doc_id long, text string")
     got = [(r.id, r.parent_section_id) for r in heading_tree(spark, sf).orderBy("ordinal").collect()]
     assert got == [("7:top1", None), ("7:top1:o2", "7:top1"), ("7:top1:o2:o3", "7:top1:o2")]
+
+
+def test_resolved_judgments_of_numbered_titles(spark, tmp_path):
+    from fathomtext.registered.quality import resolved_judgments
+
+    sf = _sf(tmp_path, spark, "pages", [(5, "<h1>94.182.225.142 first</h1><p>x</p>")], "page_id long, html string")
+    assert [(r.query_id, r.section_id, r.grade) for r in resolved_judgments(spark, sf).collect()] == [(5, "5:top1", 3)]
