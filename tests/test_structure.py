@@ -89,3 +89,10 @@ def test_resolved_judgments_of_numbered_titles(spark, tmp_path):
 
     sf = _sf(tmp_path, spark, "pages", [(5, "<h1>94.182.225.142 first</h1><p>x</p>")], "page_id long, html string")
     assert [(r.query_id, r.section_id, r.grade) for r in resolved_judgments(spark, sf).collect()] == [(5, "5:top1", 3)]
+
+
+def test_chunk_gates_of_numbered_lines(spark, tmp_path):
+    from fathomtext.registered.corpus import chunk_gates
+
+    sf = _sf(tmp_path, spark, "documents", [(7, "94.182.225.142 first " + "w" * 90)], "doc_id long, text string")
+    assert [(r.cross_section, r.gate_passed) for r in chunk_gates(spark, sf).collect()] == [(0, True)]
