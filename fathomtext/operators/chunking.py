@@ -39,6 +39,8 @@ class ChunkLimits:
     hard_max: int = 2200
     overlap: int = 100
     formula_context: int = 400
+    #: Whether a long paragraph is cut between sentences first.
+    by_sentence: bool = True
 
 
 def _last(items: Column) -> Column:
@@ -81,13 +83,22 @@ def split_long_paragraph(text: Column, limits: ChunkLimits = ChunkLimits()) -> C
     )
 
 
+def cut_paragraph(text: Column, limits: ChunkLimits = ChunkLimits()) -> Column:
+    """Cuts of ``hard_max`` characters, wherever sentences end."""
+    last = F.floor((F.length(text) - 1) / limits.hard_max).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.substring(text, i * limits.hard_max + 1, F.lit(limits.hard_max))
+    )
+
+
 def _paragraphs(blocks: Column, limits: ChunkLimits) -> Column:
+    split = split_long_paragraph if limits.by_sentence else cut_paragraph
     return F.flatten(
         F.transform(
             blocks,
             lambda b: F.when(
                 F.length(b["text"]) > limits.hard_max,
-                F.transform(split_long_paragraph(b["text"], limits), lambda t: b.withField("text", t)),
+                F.transform(split(b["text"], limits), lambda t: b.withField("text", t)),
             ).otherwise(F.array(b)),
         )
     )

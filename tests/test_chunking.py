@@ -52,3 +52,12 @@ def test_plain_text(spark):
     got = spark.createDataFrame([(md,)], "t string").select(plain_text(F.col("t")).alias("p")).first().p
     assert "HBM4 uses CoWoS-L, see doc" in got and "http" not in got and "**" not in got
     assert got.endswith("h\nC{x}d{y}")
+
+
+def test_long_lines_cut_by_length(spark, tmp_path):
+    from fathomtext.registered.corpus import prose_packing
+
+    text = "Go! " * 600 + "end"
+    spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.id, r.n_chars) for r in prose_packing(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert got == [("3:top1:0001", 2200), ("3:top1:0002", 203)]
