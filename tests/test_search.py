@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomtext.functions.stats import nearest_rank, numbered
 from fathomtext.functions.skew import hot_keys, lookup_join
 from fathomtext.functions.text import TermTrie, highlight, identifiers, lexical_text, normal_form, snippet, terms
-from fathomtext.operators import dense, fusion, lexical
+from fathomtext.operators import dense, evaluation, fusion, lexical
 from fathomtext.sources.staging import staged
 
 TEXTS = {
@@ -279,3 +279,30 @@ def test_hot_keys_spread_without_losing_rows(spark):
     out = lookup_join(df, lookup, ["k"], "id", rows=100)
     assert out.count() == 5000 and out.where("v <> 2 * k").count() == 0
     assert [r["_salts"] for r in hot_keys(df, ["k"], 100).collect()] == [40]
+
+
+def test_scan_of_texts_equals_stored_trigrams(spark):
+    chunks, asked = zipf_corpus(spark)
+    # Copies tie, one text is null, and one phrase overlaps itself.
+    copies = chunks.where("id < 40").select((F.col("id") + 1000).alias("id"), "plain_text", "heading_path")
+    odd = spark.createDataFrame([(5000, None, ""), (5001, "w0w0w0 w1w1w1w1", "w2 head")], "id int, plain_text string, heading_path string")
+    chunks = chunks.unionByName(copies).unionByName(odd)
+    substrings = lexical.query_substrings(asked.unionByName(spark.createDataFrame([(95, "w1w1"), (96, "d_absent")], "query_id int, query string")))
+    stored = lexical.gram_index(chunks, text_col="plain_text")
+    scanned = lexical.GramIndex(None, stored.texts, stored.lengths)
+    key = lambda df: {(r.query_id, r.chunk_id, r["rank"], round(r.score, 8)) for r in df.collect()}
+    stored = lexical.GramIndex(staged(stored.grams), stored.texts, stored.lengths)
+    assert key(lexical.search_substrings(substrings, scanned, 5)) == key(lexical.search_substrings(substrings, stored, 5))
+    texts = chunks.select(F.col("id").alias("chunk_id"), "plain_text")
+    wanted = spark.createDataFrame([(1, "w0 w1"), (2, "w"), (3, "w2"), (4, "W0"), (5, "w0 w1")], "query_id int, query string")
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(lexical.substring_truth(wanted, scanned, texts)) == pairs(lexical.substring_truth(wanted, stored, texts))
+    words = spark.createDataFrame([(1, ["w7", "w0w0"]), (2, ["2", "w99"])], "query_id int, keywords array<string>")
+    assert pairs(evaluation.keyword_truth(words, texts, scanned)) == pairs(evaluation.keyword_truth(words, texts, stored))
+
+
+def test_registered_searches_keep_no_trigrams(spark):
+    from fathomtext.registered import inputs
+
+    assert inputs.lexical_index(spark, "/root/testdata/sf0.001")[1].grams is None
+    assert set(inputs.lexical_tables(spark, "/root/testdata/sf0.001")) == {"postings", "term_lengths", "term_stats"}
