@@ -306,3 +306,27 @@ def test_registered_searches_keep_no_trigrams(spark):
 
     assert inputs.lexical_index(spark, "/root/testdata/sf0.001")[1].grams is None
     assert set(inputs.lexical_tables(spark, "/root/testdata/sf0.001")) == {"postings", "term_lengths", "term_stats"}
+
+
+def test_scan_of_words_equals_stored_postings(spark):
+    from fathomtext.operators import lexical, scanning
+
+    texts = ["Été, a-1 b a-1 a", "a 1 a", None, "", "...", "b" * 3 + " a 1", "a a a 1 1", "x y_z été"] + [f"w{i % 7} a{i % 3}-{i % 5} b" for i in range(60)]
+    chunks = spark.createDataFrame([(i, "a" if i % 4 else None, t) for i, t in enumerate(texts)], "id long, heading_path string, t string")
+    asked = spark.createDataFrame([("q1", "a a-1 b"), ("q2", "été a2-3 w5 zzz"), ("q3", "..."), ("q4", "a1-1 a1-2 a1-3 w1")], "query_id string, query string")
+    phrases = lexical.query_phrases(asked)
+    stored, scanned = lexical.term_index(chunks, text_col="t"), lexical.term_texts(chunks, text_col="t")
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in df.collect())
+    want = key(lexical.search_terms(phrases, stored, 7))
+    assert scanned.postings is None and len(want) == 21
+    assert key(lexical.search_terms(phrases, scanned, 7)) == want
+    assert key(lexical.ranked_by_score(lexical.pruned_terms(phrases, scanned.with_postings(), 7).scores, 7)) == want
+    counts = {r.phrase: r.df for r in scanning.phrase_counts(phrases, scanned.texts, scanning.Words).collect()}
+    hits = lexical.phrase_hits(phrases, stored)
+    assert counts == {r.phrase: r["count"] for r in hits.groupBy("phrase").count().collect()}
+
+
+def test_registered_searches_keep_no_postings(spark):
+    from fathomtext.registered import inputs
+
+    assert inputs.lexical_index(spark, "/root/testdata/sf0.001")[0].postings is None
