@@ -51,10 +51,20 @@ LISTING = "path string, size bigint, mtime_ms bigint, sha256 string, error strin
 MANIFEST = "id string, path string, size bigint, mtime_ms bigint, sha256 string"
 
 
+#: Folder beside the scans with a file for each that is complete.
+ARRIVED = "arrived"
+
+
+def announce_listing(spark: SparkSession, listings: str, name: str) -> None:
+    """Tells :func:`track_listings` that the folder ``name`` of ``listings`` is complete."""
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{listings}/{ARRIVED}")
+
+
 def track_listings(spark: SparkSession, listings: str, folder: str) -> DataFrame:
     """States of every path in each listing that arrives, ``batch`` and the columns of ``scan_diff``.
 
-    ``listings`` holds one Parquet file of ``LISTING`` rows for each scan.  What is known of each path after a batch is a
+    ``listings`` holds a folder of ``LISTING`` rows in Parquet for each scan, of any number of files; the stream follows
+    the names that :func:`announce_listing` leaves when a folder is complete, one for each batch.  What is known of each path after a batch is a
     table of that batch: a path keeps its document id through edits and renames and loses it when it is gone.
     Both tables of a batch are replaced as a whole when it runs again, and it reads the table of the batch before.
     """
@@ -64,14 +74,16 @@ def track_listings(spark: SparkSession, listings: str, folder: str) -> DataFrame
         before = f"{folder}/known/batch={batch_id - 1}"
         known = spark.read.schema(MANIFEST).parquet(before) if batch_id else spark.createDataFrame([], MANIFEST)
         here = f"{folder}/states/batch={batch_id}"
-        scan_diff(batch, known).write.mode("overwrite").parquet(here)
+        names = [r["value"] for r in batch.collect()]
+        listing = spark.read.schema(LISTING).parquet(*[f"{listings}/{name}" for name in names])
+        scan_diff(listing, known).write.mode("overwrite").parquet(here)
         states = spark.read.parquet(here).where("status <> 'DELETED'")
         named = states.select(
             F.coalesce("document_id", F.concat(F.lit(f"{batch_id}:"), F.md5("path"))).alias("id"), "path", "size", "mtime_ms", "sha256"
         )
         named.write.mode("overwrite").parquet(f"{folder}/known/batch={batch_id}")
 
-    stream = spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(listings)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{listings}/{ARRIVED}")
     query = (
         stream.writeStream.option("checkpointLocation", f"{folder}/offsets").foreachBatch(one).trigger(availableNow=True).start()
     )

@@ -202,3 +202,18 @@ def test_entry_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 70
     assert entry.entry(spark).count() > 0
+
+
+def test_a_scan_of_many_files_is_one_batch(spark, tmp_path):
+    from fathomtext.streaming.ingest import LISTING, announce_listing, track_listings
+
+    listings = f"{tmp_path}/listings"
+    rows = lambda ids, sha: spark.createDataFrame([(f"p{i}", 1, i, sha, None) for i in ids], LISTING).repartition(3)
+    for n, scan in enumerate((rows(range(9), "a"), rows(range(1, 10), "b"))):
+        scan.write.parquet(f"{listings}/scan={n}")
+        announce_listing(spark, listings, f"scan={n}")
+    assert len(list((tmp_path / "listings" / "scan=0").glob("*.parquet"))) == 3
+    states = track_listings(spark, listings, str(tmp_path))
+    got = {(r.batch, r.status): r["count"] for r in states.groupBy("batch", "status").count().collect()}
+    assert sum(n for (b, _), n in got.items() if b == 0) == 9 and got[1, "DELETED"] == 1
+    assert {b for b, _ in got} == {0, 1} and sum(n for (b, _), n in got.items() if b == 1) == 10
