@@ -343,3 +343,21 @@ def test_keyword_truth_travels_as_bits(spark):
     pairs = sorted(tuple(r) for r in scanning.distinct_holders(asked, texts).collect())
     want = [(q, 1) for q in range(150)] + [(q, 3) for q in range(150) if q % 50 in (1, 2, 49)]
     assert pairs == sorted(want) and sorted(tuple(r) for r in scanning.holders(asked, texts).distinct().collect()) == pairs
+
+
+def test_only_the_texts_of_a_block_become_strings(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fathomtext.operators import scanning
+
+    monkeypatch.setattr(scanning, "BLOCK_CHARS", 10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:05d}" * 1000 for i in range(2000)])], ["body"])
+    known = scanning.Phrases(["00012", "x"])
+    tracemalloc.start()
+    start, stop, *_ = next(known.counts(batch, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (start, stop) == (0, 2) and peak < 6_000_000
+    assert sum(int(n[p == 0].sum()) for _, _, _, p, n, _ in known.counts(batch, 0)) >= 1000
