@@ -52,7 +52,10 @@ def _without_last(items: Column) -> Column:
 
 
 def split_long_paragraph(text: Column, limits: ChunkLimits = ChunkLimits()) -> Column:
-    """Sentences packed up to the target; one endless sentence is cut hard."""
+    """Sentences packed up to the target; one endless sentence is cut hard.
+
+    A piece of signs alone, of which no plain text is left, stays with the piece before it.
+    """
 
     def step(acc: Column, sentence: Column) -> Column:
         full = (F.length(acc["cur"]) + F.length(sentence) > limits.target) & (acc["cur"] != "")
@@ -75,13 +78,19 @@ def split_long_paragraph(text: Column, limits: ChunkLimits = ChunkLimits()) -> C
 
     start = F.struct(empty_array("string").alias("out"), F.lit("").alias("cur"))
     sentences = F.filter(F.split(text, SENTENCE_END), lambda x: strip(x) != "")
-    return F.aggregate(
+    pieces = F.aggregate(
         sentences,
         start,
         step,
         lambda acc: F.when(strip(acc["cur"]) != "", append(acc["out"], acc["cur"])).otherwise(acc["out"]),
     )
 
+    def joined(out: Column, piece: Column) -> Column:
+        unreadable = (F.size(out) > 0) & (plain_text(piece) == "")
+        return F.when(unreadable, append(_without_last(out), F.concat(_last(out), piece))).otherwise(append(out, piece))
+
+    return F.aggregate(pieces, empty_array("string"), joined)
+
 
 def cut_paragraph(text: Column, limits: ChunkLimits = ChunkLimits()) -> Column:
     """Cuts of ``hard_max`` characters, wherever sentences end."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fathomtext.functions.text import plain_text
 from fathomtext.operators.chunking import chunk_gates, chunk_stats, chunk_table, recheck
 from fathomtext.operators.structure import blocks_table, parse_documents, sections_table
+from fathomtext.registered import corpus
 
 FORMULA = "# T\n\n## 1.1 S\n\nshort reason.\n\n$$\na\n$$\n\nafter one\n\n$$\nb\n$$\n\n$$\nc\n$$\n\nafter two\n\n| a | b |\n|---|---|\n| **1** | `2` |\n"
 PROSE = "# T\n\n> q\n\n## 1.1 S\n\n" + "\n\n".join(f"p{i}" + "w" * 328 for i in range(8))
@@ -61,3 +62,17 @@ def test_long_lines_cut_by_length(spark, tmp_path):
     spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.id, r.n_chars) for r in prose_packing(spark, str(tmp_path)).orderBy("ordinal").collect()]
     assert got == [("3:top1:0001", 2200), ("3:top1:0002", 203)]
+
+
+def test_rest_without_plain_text_is_no_chunk(spark, tmp_path):
+    """What a hard cut leaves of a paragraph may be signs alone."""
+    rests = ["|", "-", ": -", "rest"]
+    rows = [(i, "title\n" + "word " * 440 + rest) for i, rest in enumerate(rests)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    gates = corpus.real_chunk_gates(spark, str(tmp_path)).collect()
+    assert len(gates) == 4 and all(r.gate_passed and r.empty_chunk == 0 for r in gates)
+    parsed = parse_documents(docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("# "), "text").alias("text")))
+    chunks = chunk_table(parsed).orderBy("document_id", "ordinal").collect()
+    assert [len([c for c in chunks if c.document_id == str(i)]) for i in range(4)] == [1, 1, 1, 2]
+    assert all([c.raw_markdown for c in chunks if c.document_id == str(i)][-1].endswith(rest) for i, rest in enumerate(rests))
