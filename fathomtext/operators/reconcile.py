@@ -155,16 +155,17 @@ def sampled_recheck(
     """A seeded sample of the catalog against a fresh parse of its texts: one row a document with what differs.
 
     ``texts(document_id, text)``, ``documents(id, title)`` and the stored section and chunk tables.  Only the sampled
-    texts are parsed.  ``*_missing`` counts rows that the store lacks, ``*_extra`` rows that only the store has.
+    texts are parsed, and each stored table is read once.  ``*_missing`` counts rows that the store lacks, ``*_extra``
+    rows that only the store has.
     """
     draw = F.md5(F.concat_ws(":", F.col("document_id").cast("string"), F.lit(str(seed))))
     sample = texts.orderBy(draw, "document_id").limit(n)
     parsed = staged(structure.parse_documents(sample), "recheck")
-    ids = parsed.select(F.col("document_id").cast("string").alias("document_id"))
+    ids = F.broadcast(parsed.select(F.col("document_id").cast("string").alias("document_id")))
 
     def differences(name: str, old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
         key = F.col("document_id").cast("string").alias("document_id")
-        was = old.select(key, *columns).join(ids, "document_id", "left_semi")
+        was = staged(old.select(key, *columns).join(ids, "document_id", "left_semi"), f"stored-{name}")
         now = new.select(key, *columns)
         count = lambda rows, side: rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"{name}_{side}"))
         missing, extra = count(now.exceptAll(was), "missing"), count(was.exceptAll(now), "extra")
@@ -179,6 +180,7 @@ def sampled_recheck(
         F.coalesce(F.element_at("metadata", F.lit("title")), F.col("title")).alias("fresh_title"),
     )
     stored = documents.select(F.col("id").cast("string").alias("document_id"), F.col("title").alias("stored_title"))
+    stored = stored.join(ids, "document_id", "left_semi")
     counts = [f"{name}_{side}" for name in ("sections", "chunks") for side in ("missing", "extra")]
     out = fresh.join(stored, "document_id", "left").join(of_sections, "document_id", "left").join(of_chunks, "document_id", "left")
     return out.select(

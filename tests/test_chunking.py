@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fathomtext.functions.text import plain_text
 from fathomtext.operators.chunking import chunk_gates, chunk_stats, chunk_table, recheck
+from fathomtext.operators.reconcile import sampled_recheck
 from fathomtext.operators.structure import blocks_table, parse_documents, sections_table
 from fathomtext.registered import corpus
 
@@ -76,3 +77,22 @@ def test_rest_without_plain_text_is_no_chunk(spark, tmp_path):
     chunks = chunk_table(parsed).orderBy("document_id", "ordinal").collect()
     assert [len([c for c in chunks if c.document_id == str(i)]) for i in range(4)] == [1, 1, 1, 2]
     assert all([c.raw_markdown for c in chunks if c.document_id == str(i)][-1].endswith(rest) for i, rest in enumerate(rests))
+
+
+def test_sampled_recheck_reads_the_store_once(spark):
+    """Rows of the store are made once, whatever is compared with them."""
+    texts = spark.createDataFrame([(str(i), f"# T{i}\n\n## 1.1 S\n\nwords {i}") for i in range(6)], "document_id string, text string")
+    parsed = parse_documents(texts).persist()
+    calls = {name: spark.sparkContext.accumulator(0) for name in ("title", "heading", "content_type")}
+
+    def counted(name):
+        made = calls[name]
+        return F.udf(lambda x: (made.add(1), x)[1], "string")(name)
+
+    documents = parsed.select(F.col("document_id").alias("id"), counted("title").alias("title"))
+    sections = sections_table(parsed).withColumn("heading", counted("heading"))
+    chunks = chunk_table(parsed).withColumn("content_type", counted("content_type"))
+    rows = sampled_recheck(texts, documents, sections, chunks, 2, 3).collect()
+    assert len(rows) == 2 and all(r.passed for r in rows)
+    assert calls["title"].value <= 6 and calls["heading"].value <= 12 and calls["content_type"].value <= 6
+    parsed.unpersist()
