@@ -2,7 +2,8 @@
 
 Tier one: a minimal perfect hash over the vocabulary resolves pre-tokens that are
 tokens themselves.  Tier two: the others are merged pair by pair, lowest rank and
-leftmost first, with a heap over a linked list of byte runs.
+leftmost first, short ones by scanning their few pairs, long ones with a heap over a
+linked list of byte runs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathomtext.llm.common import mix, ragged, read_table, slices
 
+#: Up to so many bytes, scanning all pairs for the lowest rank takes less time than a heap.
+SHORT = 48
+_NONE = 1 << 60
+
 
 class PerfectHash:
     """Minimal perfect hash from byte strings to 0..n-1 by hash and displace.
@@ -111,7 +116,28 @@ class Tokenizer:
         return self.__dict__ | {"memo": {}, "pieces": {}, "split": None, "cut": None}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a pre-token that is not itself a token.
+        """Ids of a pre-token that is not itself a token."""
+        return self.scanned(piece) if len(piece) <= SHORT else self.heaped(piece)
+
+    def scanned(self, piece: bytes) -> tuple[int, ...]:
+        """The merges of a short pre-token; its first lowest pair is looked for again each time."""
+        rank_of = self.ranks.get
+        ends = list(range(len(piece) + 1))
+        pair = [rank_of(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+        while pair:
+            rank = min(pair)
+            if rank == _NONE:
+                break
+            i = pair.index(rank)
+            del pair[i], ends[i + 1]
+            if i < len(pair):
+                pair[i] = rank_of(piece[ends[i] : ends[i + 2]], _NONE)
+            if i:
+                pair[i - 1] = rank_of(piece[ends[i - 1] : ends[i + 1]], _NONE)
+        return tuple([self.ranks[piece[a:b]] for a, b in zip(ends, ends[1:])])
+
+    def heaped(self, piece: bytes) -> tuple[int, ...]:
+        """The merges of a long pre-token.
 
         A heap entry is the rank of a pair and its first byte in one number; it is
         stale when ``pair`` holds another rank for that byte by now.
@@ -207,20 +233,44 @@ class Tokenizer:
         return self.blob[ragged(self.starts[ids], lengths)].tobytes()
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """Adds a column that ``make`` computes from each Arrow batch, keeping all others."""
-    df = df.drop(name)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _with_columns(df: DataFrame, made: list[tuple[str, T.DataType]], make, without: tuple[str, ...] = ()) -> DataFrame:
+    """Adds columns that ``make`` computes from each Arrow batch, keeping all others but ``without``."""
+    names = [name for name, _ in made]
+    df = df.drop(*names)
+    kept = [i for i, field in enumerate(df.schema.fields) if field.name not in without]
+    schema = T.StructType([*[df.schema.fields[i] for i in kept], *[T.StructField(*m) for m in made]])
 
     def run(batches):
         for batch in batches:
-            for start, stop, column in make(batch):
+            for start, stop, columns in make(batch):
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *columns], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _ids_of(tokenizer: Tokenizer, texts: list[str | None]) -> pa.ListArray:
+    # The memo holds many tuples and no cycles: searching it for cycles over and over only costs time.
+    gc.disable()
+    try:
+        ids, counts = tokenizer.encode(texts)
+    finally:
+        gc.enable()
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
+def _bytes_of(tokenizer: Tokenizer, lists: pa.ListArray) -> pa.Array:
+    out = []
+    for row in lists:
+        ids = row.values
+        out.append(None if ids is None else tokenizer.decode(ids.to_numpy(zero_copy_only=False)))
+    return pa.array(out, pa.binary())
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(df: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds the token ids of every whole text; ``tokenizer`` is a broadcast :class:`Tokenizer`.
 
@@ -232,30 +282,35 @@ def encode(df: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "ids
     def make(batch):
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
         for start, stop in slices(texts):
-            # The memo holds many tuples and no cycles: searching it for cycles over and over only costs time.
-            gc.disable()
-            try:
-                ids, counts = tokenizer.value.encode(texts[start:stop])
-            finally:
-                gc.enable()
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield start, stop, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            yield start, stop, [_ids_of(tokenizer.value, texts[start:stop])]
 
-    return _with_column(df, ids_col, T.ArrayType(T.IntegerType()), make)
+    return _with_columns(df, [(ids_col, IDS)], make)
 
 
 def decode(df: DataFrame, tokenizer, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null ids give null, no ids no bytes."""
 
     def make(batch):
-        lists = batch.column(batch.schema.get_field_index(ids_col))
-        out = []
-        for row in lists:
-            ids = row.values
-            out.append(None if ids is None else tokenizer.value.decode(ids.to_numpy(zero_copy_only=False)))
-        yield 0, len(out), pa.array(out, pa.binary())
+        yield 0, batch.num_rows, [_bytes_of(tokenizer.value, batch.column(batch.schema.get_field_index(ids_col)))]
+
+    return _with_columns(df, [(bytes_col, T.BinaryType())], make)
+
+
+def round_trip(
+    df: DataFrame, tokenizer, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded"
+) -> DataFrame:
+    """:func:`encode` and then :func:`decode` in one pass, without the text.
+
+    A task runs one Python worker with one copy of the vocabulary, and neither texts nor ids are sent twice.
+    """
+
+    def make(batch):
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        for start, stop in slices(texts):
+            ids = _ids_of(tokenizer.value, texts[start:stop])
+            yield start, stop, [ids, _bytes_of(tokenizer.value, ids)]
 
-    return _with_column(df, bytes_col, T.BinaryType(), make)
+    return _with_columns(df, [(ids_col, IDS), (bytes_col, T.BinaryType())], make, without=(text_col,))
 
 
 def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken"):
@@ -267,8 +322,7 @@ def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken"):
 
 def token_digests(docs: DataFrame, tokenizer) -> DataFrame:
     """Per document the number of ids and the digests of the ids and of the decoded bytes."""
-    encoded = encode(docs.select("doc_id", "text"), tokenizer).drop("text")
-    return decode(encoded, tokenizer).select(
+    return round_trip(docs.select("doc_id", "text"), tokenizer).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -145,6 +145,22 @@ def test_bpe_equals_tiktoken(spark, docs, empty):
     assert bpe.token_digests(empty, tokenizer).count() == 0
 
 
+def test_bpe_in_one_pass(spark, docs):
+    """Ids and decoded bytes come from one Python pass; short and long pre-tokens are merged alike."""
+    tokenizer = bpe.public_tokenizer(spark)
+    once = bpe.round_trip(docs, tokenizer)
+    assert "text" not in once.columns
+    twice = bpe.decode(bpe.encode(docs, tokenizer), tokenizer).select(*once.columns)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, once.collect())) == sorted(map(key, twice.collect()))
+    plan = bpe.token_digests(docs, tokenizer)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    draw = np.random.default_rng(1)
+    for n in [1, 2, 3, bpe.SHORT, *draw.integers(1, bpe.SHORT, 500)]:
+        piece = bytes(draw.choice(np.frombuffer(b"aaaeinrst th\xc3\xa9", np.uint8), n).tolist())
+        assert tokenizer.value.scanned(piece) == tokenizer.value.heaped(piece)
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
