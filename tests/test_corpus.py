@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fathomtext.registered import inputs
 from fathomtext.operators import admission, catalog, changes, gates, grounding
 
 
@@ -109,3 +110,13 @@ def test_slug_and_task_ids(spark):
         1: "20260102_030405_why-hbm4-matters", 4: "20260102_030405_why-hbm4-matters-2",
         2: "20260102_030405_task", 3: "20260102_030405_task-2",
     }
+
+
+def test_tables_of_several_files_are_not_shuffled(spark, tmp_path):
+    """Four cores: three files are read as they are, one file is spread."""
+    rows = spark.range(100).selectExpr("id AS doc_id", "'text' AS text")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    assert inputs.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() <= 3
+    assert inputs.table(spark, str(tmp_path), "labels").rdd.getNumPartitions() == 4
+    assert inputs.table(spark, str(tmp_path), "documents").count() == inputs.table(spark, str(tmp_path), "labels").count() == 100
