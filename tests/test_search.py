@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import uuid
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomtext.functions import text
 from fathomtext.functions.stats import nearest_rank, numbered
 from fathomtext.functions.skew import hot_keys, lookup_join
 from fathomtext.functions.text import TermTrie, highlight, identifiers, lexical_text, normal_form, snippet, terms
@@ -361,3 +363,20 @@ def test_only_the_texts_of_a_block_become_strings(monkeypatch):
     tracemalloc.stop()
     assert (start, stop) == (0, 2) and peak < 6_000_000
     assert sum(int(n[p == 0].sum()) for _, _, _, p, n, _ in known.counts(batch, 0)) >= 1000
+
+
+def test_identifiers_start_where_a_run_starts(spark):
+    """The same identifiers as a search from every place, in time that grows with a run, not with its square."""
+
+    anywhere = text.IDENTIFIER.removeprefix(f"(?<!{text._C})")
+    draw = random.Random(3)
+    rows = [("".join(draw.choice("ab1+-/·.µ% :") for _ in range(draw.randint(0, 30))),) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "t string").select(
+        text.identifiers(F.col("t")).alias("now"), F.array_distinct(F.regexp_extract_all("t", F.lit(anywhere), 0)).alias("before")
+    )
+    assert df.where("now <> before").count() == 0 and df.where("size(now) > 0").count() > 1000
+    started = time.time()
+    run = spark.range(1).select(text.identifiers(F.concat(F.repeat(F.lit("a"), 60000), F.col("id").cast("string"), F.lit(" a-1"))).alias("x"))
+    assert run.selectExpr("size(x) AS n").collect()[0].n == 2
+    plain = spark.range(1).select(text.identifiers(F.concat(F.repeat(F.lit("a"), 60000), F.lit(" a-1"))).alias("x"))
+    assert plain.collect()[0].x == ["a-1"] and time.time() - started < 8
