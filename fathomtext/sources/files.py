@@ -108,3 +108,37 @@ def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def read_json_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What :func:`write_json` has written by folder, the folder columns being part of the ``schema``."""
     return spark.read.schema(schema).option("basePath", path).json(path)
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Folders of the runs below a path and whether each was finished."""
+    if not _exists(spark, path):
+        return []
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted((n, _exists(spark, f"{path}/{n}/_SUCCESS")) for n in names if n.startswith("run="))
+
+
+def write_run(df: DataFrame, path: str) -> None:
+    """Rows of a run as JSON Lines in a folder of the run; see :func:`read_runs`.
+
+    It makes a file for each partition, however many tasks the run has, and touches nothing written before.
+    """
+    last = max((int(name.removeprefix("run=")) for name, _ in _runs(df.sparkSession, path)), default=-1)
+    df.write.json(f"{path}/run={last + 1:06d}")
+
+
+def read_runs(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
+    """What :func:`write_run` has written: of each key the rows of the last finished run that has any.
+
+    So a run that repeats some tasks replaces only theirs.
+    """
+    done = [f"{path}/{name}" for name, finished in _runs(spark, path) if finished]
+    if not done:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, run int").option("basePath", path).json(done)
+    last = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max("run").alias("_run"))
+    same = F.col("run") == F.col("_run")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(last, same, "left_semi").drop("run")

@@ -1,5 +1,6 @@
 """Index build from files, incremental runs, search on the store, streaming."""
 
+import collections
 import os
 import tempfile
 
@@ -11,6 +12,7 @@ from fathomtext.operators import dense, lexical, reconcile
 from fathomtext.plans import indexing
 from fathomtext.plans.indexing import open_index, reconcile_files
 from fathomtext.plans.search import SearchOptions, search
+from fathomtext.registered import versions
 from fathomtext.sources import files, snapshots
 from fathomtext.streaming.ingest import reconcile_batch, watch_files
 
@@ -198,6 +200,24 @@ def test_a_second_write_replaces_only_its_own_folders(spark):
     assert kept == {f: os.stat(f"{folder}/task=b/{f}").st_mtime_ns for f in os.listdir(f"{folder}/task=b")}
 
 
+def test_files_of_task_answers_do_not_grow_with_the_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, t, "assistant", f"x{i} {t}") for i in range(200) for t in (1, 3, 5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(2).write.parquet(f"{tmp_path}/in/conversations.parquet")
+    monkeypatch.setattr(versions, "working_folder", lambda spark: f"{tmp_path}/work")
+    got = collections.defaultdict(list)
+    for r in versions.task_files(spark, f"{tmp_path}/in").collect():
+        got[r.conv_id].append((r.turn, r.answer.startswith("again ")))
+    assert all(sorted(v) == ([(1, True), (3, True)] if i % 3 == 0 else [(1, False), (3, False), (5, False)]) for i, v in got.items()) and len(got) == 200
+    assert sum(len([f for f in names if f.endswith(".json")]) for _, _, names in os.walk(f"{tmp_path}/work")) < 50
+    # A run that did not finish does not count, and a later one does not take its place.
+    os.makedirs(f"{tmp_path}/work/answers/run=000002")
+    write(f"{tmp_path}/work/answers/run=000002", "part.json", '{"conv_id": 1, "turn": 1, "answer": "lost"}')
+    files.write_run(spark.createDataFrame([(2, 9, "new")], "conv_id long, turn long, answer string"), f"{tmp_path}/work/answers")
+    last = files.read_runs(spark, f"{tmp_path}/work/answers", "conv_id bigint, turn bigint, answer string", ["conv_id"])
+    assert [r.answer for r in last.where("conv_id = 2").collect()] == ["new"] and last.where("answer = 'lost'").count() == 0
+    assert files.read_runs(spark, f"{tmp_path}/none", "conv_id bigint", ["conv_id"]).count() == 0
+
+
 def test_entry_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 70
