@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from fathomtext.operators import gates, grounding
 from fathomtext.registered import inputs
+from fathomtext.sources.staging import staged
 from fathomtext.streaming.ingest import stream_catalog
 
 
@@ -122,6 +125,8 @@ def _hashes(spark, sf_dir) -> DataFrame:
 
 def _gate_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     tasks, evidence, claims, drafts = _drafts(spark, sf_dir)
+    # Each gate is a job of its own: in one plan the sorts of all their joins would hold their memory in one task at once.
+    tasks, drafts = staged(tasks, "tasks"), staged(drafts, "drafts")
     cited = claims.select("task_id", F.explode("refs").alias("chunk_id"))
     # The catalog knows every user turn; those of long turns have changed since.
     c = inputs.table(spark, sf_dir, "conversations").where("role = 'user'")
@@ -132,15 +137,16 @@ def _gate_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.col("text").alias("plain_text"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
     )
     made = _returned_packs(spark, sf_dir)
-    rows = (
-        gates.manifest_gate(tasks, *(x.withColumn("task_id", F.concat(F.lit("t"), "task_id")) for x in _manifests(spark, sf_dir)))
-        .unionByName(gates.schema_gate(tasks, made))
-        .unionByName(gates.task_id_gate(tasks, made))
-        .unionByName(gates.prompt_gate(tasks, made, _hashes(spark, sf_dir)))
-        .unionByName(gates.membership_gate(tasks, cited, evidence))
-        .unionByName(gates.citation_gate(tasks, drafts))
-        .unionByName(gates.stale_gate(tasks, evidence, chunks))
-    )
+    each = [
+        gates.manifest_gate(tasks, *(x.withColumn("task_id", F.concat(F.lit("t"), "task_id")) for x in _manifests(spark, sf_dir))),
+        gates.schema_gate(tasks, made),
+        gates.task_id_gate(tasks, made),
+        gates.prompt_gate(tasks, made, _hashes(spark, sf_dir)),
+        gates.membership_gate(tasks, cited, evidence),
+        gates.citation_gate(tasks, drafts),
+        gates.stale_gate(tasks, evidence, chunks),
+    ]
+    rows = reduce(DataFrame.unionByName, [staged(gate, "gate") for gate in each])
     return rows, drafts
 
 

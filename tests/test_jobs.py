@@ -12,7 +12,7 @@ from fathomtext.operators import dense, lexical, reconcile
 from fathomtext.plans import indexing
 from fathomtext.plans.indexing import open_index, reconcile_files
 from fathomtext.plans.search import SearchOptions, search
-from fathomtext.registered import versions
+from fathomtext.registered import packs, versions
 from fathomtext.sources import files, snapshots
 from fathomtext.streaming.ingest import reconcile_batch, watch_files
 
@@ -218,6 +218,13 @@ def test_files_of_task_answers_do_not_grow_with_the_tasks(spark, tmp_path, monke
     assert files.read_runs(spark, f"{tmp_path}/none", "conv_id bigint", ["conv_id"]).count() == 0
 
 
+def test_gates_do_not_join_in_one_plan(spark):
+    rows, drafts = packs._gate_rows(spark, "/root/testdata/sf0.001")
+    for df in (rows, drafts):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.select("step").distinct().count() == 7
+
+
 def test_entry_contract(spark):
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len(names) > 70
