@@ -84,6 +84,24 @@ def test_heading_tree_of_numbered_lines(spark, tmp_path):
     assert got == [("7:top1", None), ("7:top1:o2", "7:top1"), ("7:top1:o2:o3", "7:top1:o2")]
 
 
+def test_sections_and_counts_of_odd_lines(spark, tmp_path):
+    """Texts without lines have no sections and no counts; a long line of its own marks is no heading."""
+    from fathomtext.registered.corpus import document_detail, heading_tree
+
+    texts = ["", None, "\n", "title\n# " + "w" * 90 + "\nReferences VS", "#"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    sf = _sf(tmp_path, spark, "documents", rows, "doc_id long, text string, lang string, source string")
+    got = [(r.id, r.heading, r.section_type, r.end_line) for r in heading_tree(spark, sf).orderBy("document_id", "ordinal").collect()]
+    assert got == [
+        ("2:top1", "", "body", 1),
+        ("3:top1", "title", "body", 2),
+        ("3:top1:o2", "References VS", "comparison", 3),
+        ("4:top1", "", "body", 1),
+    ]
+    got = [(r.id, r.section_count, r.chunk_count) for r in document_detail(spark, sf).orderBy("id").collect()]
+    assert got == [(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 2, 3), (4, 1, 1)]
+
+
 def test_resolved_judgments_of_numbered_titles(spark, tmp_path):
     from fathomtext.registered.quality import resolved_judgments
 
