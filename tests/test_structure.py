@@ -86,11 +86,12 @@ def test_heading_tree_of_numbered_lines(spark, tmp_path):
 
 def test_sections_and_counts_of_odd_lines(spark, tmp_path):
     """Texts without lines have no sections and no counts; a long line of its own marks is no heading."""
-    from fathomtext.registered.corpus import document_detail, heading_tree
+    from fathomtext.registered.corpus import document_detail, heading_tree, index_counts
 
     texts = ["", None, "\n", "title\n# " + "w" * 90 + "\nReferences VS", "#"]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
     sf = _sf(tmp_path, spark, "documents", rows, "doc_id long, text string, lang string, source string")
+    _sf(tmp_path, spark, "labels", [(0, 1)], "doc_id long, quality int")
     got = [(r.id, r.heading, r.section_type, r.end_line) for r in heading_tree(spark, sf).orderBy("document_id", "ordinal").collect()]
     assert got == [
         ("2:top1", "", "body", 1),
@@ -100,6 +101,7 @@ def test_sections_and_counts_of_odd_lines(spark, tmp_path):
     ]
     got = [(r.id, r.section_count, r.chunk_count) for r in document_detail(spark, sf).orderBy("id").collect()]
     assert got == [(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 2, 3), (4, 1, 1)]
+    assert [r.document_id for r in index_counts(spark, sf).orderBy("document_id").collect()] == [2, 3, 4]
 
 
 def test_resolved_judgments_of_numbered_titles(spark, tmp_path):
