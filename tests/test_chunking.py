@@ -79,6 +79,16 @@ def test_rest_without_plain_text_is_no_chunk(spark, tmp_path):
     assert all([c.raw_markdown for c in chunks if c.document_id == str(i)][-1].endswith(rest) for i, rest in enumerate(rests))
 
 
+def test_real_chunk_gates_parse_each_text_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"title {i}\nshort\n" + "w " * 50) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, marked = spark.sparkContext.accumulator(0), corpus.inputs.marked_documents
+    counted = F.udf(lambda x: (made.add(1), x)[1], "string")
+    monkeypatch.setattr(corpus.inputs, "marked_documents", lambda *a: marked(*a).withColumn("text", counted("text")))
+    rows = corpus.real_chunk_gates(spark, str(tmp_path)).collect()
+    assert len(rows) == 6 and all(r.gate_passed for r in rows)
+    assert made.value <= 6
+
+
 def test_sampled_recheck_reads_the_store_once(spark):
     """Rows of the store are made once, whatever is compared with them."""
     texts = spark.createDataFrame([(str(i), f"# T{i}\n\n## 1.1 S\n\nwords {i}") for i in range(6)], "document_id string, text string")
