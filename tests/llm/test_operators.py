@@ -467,6 +467,66 @@ def test_shared_passages_go_on_after_a_gap(spark):
     assert covered[1] >= {*range(400), *range(700, 1000)} and covered[2] >= {*range(400), *range(800, 1100)}
 
 
+def test_all_holders_of_a_common_seed_meet(spark):
+    """A line that many documents hold, in passages of few of them: each pair is found, whatever its place among the holders."""
+    rnd = random.Random(31)
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    line = fresh(12)
+    full = {i: fresh(70) + line + fresh(70) for i in range(80)}
+    want = set()
+    for n in range(8):
+        # Runs of four words beside the line are no seeds, so only the line leads to the passage.
+        left, right = fresh(24), fresh(24)
+        for i in (20 + n, 50 + n):
+            marked = lambda ws: [w if j % 5 != 4 else fresh(1)[0] for j, w in enumerate(ws)]
+            full[i] = fresh(50 + n) + [*reversed(marked(left))] + line + marked(right) + fresh(40)
+        want.add((50 + n, 20 + n))
+    docs = table(spark, [(i, " ".join(t), "s") for i, t in full.items()])
+    found = passages.shared_passages(docs).collect()
+    assert {(r["doc_id"], r["owner_id"]) for r in found} == want
+    assert all(r["hi"] - r["lo"] == r["owner_hi"] - r["owner_lo"] >= 50 and r["equal_words"] >= 48 for r in found)
+
+
+def test_no_passage_is_left_out_by_its_words():
+    """Stretches with a passage pass the counts of words, at every shift of the windows."""
+    from fathomtext.llm import holders
+
+    spans = holders.windows(50, 80)
+    before, behind = -min(s[0] for s in spans), max(s[1] for s in spans)
+    rnd = np.random.default_rng(5)
+    kept = 0
+    for trial in range(400):
+        n = int(rnd.integers(50, 180))
+        word = lambda m: rnd.integers(1, 2**62, m).astype(np.uint64)
+        a = word(n)
+        rows = []
+        for w in a:
+            act = rnd.random() if rnd.random() < 0.3 else 1.0
+            rows.append(word(1) if act < 0.4 else word(0) if act < 0.6 else np.concatenate([[w], word(1)]) if act < 0.8 else np.array([w]))
+        b = np.concatenate(rows)
+        at, place = np.intersect1d(a, b, return_indices=True)[1:]
+        order = np.argsort(at)
+        at, place = at[order], place[order]
+        runs, start = [], 0
+        for t in range(1, len(at) + 1):
+            if t == len(at) or (at[t], place[t]) != (at[t - 1] + 1, place[t - 1] + 1):
+                runs.append((int(at[start]), int(place[start]), t - start))
+                start = t
+        if not passages.passages_of(runs, 50, 80) or max(r[2] for r in runs) < 5:
+            continue
+        kept += 1
+        a, b = np.concatenate([word(70), a, word(70)]), np.concatenate([word(90), b, word(60)])
+        assert passages.possible(a, b, 50, 80)
+        codes = lambda x: np.concatenate([np.zeros(before, np.uint16), (x % np.uint64(65535)).astype(np.uint16) + np.uint16(1), np.zeros(behind, np.uint16)])
+        met = False
+        for i, j, size in runs:
+            if size >= 5:
+                p, q = i + 70, j + 90
+                met |= bool(holders.close(codes(a)[None, p : p + before + behind], codes(b)[None, q : q + before + behind], spans, before)[0, 0])
+        assert met
+    assert kept > 50
+
+
 def test_alignment_meets_every_seed():
     rnd = np.random.default_rng(3)
     a = rnd.integers(0, 2**63, 900).astype(np.uint64)
