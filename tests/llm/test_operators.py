@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -487,6 +488,29 @@ def test_all_holders_of_a_common_seed_meet(spark):
     assert all(r["hi"] - r["lo"] == r["owner_hi"] - r["owner_lo"] >= 50 and r["equal_words"] >= 48 for r in found)
 
 
+def test_pairs_of_one_run_are_chained_alike():
+    rnd = random.Random(6)
+    pair = lambda x, y: (x << 32) | y
+    rows, want = [], []
+    for i in range(200):
+        x, y, n = rnd.randrange(90), rnd.randrange(90), rnd.randint(1, 40)
+        ones = [pair(x + j, y + j) for j in range(n)]
+        if i % 3 == 0:
+            ones.append(pair(x + n + rnd.randint(0, 2), y + n + rnd.randint(0, 2)))
+        rnd.shuffle(ones)
+        rows.append((i, 7, ones, [{"place": 3, "again": None, "owner_place": 3, "owner_again": [9]}] if i % 7 == 0 else []))
+        xs, ys = ([o >> 32 for o in ones] + [3, 3, 3][: 3 * (i % 7 == 0)], [o & 0xFFFFFFFF for o in ones] + [3, 3, 9][: 3 * (i % 7 == 0)])
+        for p, q in passages.paths(*passages.thinned(np.array(xs), np.array(ys))):
+            lo, owner_lo = max(0, p[0] - 50), max(0, q[0] - 50)
+            anchors = np.array([[v - lo for v in p], [v - owner_lo for v in q]], np.int32).tobytes()
+            want.append((i, 7, lo, p[-1] + 55, owner_lo, q[-1] + 55, anchors))
+    spot = pa.struct([("place", pa.int32()), ("again", pa.list_(pa.int32())), ("owner_place", pa.int32()), ("owner_again", pa.list_(pa.int32()))])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(spot)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc", "owner", "ones", "spots"])
+    got = [tuple(r.values()) for b in passages._chained([batch], 5, 50) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and len(got) > 100
+
+
 def test_no_passage_is_left_out_by_its_words():
     """Stretches with a passage pass the counts of words, at every shift of the windows."""
     from fathomtext.llm import holders
