@@ -476,10 +476,10 @@ def test_all_holders_of_a_common_seed_meet(spark):
     full = {i: fresh(70) + line + fresh(70) for i in range(80)}
     want = set()
     for n in range(8):
-        # Runs of four words beside the line are no seeds, so only the line leads to the passage.
+        # Runs of four words beside the line, behind another word, are no seeds: only the line leads to the passage.
         left, right = fresh(24), fresh(24)
         for i in (20 + n, 50 + n):
-            marked = lambda ws: [w if j % 5 != 4 else fresh(1)[0] for j, w in enumerate(ws)]
+            marked = lambda ws: [w if j % 5 else fresh(1)[0] for j, w in enumerate(ws)]
             full[i] = fresh(50 + n) + [*reversed(marked(left))] + line + marked(right) + fresh(40)
         want.add((50 + n, 20 + n))
     docs = table(spark, [(i, " ".join(t), "s") for i, t in full.items()])
